@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_retrieval, q_text
+from . import q_build, q_retrieval, q_text
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (q_text, q_retrieval):
+for _m in (q_text, q_retrieval, q_build):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)
