@@ -96,10 +96,8 @@ def class_distribution(df: DataFrame, label: str, digits: int = 6) -> DataFrame:
 def label_ids(df: DataFrame, label: str, out: str = "label_id", passthrough=-1) -> DataFrame:
     """PRJ-7 / AGG-2: label -> index in the sorted distinct labels; ``passthrough`` stays as is."""
     distinct = df.where(F.col(label) != F.lit(passthrough)).select(label).distinct()
-    ids = with_position(distinct, [label], pos_col=out)
-    if ids.count() <= 1_000_000:
-        ids = F.broadcast(ids)
-    j = df.join(ids, label, "left")
+    ids, n = with_position(distinct, [label], pos_col=out, return_total=True)
+    j = df.join(F.broadcast(ids) if n <= 1_000_000 else ids, label, "left")
     return j.withColumn(out, F.when(F.col(label) == F.lit(passthrough), F.lit(passthrough)).otherwise(F.col(out)))
 
 
@@ -111,14 +109,7 @@ def exact_median(df: DataFrame, group_cols: list[str], value: str, out: str = "m
     per group are aggregated.
     """
     v = df.select(*group_cols, value).where(F.col(value).isNotNull())
-    pos = with_position(v, [value], partition_by=group_cols, pos_col="_p")
-    sizes = v.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)]).agg(
-        F.count(F.lit(1)).alias("_n"))
-    cond = None
-    for i, g in enumerate(group_cols):
-        c = pos[g].eqNullSafe(sizes[f"_g{i}"])
-        cond = c if cond is None else cond & c
-    j = pos.join(F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes, cond)
+    j = with_position(v, [value], partition_by=group_cols, pos_col="_p", size_col="_n")
     mid = j.where((F.col("_p") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_p") == F.ceil((F.col("_n") - 1) / 2)))
     return mid.groupBy(*group_cols).agg(F.avg(value).alias(out))
 

@@ -30,10 +30,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chars
 
-# broadcast the per-character hash table only below this many characters
-ALPHABET_BROADCAST_ROWS = 20_000
-
-
 def _integrate(f, a: float, b: float, n: int = 200) -> float:
     if b <= a:
         return 0.0
@@ -76,8 +72,9 @@ def set_signatures(sets: DataFrame, num_perm: int = 128) -> DataFrame:
     set_chars = sets.select("set_key", F.explode(chars(F.col("set_key"))).alias("ch"))
     alphabet = set_chars.select("ch").distinct()
     alphabet = alphabet.withColumn("h", perm_hashes(F.col("ch"), num_perm))
-    if alphabet.count() <= ALPHABET_BROADCAST_ROWS:
-        alphabet = F.broadcast(alphabet)
+    # the alphabet is bounded by the Unicode code space; AQE turns this join into
+    # a broadcast once the distinct alphabet is materialised and found small, and
+    # keeps the shuffled join (skew-split on hot characters) otherwise
     hashed = set_chars.join(alphabet, "ch")
     return hashed.groupBy("set_key").agg(
         F.array(*[F.min(F.col("h")[i]) for i in range(num_perm)]).alias("sig"))

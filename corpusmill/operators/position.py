@@ -7,13 +7,17 @@ i-th row" are part of its semantics.  ``with_position`` gives every row its
 1. range-partition on (groups, order) and sort inside partitions — one shuffle
    whose bounds split a hot group across many tasks;
 2. checkpoint to the shared folder, so partitions and row order are fixed
-   (range bounds come from sampling and would differ on a recompute);
+   (range bounds come from sampling and would differ on a recompute) and the
+   upstream plan runs exactly once;
 3. count rows per (partition, group) — a table of at most
-   partitions + groups rows — and prefix-sum it with a small window;
+   partitions + groups rows — prefix-sum it with a small window and
+   checkpoint that small table too;
 4. add the offset to ``monotonically_increasing_id``'s in-partition index.
 
-No step holds more than one partition of data in a task, and nothing but the
-small count table is ever gathered.
+No step holds more than one partition of data in a task, and nothing but
+scalars (row counts) reaches the driver.  The same pass yields the total row
+count and, per group, the group size, so callers never ``count()`` their input
+a second time.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-_LOW33 = (1 << 33) - 1
 # broadcast the offset table only while it is this small (rows)
 OFFSET_BROADCAST_ROWS = 2_000_000
 
@@ -42,38 +45,46 @@ def shuffle_key(seed: int, *id_cols) -> F.Column:
     return F.md5(F.concat(*parts))
 
 
+def _col(c):
+    return F.col(c) if isinstance(c, str) else c
+
+
 def with_position(df: DataFrame, order_by: list, partition_by: list | None = None,
-                  pos_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
+                  pos_col: str = "pos", size_col: str | None = None, num_partitions: int | None = None,
+                  return_total: bool = False):
     """Add ``pos_col`` = 0-based rank of the row by ``order_by`` within ``partition_by``.
 
-    ``order_by`` must make the order total (append an id column to break ties).
+    ``order_by`` should make the order total (append an id column to break
+    ties).  ``size_col`` adds the size of the row's group.  With
+    ``return_total`` the result is ``(frame, total_rows)``.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     groups = list(partition_by or [])
-    order = list(order_by)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g) if isinstance(g, str) else g for g in groups] + \
-           [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    ranged = ranged.checkpoint(eager=True)
-    tagged = ranged.withColumn("_cm_mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_cm_pid", F.shiftright(F.col("_cm_mid"), 33))
+    keys = [_col(g) for g in groups] + [_col(o) for o in order_by]
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    tagged = (ranged.withColumn("_cm_mid", F.monotonically_increasing_id())
+              .withColumn("_cm_pid", F.shiftright(F.col("_cm_mid"), 33)))
     gnames = [f"_cm_g{i}" for i in range(len(groups))]
-    stats_src = tagged.select("_cm_pid", "_cm_mid",
-                              *[(F.col(g) if isinstance(g, str) else g).alias(a) for g, a in zip(groups, gnames)])
-    stats = stats_src.groupBy("_cm_pid", *gnames).agg(
-        F.count(F.lit(1)).alias("_cm_n"), F.min("_cm_mid").alias("_cm_first"))
-    w = Window.partitionBy(*gnames).orderBy("_cm_pid").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = (stats.withColumn("_cm_off", F.sum("_cm_n").over(w) - F.col("_cm_n"))
-               .drop("_cm_n").withColumnRenamed("_cm_pid", "_cm_opid"))
-    n_rows = offsets.count()
-    if n_rows <= OFFSET_BROADCAST_ROWS:
+    stats = (tagged.select("_cm_pid", "_cm_mid", *[_col(g).alias(a) for g, a in zip(groups, gnames)])
+             .groupBy("_cm_pid", *gnames)
+             .agg(F.count(F.lit(1)).alias("_cm_n"), F.min("_cm_mid").alias("_cm_first")))
+    w = Window.partitionBy(*gnames).orderBy("_cm_pid")
+    offsets = (stats.withColumn("_cm_off", F.sum("_cm_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+                                - F.col("_cm_n"))
+               .withColumn("_cm_gsize", F.sum("_cm_n").over(Window.partitionBy(*gnames)))
+               .withColumnRenamed("_cm_pid", "_cm_opid")
+               .checkpoint(eager=True))
+    summary = offsets.agg(F.count(F.lit(1)).alias("rows"), F.sum("_cm_n").alias("total")).first()
+    if summary["rows"] <= OFFSET_BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     cond = tagged["_cm_pid"] == offsets["_cm_opid"]
     for g, a in zip(groups, gnames):
-        gc = tagged[g] if isinstance(g, str) else g
-        cond = cond & gc.eqNullSafe(offsets[a])
+        cond = cond & (tagged[g] if isinstance(g, str) else g).eqNullSafe(offsets[a])
     out = tagged.join(offsets, cond, "inner")
     out = out.withColumn(pos_col, F.col("_cm_off") + (F.col("_cm_mid") - F.col("_cm_first")))
-    return out.drop("_cm_mid", "_cm_first", "_cm_off", "_cm_pid", "_cm_opid", *gnames)
+    if size_col:
+        out = out.withColumn(size_col, F.col("_cm_gsize"))
+    out = out.drop("_cm_mid", "_cm_first", "_cm_off", "_cm_pid", "_cm_opid", "_cm_n", "_cm_gsize", *gnames)
+    return (out, int(summary["total"] or 0)) if return_total else out

@@ -20,16 +20,23 @@ from ..functions.text import words
 from .position import with_position
 
 BROADCAST_ROWS = 5_000_000
-STOPWORD_BROADCAST_ROWS = 1_000_000
 
 
-def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Size check for an explicit broadcast.  Call it only on cheap inputs (the
+    query set, a stopword file): joins of derived tables are left to AQE, which
+    broadcasts at runtime from measured sizes and keeps a shuffled join beyond."""
+    return df.count() <= limit
+
+
+def _bc(df: DataFrame, ok: bool) -> DataFrame:
+    return F.broadcast(df) if ok else df
 
 
 def tokenize(df: DataFrame, text_col: str, id_col: str, id_alias: str = "doc_id",
              stopwords: DataFrame | None = None, lexicon: DataFrame | None = None,
-             pos_filter: list[str] | None = None, pos_match: str = "equals") -> DataFrame:
+             pos_filter: list[str] | None = None, pos_match: str = "equals",
+             broadcast_lists: bool = False) -> DataFrame:
     """(id, tok_pos, token) rows: lower-cased word tokens in text order.
 
     FLT-16: ``stopwords(word)`` removes tokens (anti join); ``lexicon(token,
@@ -39,7 +46,7 @@ def tokenize(df: DataFrame, text_col: str, id_col: str, id_alias: str = "doc_id"
     toks = df.select(F.col(id_col).alias(id_alias), F.posexplode(words(F.col(text_col))).alias("tok_pos", "token"))
     if stopwords is not None:
         sw = stopwords.select(F.col(stopwords.columns[0]).alias("token")).distinct()
-        toks = toks.join(_maybe_broadcast(sw, STOPWORD_BROADCAST_ROWS), "token", "left_anti")
+        toks = toks.join(_bc(sw, broadcast_lists), "token", "left_anti")
     if pos_filter is not None:
         if lexicon is None:
             raise ValueError("pos_filter needs a lexicon(token, pos) table")
@@ -50,7 +57,7 @@ def tokenize(df: DataFrame, text_col: str, id_col: str, id_alias: str = "doc_id"
             for p in pos_filter:
                 ok = ok | F.col("pos").startswith(p)
         keep = lexicon.where(ok).select("token").distinct()
-        toks = toks.join(_maybe_broadcast(keep, STOPWORD_BROADCAST_ROWS), "token", "left_semi")
+        toks = toks.join(_bc(keep, broadcast_lists), "token", "left_semi")
     return toks.select(id_alias, "tok_pos", "token")
 
 
@@ -106,7 +113,9 @@ def bm25_scores(index: LexicalIndex, qterms: DataFrame, variant: str = "lucene",
                 b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query_id, doc_id, score) for every document sharing a term with the query."""
     idf = bm25_term_weights(index, variant, k1, b, epsilon)
-    q = _maybe_broadcast(qterms.join(idf, "token"))
+    small = small_enough(qterms)
+    # the query side is checked once; its join with idf can only shrink it
+    q = _bc(_bc(qterms, small).join(idf, "token"), small)
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(index.avgdl))
     sat = F.col("tf") / (F.col("tf") + norm)
     if variant == "okapi":
@@ -122,9 +131,10 @@ def tfidf_scores(index: LexicalIndex, qterms: DataFrame) -> DataFrame:
     dw = index.postings.join(idf, "token").select("doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
     dnorm = dw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     dvec = dw.join(dnorm, "doc_id").select("doc_id", "token", (F.col("w") / F.col("dn")).alias("dw"))
-    qw = qterms.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
+    small = small_enough(qterms)
+    qw = _bc(qterms, small).join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
     qn = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    qvec = _maybe_broadcast(qw.join(qn, "query_id").select("query_id", "token", (F.col("w") / F.col("qn")).alias("qw")))
+    qvec = _bc(qw.join(qn, "query_id").select("query_id", "token", (F.col("w") / F.col("qn")).alias("qw")), small)
     return dvec.join(qvec, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("dw") * F.col("qw")).alias("score"))
 
 
@@ -141,7 +151,7 @@ def hard_negatives(scores: DataFrame, positives: DataFrame, num_negatives: int =
     ``positives(query_id, doc_id)``; result ``(query_id, rank, doc_id, score)``.
     """
     pos = positives.select("query_id", "doc_id").distinct()
-    cand = scores.join(_maybe_broadcast(pos), ["query_id", "doc_id"], "left_anti")
+    cand = scores.join(pos, ["query_id", "doc_id"], "left_anti")
     return top_k(cand, num_negatives, digits).select("query_id", "rank", "doc_id", "score")
 
 
@@ -167,9 +177,10 @@ def verbatim_qrels(queries: DataFrame, corpus: DataFrame, index: LexicalIndex,
     interior = toks.where((F.col("p") > 0) & (F.col("p") < F.col("n") - 1))
     rare = (interior.join(index.terms, "token")
             .groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token")))
-    cand = index.postings.select("doc_id", "token").join(_maybe_broadcast(rare), "token")
+    small = small_enough(qt)   # at most one rare token per query
+    cand = index.postings.select("doc_id", "token").join(_bc(rare, small), "token")
     docs = corpus.select(F.col(d_id).alias("doc_id"), F.col(d_text).alias("d_text"))
-    pairs = cand.join(docs, "doc_id").join(_maybe_broadcast(qt), "query_id")
+    pairs = cand.join(docs, "doc_id").join(_bc(qt, small), "query_id")
     return pairs.where(F.instr(F.col("d_text"), F.col("q_text")) > 0).select("query_id", "doc_id")
 
 

@@ -1,7 +1,7 @@
 """Train / validation / test splits (SPL-2..5) as a ``split`` column.
 
-Sizes are resolved on the driver after one ``count()``.  Positions come from
-``with_position`` (global or per stratum), so a stratum holding a third of the
+Sizes are resolved on the driver from the row count that ``with_position``
+returns with the positions (global or per stratum), so a stratum holding a third of the
 rows is still ranked by many tasks.  The random order is the seeded md5 key of
 the id columns; the permutation is not Python's, the contract (seeded,
 uniform, exact sizes) is.
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from .position import shuffle_key, with_position
 from .sampling import resolve_count
 
-SIZE_BROADCAST_ROWS = 1_000_000
-
 
 def split_sizes(n_total: int, test_size, val_size=None) -> tuple[int, int, int]:
     n_test = resolve_count(test_size, n_total, "test_size")
@@ -47,23 +45,22 @@ def split_dataset(df: DataFrame, test_size, val_size=None, split_mode: str = "ra
     """
     if not id_cols:
         raise ValueError("id_cols gives the record order")
-    total = df.count() if n_total is None else n_total
-    n_train, n_val, _ = split_sizes(total, test_size, val_size)
     ordered, order = _order(df, id_cols, split_mode, random_seed)
+    groups = [stratify_key] if stratify_key else None
+    # one checkpointed pass gives positions, the total and the stratum sizes
+    pos, total = with_position(ordered, order, partition_by=groups, pos_col="_cm_pos",
+                               size_col="_cm_size" if stratify_key else None, return_total=True)
+    if n_total is not None:
+        total = n_total
+    n_train, n_val, _ = split_sizes(total, test_size, val_size)
     if not stratify_key:
-        pos = with_position(ordered, order, pos_col="_cm_pos")
         label = (F.when(F.col("_cm_pos") < n_train, "train")
                   .when(F.col("_cm_pos") < n_train + n_val, "validation")
                   .otherwise("test"))
         return pos.select(*df.columns, label.alias(split_col))
-    sizes = ordered.groupBy(F.col(stratify_key).alias("_cm_sk")).agg(F.count(F.lit(1)).alias("_cm_size"))
-    if sizes.count() <= SIZE_BROADCAST_ROWS:
-        sizes = F.broadcast(sizes)
-    pos = with_position(ordered, order, partition_by=[stratify_key], pos_col="_cm_pos")
-    joined = pos.join(sizes, pos[stratify_key].eqNullSafe(sizes["_cm_sk"]))
     g_train = F.floor(F.col("_cm_size") * F.lit(n_train / total))
     g_val = F.floor(F.col("_cm_size") * F.lit(n_val / total)) if n_val else F.lit(0)
     label = (F.when(F.col("_cm_pos") < g_train, "train")
               .when(F.col("_cm_pos") < g_train + g_val, "validation")
               .otherwise("test"))
-    return joined.select(*df.columns, label.alias(split_col))
+    return pos.select(*df.columns, label.alias(split_col))

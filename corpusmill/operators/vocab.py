@@ -104,11 +104,17 @@ def extend_vocab(vocab: DataFrame, new_tokens: DataFrame) -> DataFrame:
     return vocab.select("token", F.col("id").cast("bigint").alias("id"), F.lit("base").alias("kind")).unionByName(added)
 
 
-def encode(tokens: DataFrame, vocab: DataFrame, unk_id: int, doc_col="doc_id") -> DataFrame:
-    """VOC-6: (key..., tok_pos, token) -> (key..., ids array in position order); unknown -> unk_id."""
+def encode(tokens: DataFrame, vocab: DataFrame, unk_id: int, doc_col="doc_id",
+           vocab_rows: int | None = None) -> DataFrame:
+    """VOC-6: (key..., tok_pos, token) -> (key..., ids array in position order); unknown -> unk_id.
+
+    ``vocab_rows`` is a known bound on the vocabulary size (e.g. ``vocab_size``);
+    below ``VOCAB_BROADCAST_ROWS`` the vocabulary is broadcast, otherwise AQE
+    chooses from measured sizes.
+    """
     keys = [doc_col] if isinstance(doc_col, str) else list(doc_col)
     v = vocab.select("token", F.col("id").alias("_id"))
-    if v.count() <= VOCAB_BROADCAST_ROWS:
+    if vocab_rows is not None and vocab_rows <= VOCAB_BROADCAST_ROWS:
         v = F.broadcast(v)
     ided = tokens.join(v, "token", "left").select(*keys, "tok_pos", F.coalesce("_id", F.lit(unk_id)).alias("id"))
     return ided.groupBy(*keys).agg(

@@ -40,7 +40,7 @@ def _vocab(spark, d):
 
 def _encoded_docs(spark, d):
     toks = R.tokenize(table(spark, d, "documents"), "text", "doc_id")
-    return V.encode(toks, _vocab(spark, d), UNK, "doc_id")
+    return V.encode(toks, _vocab(spark, d), UNK, "doc_id", vocab_rows=VOCAB_WORDS)
 
 
 W = S.words
@@ -208,7 +208,7 @@ def line_examples_q(spark, d):
     lines = doc.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")) \
                .withColumn("line_no", F.col("line_no").cast("bigint")).where(tx.py_strip("line") != "")
     toks = R.tokenize(lines.withColumn("_k", F.struct("doc_id", "line_no")), "line", "_k", "_k")
-    enc = V.encode(toks, _vocab(spark, d), UNK, "_k").select(F.col("_k.doc_id").alias("doc_id"),
+    enc = V.encode(toks, _vocab(spark, d), UNK, "_k", vocab_rows=VOCAB_WORDS).select(F.col("_k.doc_id").alias("doc_id"),
                                                              F.col("_k.line_no").alias("line_no"), "ids")
     full = lines.select("doc_id", "line_no").join(enc, ["doc_id", "line_no"], "left") \
                 .withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
@@ -255,7 +255,7 @@ def pair_encode_q(spark, d):
 
     def enc(col):
         toks = R.tokenize(pairs.withColumn("_k", key), col, "_k", "_k")
-        return V.encode(toks, voc, UNK, "_k").select(F.col("_k.conv_id").alias("conv_id"),
+        return V.encode(toks, voc, UNK, "_k", vocab_rows=VOCAB_WORDS).select(F.col("_k.conv_id").alias("conv_id"),
                                                     F.col("_k.turn").alias("turn"), F.col("ids").alias(col + "_ids"))
     empty = F.array().cast("array<bigint>")
     x = pairs.select("conv_id", "turn").join(enc("anchor"), ["conv_id", "turn"], "left") \

@@ -279,8 +279,7 @@ def class_distribution_q(spark, d):
 def distinct_labels(spark, d):
     """AGG-2 / SET-5: sorted distinct labels, their ids and how many there are."""
     langs = table(spark, d, "documents").select("lang").distinct()
-    ids = with_position(langs, ["lang"], pos_col="label_id")
-    n = ids.count()
+    ids, n = with_position(langs, ["lang"], pos_col="label_id", return_total=True)
     return ids.select("lang", "label_id", F.lit(n).cast("bigint").alias("n_labels"))
 
 
