@@ -9,6 +9,7 @@ codegen.  Only NFKC needs Python (no JVM built-in); it runs as an Arrow
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,6 +38,33 @@ NUMERIC_REGEX = r"\A[0-9]+\z"
 NON_ASCII_REGEX = r"[^\x00-\x7F]"
 
 
+# Derived by rule (not fixed lists): the characters Python's str.isspace()
+# accepts, and the characters that can make a string differ from its NFKC
+# form — not NFKC-stable on their own, non-zero combining class, the second
+# character of a canonical pair, or a Hangul medial/final jamo.  A string
+# without any of the latter is already NFKC (the Unicode quick-check rule).
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+@lru_cache(maxsize=None)
+def nfkc_unstable_chars() -> str:
+    cps = set()
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp < 0xE000:
+            continue
+        ch = chr(cp)
+        if unicodedata.combining(ch) or not unicodedata.is_normalized("NFKC", ch):
+            cps.add(cp)
+        dec = unicodedata.decomposition(ch)
+        if dec and not dec.startswith("<"):
+            parts = dec.split()
+            if len(parts) == 2:
+                cps.add(int(parts[1], 16))
+    cps.update(range(0x1161, 0x1176))   # Hangul V jamo (VBase, VCount 21)
+    cps.update(range(0x11A8, 0x11C3))   # Hangul T jamo (TBase + 1, TCount 28)
+    return "".join(chr(c) for c in sorted(cps))
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -62,8 +90,8 @@ def is_match_pattern(c, pattern: str) -> Column:
 # --- string functions -------------------------------------------------------
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), r"\A" + WS + "+|" + WS + r"+\z", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace (no regex scan)."""
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def collapse_whitespace(c) -> Column:
@@ -76,10 +104,16 @@ def _nfkc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+def may_change_under_nfkc(c) -> Column:
+    """True when the text holds a character that NFKC could change (exact guard)."""
+    col = _c(c)
+    return F.length(F.translate(col, nfkc_unstable_chars(), "")) != F.length(col)
+
+
 def nfkc(c) -> Column:
-    """Unicode NFKC; ASCII-only rows skip the Python round trip."""
+    """Unicode NFKC; rows that are already NFKC skip the Python round trip."""
     col = _c(c)
-    return F.when(col.rlike(NON_ASCII_REGEX), _nfkc_udf(col)).otherwise(col)
+    return F.when(may_change_under_nfkc(col), _nfkc_udf(col)).otherwise(col)
 
 
 def clean_text(c) -> Column:
@@ -123,11 +157,14 @@ def is_out_of_length_range(c, min_str_len: int = 0, max_str_len: int | None = No
 
 
 def is_include_url(c) -> Column:
-    return _c(c).rlike(URL_REGEX)
+    # literal prefilter (every match holds "://" or "data:") short-circuits the regex
+    col = _c(c)
+    return (col.contains("://") | col.contains("data:")) & col.rlike(URL_REGEX)
 
 
 def is_include_email(c) -> Column:
-    return _c(c).rlike(EMAIL_REGEX)
+    col = _c(c)
+    return col.contains("@") & col.rlike(EMAIL_REGEX)
 
 
 def time_count(c, pattern: str = TIME_REGEX) -> Column:
@@ -135,6 +172,8 @@ def time_count(c, pattern: str = TIME_REGEX) -> Column:
 
 
 def include_time_schedule(c, threshold: int = 3, pattern: str = TIME_REGEX) -> Column:
+    if pattern == TIME_REGEX and threshold > 0:
+        return _c(c).contains(":") & (time_count(c, pattern) >= F.lit(threshold))
     return time_count(c, pattern) >= F.lit(threshold)
 
 

@@ -6,13 +6,14 @@ i-th row" are part of its semantics.  ``with_position`` gives every row its
 
 1. range-partition on (groups, order) and sort inside partitions — one shuffle
    whose bounds split a hot group across many tasks;
-2. checkpoint to the shared folder, so partitions and row order are fixed
-   (range bounds come from sampling and would differ on a recompute) and the
-   upstream plan runs exactly once;
-3. count rows per (partition, group) — a table of at most
-   partitions + groups rows — prefix-sum it with a small window and
-   checkpoint that small table too;
-4. add the offset to ``monotonically_increasing_id``'s in-partition index.
+2. in the same stage, tag each row with its range-partition id and its index
+   inside the sorted partition, and write the result once to the shared
+   checkpoint folder (range bounds come from sampling and would differ on a
+   recompute; the written table fixes them and the upstream plan runs once);
+3. count rows per (range partition, group) — a table of at most
+   partitions + groups rows — prefix-sum it with a small window and write
+   that small table too;
+4. position = group offset of the partition + in-partition index.
 
 No step holds more than one partition of data in a task, and nothing but
 scalars (row counts) reaches the driver.  The same pass yields the total row
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 # broadcast the offset table only while it is this small (rows)
 OFFSET_BROADCAST_ROWS = 2_000_000
@@ -59,23 +60,22 @@ def with_position(df: DataFrame, order_by: list, partition_by: list | None = Non
     ``return_total`` the result is ``(frame, total_rows)``.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     groups = list(partition_by or [])
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [_col(g) for g in groups] + [_col(o) for o in order_by]
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
-    tagged = (ranged.withColumn("_cm_mid", F.monotonically_increasing_id())
-              .withColumn("_cm_pid", F.shiftright(F.col("_cm_mid"), 33)))
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    mid = F.monotonically_increasing_id()
+    tagged = materialize(ranged.withColumn("_cm_pid", F.spark_partition_id())
+                         .withColumn("_cm_li", mid - F.shiftleft(F.shiftright(mid, 33), 33)), "pos")
     gnames = [f"_cm_g{i}" for i in range(len(groups))]
-    stats = (tagged.select("_cm_pid", "_cm_mid", *[_col(g).alias(a) for g, a in zip(groups, gnames)])
+    stats = (tagged.select("_cm_pid", "_cm_li", *[_col(g).alias(a) for g, a in zip(groups, gnames)])
              .groupBy("_cm_pid", *gnames)
-             .agg(F.count(F.lit(1)).alias("_cm_n"), F.min("_cm_mid").alias("_cm_first")))
+             .agg(F.count(F.lit(1)).alias("_cm_n"), F.min("_cm_li").alias("_cm_first")))
     w = Window.partitionBy(*gnames).orderBy("_cm_pid")
-    offsets = (stats.withColumn("_cm_off", F.sum("_cm_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-                                - F.col("_cm_n"))
-               .withColumn("_cm_gsize", F.sum("_cm_n").over(Window.partitionBy(*gnames)))
-               .withColumnRenamed("_cm_pid", "_cm_opid")
-               .checkpoint(eager=True))
+    offsets = materialize(
+        stats.withColumn("_cm_off", F.sum("_cm_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cm_n"))
+             .withColumn("_cm_gsize", F.sum("_cm_n").over(Window.partitionBy(*gnames)))
+             .withColumnRenamed("_cm_pid", "_cm_opid"), "offsets")
     summary = offsets.agg(F.count(F.lit(1)).alias("rows"), F.sum("_cm_n").alias("total")).first()
     if summary["rows"] <= OFFSET_BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
@@ -83,8 +83,8 @@ def with_position(df: DataFrame, order_by: list, partition_by: list | None = Non
     for g, a in zip(groups, gnames):
         cond = cond & (tagged[g] if isinstance(g, str) else g).eqNullSafe(offsets[a])
     out = tagged.join(offsets, cond, "inner")
-    out = out.withColumn(pos_col, F.col("_cm_off") + (F.col("_cm_mid") - F.col("_cm_first")))
+    out = out.withColumn(pos_col, F.col("_cm_off") + (F.col("_cm_li") - F.col("_cm_first")))
     if size_col:
         out = out.withColumn(size_col, F.col("_cm_gsize"))
-    out = out.drop("_cm_mid", "_cm_first", "_cm_off", "_cm_pid", "_cm_opid", "_cm_n", "_cm_gsize", *gnames)
+    out = out.drop("_cm_li", "_cm_first", "_cm_off", "_cm_pid", "_cm_opid", "_cm_n", "_cm_gsize", *gnames)
     return (out, int(summary["total"] or 0)) if return_total else out

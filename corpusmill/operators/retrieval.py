@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import materialize
 from .position import with_position
 
 BROADCAST_ROWS = 5_000_000
@@ -61,25 +62,44 @@ def tokenize(df: DataFrame, text_col: str, id_col: str, id_alias: str = "doc_id"
     return toks.select(id_alias, "tok_pos", "token")
 
 
+_materialize = materialize
+
+
 @dataclass
 class LexicalIndex:
     postings: DataFrame   # doc_id, token, tf, dl
-    terms: DataFrame      # token, df
+    terms: DataFrame      # token, df, cf
     n_docs: int
     avgdl: float
 
 
 def build_index(corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                stopwords: DataFrame | None = None) -> LexicalIndex:
-    """AGG-20: term frequencies, document frequencies, lengths, N and avgdl."""
-    toks = tokenize(corpus, text_col, id_col, "doc_id", stopwords)
-    tf = toks.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    postings = tf.join(dl, "doc_id")
-    terms = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus.select(id_col).agg(F.count(F.lit(1)).alias("n"))
-    n_docs = stats.first()["n"]
-    total = dl.agg(F.sum("dl").alias("s")).first()["s"] or 0
+                stopwords: DataFrame | None = None, materialize: bool = True) -> LexicalIndex:
+    """AGG-20: term frequencies, document frequencies, lengths, N and avgdl.
+
+    Without stopwords the document length rides along as a grouping key of the
+    (doc, token) count (no join); with them it is re-summed after the anti
+    join.  ``materialize`` checkpoints the postings once (the fitted index), so
+    the statistics and every later scoring job read it instead of tokenising
+    the corpus again.
+    """
+    if stopwords is None:
+        arr = words(F.col(text_col))
+        toks = corpus.select(F.col(id_col).alias("doc_id"), F.size(arr).alias("dl"), F.explode(arr).alias("token"))
+        postings = toks.groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        toks = tokenize(corpus, text_col, id_col, "doc_id", stopwords)
+        tf = toks.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+        dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+        postings = tf.join(dl, "doc_id")
+    postings = postings.select("doc_id", "token", "tf", "dl")
+    if materialize:
+        postings = _materialize(postings, "postings")
+    terms = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    if materialize:
+        terms = _materialize(terms, "terms")
+    n_docs = corpus.count()
+    total = terms.agg(F.sum("cf").alias("s")).first()["s"] or 0
     return LexicalIndex(postings, terms, int(n_docs), float(total) / n_docs if n_docs else 0.0)
 
 

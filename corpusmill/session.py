@@ -58,3 +58,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="corpusmill-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
+
+
+def materialize(df, tag: str = "t"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but computes the input exactly once (an
+    eager RDD checkpoint runs its input twice) and stores it columnar.  The
+    folder is the cluster's ``spark.checkpoint.dir``, so a lost executor does
+    not lose the table.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/cm-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -8,7 +8,25 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Guarantee scan parallelism for CPU-heavy text work.
+
+    A table stored as a few large row groups scans in a few tasks however many
+    cores there are.  When the scan has fewer partitions than the cluster's
+    default parallelism, rows are spread round-robin over twice that many
+    partitions (one cheap shuffle).  Round-robin keeps column pruning and
+    filter pushdown working through the exchange, and Spark's sort before a
+    round-robin repartition keeps it deterministic when a task is retried.  On
+    a large input the scan already has far more partitions than cores and
+    nothing changes.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target * 2)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
