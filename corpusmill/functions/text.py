@@ -130,6 +130,18 @@ def words(c) -> Column:
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(WORD_REGEX), 0)
 
 
+def explode_items(df, keep: list, arr, name: str, pos: str | None = None):
+    """Explode an array that is costly to compute (regex tokens, characters).
+
+    The array is projected once before the generator, and the ``_outer`` form
+    is used so Spark does not infer a ``size(array) > 0`` filter that would
+    evaluate the array a second time below the exchange.
+    """
+    base = df.select(*keep, arr.alias("_cm_arr"))
+    gen = F.posexplode_outer("_cm_arr").alias(pos, name) if pos else F.explode_outer("_cm_arr").alias(name)
+    return base.select(*keep, gen).where(F.col(name).isNotNull())
+
+
 def chars(c) -> Column:
     """Characters of a text (code points), in order."""
     return F.filter(F.split(_c(c), ""), lambda x: x != "")

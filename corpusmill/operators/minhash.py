@@ -28,7 +28,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chars
+from ..functions.text import chars, explode_items
 
 def _integrate(f, a: float, b: float, n: int = 200) -> float:
     if b <= a:
@@ -69,7 +69,7 @@ def perm_hashes(ch: F.Column, num_perm: int) -> F.Column:
 
 def set_signatures(sets: DataFrame, num_perm: int = 128) -> DataFrame:
     """(set_key, ...) -> (set_key, sig array<bigint>) ; one row per distinct set_key."""
-    set_chars = sets.select("set_key", F.explode(chars(F.col("set_key"))).alias("ch"))
+    set_chars = explode_items(sets, ["set_key"], chars(F.col("set_key")), "ch")
     alphabet = set_chars.select("ch").distinct()
     alphabet = alphabet.withColumn("h", perm_hashes(F.col("ch"), num_perm))
     # the alphabet is bounded by the Unicode code space; AQE turns this join into

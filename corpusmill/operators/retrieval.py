@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import explode_items, words
 from ..session import materialize
 from .position import with_position
 
@@ -44,7 +44,8 @@ def tokenize(df: DataFrame, text_col: str, id_col: str, id_alias: str = "doc_id"
     pos)`` with ``pos_filter`` keeps tokens whose part of speech equals (or,
     ``pos_match='prefix'``, starts with) one of the listed tags.
     """
-    toks = df.select(F.col(id_col).alias(id_alias), F.posexplode(words(F.col(text_col))).alias("tok_pos", "token"))
+    toks = explode_items(df.select(F.col(id_col).alias(id_alias), text_col), [id_alias], words(F.col(text_col)),
+                         "token", "tok_pos")
     if stopwords is not None:
         sw = stopwords.select(F.col(stopwords.columns[0]).alias("token")).distinct()
         toks = toks.join(_bc(sw, broadcast_lists), "token", "left_anti")
@@ -84,8 +85,9 @@ def build_index(corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id
     the corpus again.
     """
     if stopwords is None:
-        arr = words(F.col(text_col))
-        toks = corpus.select(F.col(id_col).alias("doc_id"), F.size(arr).alias("dl"), F.explode(arr).alias("token"))
+        # the token array is computed once per document, its size rides along
+        arrs = corpus.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("_a"))
+        toks = explode_items(arrs.withColumn("dl", F.size("_a")), ["doc_id", "dl"], F.col("_a"), "token")
         postings = toks.groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     else:
         toks = tokenize(corpus, text_col, id_col, "doc_id", stopwords)
@@ -192,8 +194,8 @@ def verbatim_qrels(queries: DataFrame, corpus: DataFrame, index: LexicalIndex,
     Queries with fewer than three tokens have no interior token and get no pair.
     """
     qt = queries.select(F.col(q_id).alias("query_id"), F.col(q_text).alias("q_text"))
-    toks = qt.select("query_id", F.posexplode(words(F.col("q_text"))).alias("p", "token"),
-                     F.size(words(F.col("q_text"))).alias("n"))
+    qa = qt.select("query_id", words(F.col("q_text")).alias("_a"))
+    toks = explode_items(qa.withColumn("n", F.size("_a")), ["query_id", "n"], F.col("_a"), "token", "p")
     interior = toks.where((F.col("p") > 0) & (F.col("p") < F.col("n") - 1))
     rare = (interior.join(index.terms, "token")
             .groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token")))

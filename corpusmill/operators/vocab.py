@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chars, newline_to_space, words
+from ..functions.text import chars, explode_items, newline_to_space, words
 from .position import with_position
 
 # Control tokens of the vocabulary trainer, and the unknown token.
@@ -49,7 +49,7 @@ def char_vocab(df: DataFrame, text_col: str, character_coverage: float = 1.0) ->
 
     Result ``(token, n, id)``; ids by descending frequency, ties by character.
     """
-    counts = df.select(F.explode(chars(F.col(text_col))).alias("token")).groupBy("token").agg(
+    counts = explode_items(df, [], chars(F.col(text_col)), "token").groupBy("token").agg(
         F.count(F.lit(1)).alias("n"))
     # the alphabet is bounded by the Unicode code space: one ordered window is fine
     w = Window.orderBy(F.col("n").desc(), F.col("token"))
@@ -61,7 +61,7 @@ def char_vocab(df: DataFrame, text_col: str, character_coverage: float = 1.0) ->
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
-    return df.select(F.explode(words(F.col(text_col))).alias("token")).groupBy("token").agg(
+    return explode_items(df, [], words(F.col(text_col)), "token").groupBy("token").agg(
         F.count(F.lit(1)).alias("n"))
 
 
