@@ -127,3 +127,54 @@ def rate_columns(df: DataFrame, n_col: str, elapsed_col: str, error_col: str) ->
     return df.withColumn("avg_time_per_text_ms",
                          F.when(ok, F.col(elapsed_col) / F.col(n_col) * 1000.0).otherwise(nan)) \
              .withColumn("throughput_texts_per_sec", F.when(ok, F.col(n_col) / F.col(elapsed_col)).otherwise(nan))
+
+
+# Sentence columns per evaluation task (None = no second sentence).
+TASK_SENTENCE_COLUMNS = {
+    "cola": ("sentence", None),
+    "mnli": ("premise", "hypothesis"),
+    "mrpc": ("sentence1", "sentence2"),
+    "qnli": ("question", "sentence"),
+    "qqp": ("question1", "question2"),
+    "rte": ("sentence1", "sentence2"),
+    "sst2": ("sentence", None),
+    "stsb": ("sentence1", "sentence2"),
+    "wnli": ("sentence1", "sentence2"),
+    "JSTS": ("sentence1", "sentence2"),
+    "JNLI": ("sentence1", "sentence2"),
+    "JCoLA": ("sentence", None),
+}
+REGRESSION_TASKS = ("stsb", "JSTS")
+
+
+def sentence_columns(task: str | None, columns: list[str], label_col: str = "label") -> tuple[str, str | None]:
+    """PRJ-10: the task's sentence columns; else sentence1/2; else the first two non-label columns."""
+    if task in TASK_SENTENCE_COLUMNS:
+        return TASK_SENTENCE_COLUMNS[task]
+    if "sentence1" in columns and "sentence2" in columns:
+        return "sentence1", "sentence2"
+    rest = [c for c in columns if c != label_col]
+    if len(rest) >= 2:
+        return rest[0], rest[1]
+    return rest[0], None
+
+
+def task_metrics(df: DataFrame, task: str | None, pred: str, label: str, id_cols: list[str],
+                 regression: bool | None = None) -> DataFrame:
+    """AGG-10..14: the metric set a task is scored with, plus ``combined_score`` when several.
+
+    cola -> Matthews correlation; mrpc / qqp -> F1 and accuracy; stsb-like ->
+    Pearson and Spearman; regression without a task -> MSE; otherwise accuracy.
+    """
+    is_reg = (task in REGRESSION_TASKS) if regression is None else regression
+    if task in REGRESSION_TASKS:
+        out = regression_metrics(df, pred, label, id_cols).select("pearson", "spearmanr")
+        return combined_score(out, ["pearson", "spearmanr"])
+    if is_reg:
+        return regression_metrics(df, pred, label, id_cols).select("mse")
+    cls = classification_metrics(df, pred, label)
+    if task == "cola":
+        return cls.select("matthews_correlation")
+    if task in ("mrpc", "qqp"):
+        return combined_score(cls.select("f1", "accuracy"), ["f1", "accuracy"])
+    return cls.select("accuracy")

@@ -217,3 +217,19 @@ def vocab_first_seen(tokens: DataFrame, doc_order: str = "doc_id") -> DataFrame:
 def df_stopwords(index: LexicalIndex, max_df_ratio: float = 0.5) -> DataFrame:
     """A stopword table by rule: tokens found in more than ``max_df_ratio`` of the documents."""
     return index.terms.where(F.col("df") > F.lit(max_df_ratio * index.n_docs)).select(F.col("token").alias("word"))
+
+
+def save_index(index: LexicalIndex, path: str) -> None:
+    """SNK-8 / RET-9: persist a fitted index (postings, terms, scalars) as parquet."""
+    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    spark = index.postings.sparkSession
+    spark.createDataFrame([(index.n_docs, index.avgdl)], "n_docs long, avgdl double") \
+        .write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_index(spark, path: str) -> LexicalIndex:
+    """Read an index written by ``save_index``."""
+    st = spark.read.parquet(f"{path}/stats").first()
+    return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
+                        int(st["n_docs"]), float(st["avgdl"]))

@@ -348,3 +348,11 @@ def prediction_lines(spark, d):
     li = table(spark, d, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), (F.col("l_extendedprice") / 7).alias("p"))
     return pl(li, "idx", "p", regression=True)
+
+
+@register("task_metrics_mrpc",
+          "SELECT f1, accuracy, round((f1 + accuracy) / 2, 6) AS combined_score FROM ("
+          + _cls_sql("labels", "toxic", "quality") + ")")
+def task_metrics_mrpc(spark, d):
+    """AGG-13/14: the metric set of an F1 task (F1, accuracy, combined score)."""
+    return M.task_metrics(table(spark, d, "labels"), "mrpc", "toxic", "quality", ["doc_id"])

@@ -65,3 +65,12 @@ def test_token_accuracy(spark):
     assert M.token_accuracy(df, "p", "y", shift=True).first()[0] == 1.0
     df = spark.createDataFrame([([1, 2, 3], [1, -100, 4])], "p array<int>, y array<int>")
     assert M.token_accuracy(df, "p", "y", ignore_masked=True).first()[0] == 0.5
+
+
+def test_task_metrics_dispatch(spark):
+    df = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (2, 0, 0), (3, 0, 1), (4, 1, 1)], "i long, p int, y int")
+    assert M.task_metrics(df, "cola", "p", "y", ["i"]).columns == ["matthews_correlation"]
+    assert M.task_metrics(df, "mrpc", "p", "y", ["i"]).columns == ["f1", "accuracy", "combined_score"]
+    assert M.task_metrics(df, "JNLI", "p", "y", ["i"]).columns == ["accuracy"]
+    assert M.sentence_columns("qnli", []) == ("question", "sentence")
+    assert M.sentence_columns(None, ["a", "label", "b", "c"]) == ("a", "b")

@@ -62,3 +62,11 @@ def test_char_vocab_coverage(spark):
     df = spark.createDataFrame([("aaaab",)], "text string")
     assert [r.token for r in V.char_vocab(df, "text", 0.8).collect()] == ["a"]
     assert sorted(r.token for r in V.char_vocab(df, "text", 1.0).collect()) == ["a", "b"]
+
+
+def test_index_save_load(spark, tmp_path):
+    idx = R.build_index(_corpus(spark))
+    R.save_index(idx, str(tmp_path / "idx"))
+    back = R.load_index(spark, str(tmp_path / "idx"))
+    assert back.n_docs == idx.n_docs and back.avgdl == idx.avgdl
+    assert sorted(back.terms.collect()) == sorted(idx.terms.collect())
