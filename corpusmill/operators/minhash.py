@@ -87,14 +87,9 @@ def band_hashes(sig: F.Column, bands: int, rows: int) -> F.Column:
         for b in range(bands)])
 
 
-def earliest_candidates(df: DataFrame, col: str, order_col: str, threshold: float = 0.95,
-                        num_perm: int = 128, bands: int | None = None, rows: int | None = None,
-                        verify: bool = False, out_col: str = "earliest") -> DataFrame:
-    """Add ``out_col``: the smallest ``order_col`` among texts sharing an LSH bucket.
-
-    The text's own character set is included, so ``out_col < order_col`` means
-    an earlier near duplicate exists.  Null texts get null.
-    """
+def _set_earliest(df: DataFrame, col: str, order_col: str, threshold: float, num_perm: int,
+                  bands: int | None, rows: int | None, verify: bool):
+    """(texts(_cm_o, set_key), sets(set_key, set_first), best(set_key, _cm_e))."""
     if bands is None or rows is None:
         bands, rows = optimal_bands(threshold, num_perm)
     texts = df.where(F.col(col).isNotNull()).select(
@@ -107,7 +102,7 @@ def earliest_candidates(df: DataFrame, col: str, order_col: str, threshold: floa
     if not verify:
         bucket = set_bands.groupBy("band_no", "band_hash").agg(F.min("set_first").alias("bucket_first"))
         best = (set_bands.join(bucket, ["band_no", "band_hash"])
-                .groupBy("set_key").agg(F.min("bucket_first").alias("_cm_e")))
+                .groupBy("set_key").agg(F.min("bucket_first").alias("_cm_e"), F.min("set_first").alias("set_first")))
     else:
         bucket = set_bands.groupBy("band_no", "band_hash").agg(
             F.min("set_first").alias("bucket_first"), F.min_by("set_key", "set_first").alias("rep_key"))
@@ -118,20 +113,39 @@ def earliest_candidates(df: DataFrame, col: str, order_col: str, threshold: floa
         verified = (cand.where(jac >= F.lit(threshold))
                     .groupBy("set_key").agg(F.min("bucket_first").alias("v_first")))
         best = (sets.join(verified, "set_key", "left")
-                .select("set_key", F.least("set_first", "v_first").alias("_cm_e")))
+                .select("set_key", "set_first", F.least("set_first", "v_first").alias("_cm_e")))
+    return texts, best
+
+
+def earliest_candidates(df: DataFrame, col: str, order_col: str, threshold: float = 0.95,
+                        num_perm: int = 128, bands: int | None = None, rows: int | None = None,
+                        verify: bool = False, out_col: str = "earliest") -> DataFrame:
+    """Add ``out_col``: the smallest ``order_col`` among texts sharing an LSH bucket.
+
+    The text's own character set is included, so ``out_col < order_col`` means
+    an earlier near duplicate exists.  Null texts get null.
+    """
+    _, best = _set_earliest(df, col, order_col, threshold, num_perm, bands, rows, verify)
     keyed = df.withColumn("_cm_set", F.when(F.col(col).isNotNull(), char_set_key(F.col(col))))
     out = keyed.join(best, keyed["_cm_set"] == best["set_key"], "left")
     return out.select(*[F.col(c) for c in df.columns], F.col("_cm_e").alias(out_col))
 
 
 def near_duplicate_flags(df: DataFrame, col: str, order_col: str, flag_col: str = "is_near_dup",
-                         **kw) -> DataFrame:
+                         threshold: float = 0.95, num_perm: int = 128, bands: int | None = None,
+                         rows: int | None = None, verify: bool = False) -> DataFrame:
     """Add ``flag_col``: true when an earlier text (by ``order_col``) is a near duplicate.
 
-    Null texts get false.
+    A non-null row survives iff it is the first row of its character set and
+    no earlier set shares a bucket with it, so the survivors are one id per
+    surviving set; rows are matched back on the (unique) ``order_col``, not on
+    the character-set string.  Null texts get false.
     """
-    out = earliest_candidates(df, col, order_col, out_col="_cm_earliest", **kw)
-    flag = F.coalesce(F.col("_cm_earliest") < F.col(order_col), F.lit(False))
+    _, best = _set_earliest(df, col, order_col, threshold, num_perm, bands, rows, verify)
+    survivors = best.where(F.col("_cm_e") >= F.col("set_first")).select(F.col("set_first").alias("_cm_surv"),
+                                                                         F.lit(True).alias("_cm_keep"))
+    out = df.join(survivors, df[order_col] == survivors["_cm_surv"], "left")
+    flag = F.col(col).isNotNull() & F.col("_cm_keep").isNull()
     return out.select(*[F.col(c) for c in df.columns], flag.alias(flag_col))
 
 
