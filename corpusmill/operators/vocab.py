@@ -119,3 +119,49 @@ def encode(tokens: DataFrame, vocab: DataFrame, unk_id: int, doc_col="doc_id",
     ided = tokens.join(v, "token", "left").select(*keys, "tok_pos", F.coalesce("_id", F.lit(unk_id)).alias("id"))
     return ided.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tok_pos", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def _merge_pair(symbols: F.Column, left: str, right: str) -> F.Column:
+    """Replace non-overlapping (left, right) neighbours, left to right, by left+right."""
+    joined = left + right
+
+    def step(acc, x):
+        n = F.size(acc)
+        hit = (n > 0) & (F.element_at(acc, F.greatest(n, F.lit(1))) == F.lit(left)) & (x == F.lit(right))
+        return F.when(hit, F.concat(F.slice(acc, 1, n - 1), F.array(F.lit(joined)))) \
+                .otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(symbols, F.array().cast("array<string>"), step)
+
+
+def bpe_merges(df: DataFrame, text_col: str, num_merges: int, checkpoint_every: int = 1) -> DataFrame:
+    """VOC-3 (bpe): learn ``num_merges`` merges over the distinct-word table.
+
+    Words are the lower-cased word tokens, split into characters.  Each round
+    is one aggregate over the distinct words (pair frequency = sum of word
+    frequency x occurrences of the pair), the best pair (highest count, then
+    smallest pair) is merged in every word with array expressions, and the
+    word table is written to the checkpoint folder every ``checkpoint_every``
+    rounds: a merge expression is inlined wherever the symbols are used, so
+    unwritten rounds nest and grow the plan.  Only the chosen pair reaches the
+    driver.
+    Result ``(rank, left, right, freq)``.
+    """
+    from ..session import materialize
+
+    wt = word_counts(df, text_col).select(F.col("n").alias("freq"), chars(F.col("token")).alias("sym"))
+    wt = materialize(wt.where(F.size("sym") > 1), "bpe")
+    merges = []
+    for r in range(num_merges):
+        pairs = wt.select("freq", F.explode(F.arrays_zip(F.slice("sym", 1, F.size("sym") - 1).alias("l"),
+                                                         F.slice("sym", 2, F.size("sym") - 1).alias("r")))
+                          .alias("p"))
+        counts = pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("c"))
+        best = counts.orderBy(F.col("c").desc(), "l", "r").first()
+        if best is None:
+            break
+        merges.append((r, best["l"], best["r"], int(best["c"])))
+        wt = wt.withColumn("sym", _merge_pair(F.col("sym"), best["l"], best["r"])).where(F.size("sym") > 1)
+        if (r + 1) % checkpoint_every == 0:
+            wt = materialize(wt, "bpe")
+    return df.sparkSession.createDataFrame(merges, "rank int, left string, right string, freq long")

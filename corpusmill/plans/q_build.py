@@ -307,3 +307,12 @@ def batch_by_label(spark, d):
     """SPL-6: batches of 16 that hold a single label each, seeded order inside a label."""
     e = table(spark, d, "embeddings").select("vec_id", "label")
     return TS.batches_by_label(e, "label", ["vec_id"], 16, 42).select("vec_id", "label", "batch")
+
+
+@register("bpe_merges")
+def bpe_merges_q(spark, d):
+    """VOC-3 bpe: the first 20 merges learnt from every word of every document.
+
+    Iterative, so no SQL oracle; tests compare with a brute-force trainer.
+    """
+    return V.bpe_merges(table(spark, d, "documents"), "text", 20)

@@ -70,3 +70,39 @@ def test_index_save_load(spark, tmp_path):
     back = R.load_index(spark, str(tmp_path / "idx"))
     assert back.n_docs == idx.n_docs and back.avgdl == idx.avgdl
     assert sorted(back.terms.collect()) == sorted(idx.terms.collect())
+
+
+def _brute_bpe(words, n):
+    import collections
+    vocab = collections.Counter(tuple(w) for w in words)
+    out = []
+    for _ in range(n):
+        pc = collections.Counter()
+        for sym, f in vocab.items():
+            for a, b in zip(sym, sym[1:]):
+                pc[(a, b)] += f
+        if not pc:
+            break
+        (a, b), c = min(pc.items(), key=lambda kv: (-kv[1], kv[0]))
+        out.append((a, b, c))
+        nv = collections.Counter()
+        for sym, f in vocab.items():
+            res = []
+            for x in sym:
+                if res and res[-1] == a and x == b:
+                    res[-1] = a + b
+                else:
+                    res.append(x)
+            if len(res) > 1:
+                nv[tuple(res)] += f
+        vocab = nv
+    return out
+
+
+def test_bpe_matches_brute_force(spark):
+    import re
+    texts = ["low lower lowest newer newest wider", "the lll lllll llama low low", "wide wider widest newest"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [(r.left, r.right, r.freq) for r in V.bpe_merges(df, "text", 12).orderBy("rank").collect()]
+    words = [w for t in texts for w in re.findall(r"\w+", t.lower())]
+    assert got == _brute_bpe(words, 12)
