@@ -142,3 +142,35 @@ def batches_by_label(df: DataFrame, label_col: str, id_cols: list[str], batch_si
     keyed = df.withColumn("_k", shuffle_key(seed, *id_cols))
     pos = with_position(keyed, ["_k", *id_cols], partition_by=[label_col], pos_col="_rn")
     return pos.withColumn("batch", F.floor(F.col("_rn") / batch_size)).drop("_k", "_rn")
+
+
+def build_texts(df: DataFrame, text_fields: list[str], out_col: str = "text") -> DataFrame:
+    """PRJ-8 / FLT-13: join the fields by a space (nulls skipped, arrays flattened,
+    numbers as text), strip, keep non-empty results; raise when none is left."""
+    from ..functions.text import py_strip
+
+    parts = []
+    for f in df.schema.fields:
+        if f.name not in text_fields:
+            continue
+        c = F.col(f.name)
+        parts.append(c.cast("array<string>") if f.dataType.typeName() == "array" else c.cast("string"))
+    out = df.withColumn(out_col, py_strip(F.concat_ws(" ", *parts))).where(F.col(out_col) != "")
+    if out.isEmpty():
+        raise ValueError("no non-empty text could be built from " + ", ".join(text_fields))
+    return out
+
+
+def mask_token_id(vocab: DataFrame, choice: str, eos_token: str = "</s>", mask_token: str = "<mask>",
+                  blank_token: str = "_") -> int | None:
+    """TRN-8: the id used for masking — the blank piece, the end-of-sequence token,
+    or a mask token (None when the vocabulary lacks it: extend it first with
+    ``vocab.extend_vocab``).  One small lookup in the vocabulary table."""
+    token = {"blank": blank_token, "eos": eos_token, "mask": mask_token}[choice]
+    row = vocab.where(F.col("token") == token).select("id").first()
+    return None if row is None else int(row["id"])
+
+
+def cap_count(max_samples: int | None, n_rows: int) -> int:
+    """AGG-22: rows used after a cap, min(max_samples, len)."""
+    return n_rows if max_samples is None else min(max_samples, n_rows)

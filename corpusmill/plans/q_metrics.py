@@ -100,10 +100,7 @@ def ir_metrics_q(spark, d):
     """AGG-19: IR metrics of cosine retrieval, relevant = same label (self excluded)."""
     e = table(spark, d, "embeddings")
     ranked = VM.cosine_topk(e, e, 100, "vec_id", "vec_id", "embedding", exclude_self=True)
-    a = e.select(F.col("vec_id").alias("query_id"), "label")
-    b = e.select(F.col("vec_id").alias("doc_id"), "label")
-    relevant = a.join(b, "label").where(F.col("query_id") != F.col("doc_id")).select("query_id", "doc_id")
-    return VM.ir_metrics(ranked, relevant)
+    return VM.ir_metrics_same_label(ranked, e, "vec_id", "label")
 
 
 @register("triplet_accuracy",

@@ -42,3 +42,17 @@ def test_masking_labels_agree(spark):
 def test_effective_block_size():
     assert TS.effective_block_size(None, 4096) == 1024
     assert TS.effective_block_size(512, 256) == 256
+
+
+def test_build_texts_and_mask_choice(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "a", ["x", "y"], 3), (2, None, [], None)], "k int, s string, l array<string>, n int")
+    out = {r.k: r.text for r in TS.build_texts(df, ["s", "l", "n"]).collect()}
+    assert out == {1: "a x y 3"}
+    empty = spark.createDataFrame([(1, "  ")], "k int, s string")
+    with pytest.raises(ValueError):
+        TS.build_texts(empty, ["s"])
+    vocab = spark.createDataFrame([("</s>", 3), ("_", 9)], "token string, id long")
+    assert TS.mask_token_id(vocab, "eos") == 3 and TS.mask_token_id(vocab, "blank") == 9
+    assert TS.mask_token_id(vocab, "mask") is None
+    assert TS.cap_count(None, 5) == 5 and TS.cap_count(3, 5) == 3
