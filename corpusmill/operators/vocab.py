@@ -66,12 +66,18 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def word_vocab(df: DataFrame, text_col: str, vocab_size: int) -> DataFrame:
-    """VOC-3 word model: the ``vocab_size`` most frequent words, ids by (count desc, word)."""
+    """VOC-3 word model: the ``vocab_size`` most frequent words, ids by (count desc, word).
+
+    Up to 100 000 words the top-k is a TakeOrdered and its ranking one window
+    over that bounded result; beyond, positions are computed distributed.
+    """
     counts = word_counts(df, text_col)
-    top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(vocab_size) if vocab_size <= 100_000 else \
-        with_position(counts.withColumn("_neg", -F.col("n")), ["_neg", "token"], pos_col="_r") \
-        .where(F.col("_r") < vocab_size).drop("_neg", "_r")
-    return with_position(top.withColumn("_neg", -F.col("n")), ["_neg", "token"], pos_col="id").drop("_neg")
+    if vocab_size <= 100_000:
+        top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(vocab_size)
+        w = Window.orderBy(F.col("n").desc(), F.col("token"))
+        return top.select("token", "n", (F.row_number().over(w) - 1).cast("bigint").alias("id"))
+    ranked = with_position(counts.withColumn("_neg", -F.col("n")), ["_neg", "token"], pos_col="id")
+    return ranked.where(F.col("id") < vocab_size).drop("_neg")
 
 
 def merge_vocabs(base: DataFrame, additional: DataFrame) -> DataFrame:
