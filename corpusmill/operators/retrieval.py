@@ -84,6 +84,10 @@ def build_index(corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id
     the statistics and every later scoring job read it instead of tokenising
     the corpus again.
     """
+    # documents are hash-partitioned by id before tokenising, so the
+    # (doc, token) count needs no second exchange: each text crosses the
+    # network once instead of every token row
+    corpus = corpus.repartition(F.col(id_col))
     if stopwords is None:
         # the token array is computed once per document, its size rides along
         arrs = corpus.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("_a"))

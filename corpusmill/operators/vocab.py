@@ -171,3 +171,14 @@ def bpe_merges(df: DataFrame, text_col: str, num_merges: int, checkpoint_every:
         if (r + 1) % checkpoint_every == 0:
             wt = materialize(wt, "bpe")
     return df.sparkSession.createDataFrame(merges, "rank int, left string, right string, freq long")
+
+
+def encode_texts(df: DataFrame, text_col: str, key_cols: list[str], vocab: DataFrame, unk_id: int,
+                 vocab_rows: int | None = None) -> DataFrame:
+    """VOC-6 from raw texts: rows are hash-partitioned by their key first, so the
+    per-row regrouping of token ids after the (broadcast) vocabulary join needs
+    no exchange of token rows.  Result ``(key..., ids)``; rows without tokens
+    are absent."""
+    keyed = df.repartition(*[F.col(k) for k in key_cols])
+    toks = explode_items(keyed, key_cols, words(F.col(text_col)), "token", "tok_pos")
+    return encode(toks, vocab, unk_id, key_cols, vocab_rows)

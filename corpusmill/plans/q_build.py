@@ -39,8 +39,8 @@ def _vocab(spark, d):
 
 
 def _encoded_docs(spark, d):
-    toks = R.tokenize(table(spark, d, "documents"), "text", "doc_id")
-    return V.encode(toks, _vocab(spark, d), UNK, "doc_id", vocab_rows=VOCAB_WORDS)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return V.encode_texts(docs, "text", ["doc_id"], _vocab(spark, d), UNK, vocab_rows=VOCAB_WORDS)
 
 
 W = S.words
@@ -207,9 +207,7 @@ def line_examples_q(spark, d):
     doc = table(spark, d, "documents")
     lines = doc.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")) \
                .withColumn("line_no", F.col("line_no").cast("bigint")).where(tx.py_strip("line") != "")
-    toks = R.tokenize(lines.withColumn("_k", F.struct("doc_id", "line_no")), "line", "_k", "_k")
-    enc = V.encode(toks, _vocab(spark, d), UNK, "_k", vocab_rows=VOCAB_WORDS).select(F.col("_k.doc_id").alias("doc_id"),
-                                                             F.col("_k.line_no").alias("line_no"), "ids")
+    enc = V.encode_texts(lines, "line", ["doc_id", "line_no"], _vocab(spark, d), UNK, vocab_rows=VOCAB_WORDS)
     full = lines.select("doc_id", "line_no").join(enc, ["doc_id", "line_no"], "left") \
                 .withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
     return TS.line_examples(full, 64, BOS, EOS, PAD).select(
@@ -251,12 +249,10 @@ def pair_encode_q(spark, d):
     """TRN-5: (user, assistant) pairs as [CLS] a [SEP] b [SEP], padded per batch of 32 to a multiple of 8."""
     pairs = TS.next_turn_pairs(table(spark, d, "conversations"))
     voc = _vocab(spark, d)
-    key = F.struct("conv_id", "turn")
 
     def enc(col):
-        toks = R.tokenize(pairs.withColumn("_k", key), col, "_k", "_k")
-        return V.encode(toks, voc, UNK, "_k", vocab_rows=VOCAB_WORDS).select(F.col("_k.conv_id").alias("conv_id"),
-                                                    F.col("_k.turn").alias("turn"), F.col("ids").alias(col + "_ids"))
+        return V.encode_texts(pairs, col, ["conv_id", "turn"], voc, UNK, vocab_rows=VOCAB_WORDS) \
+                .withColumnRenamed("ids", col + "_ids")
     empty = F.array().cast("array<bigint>")
     x = pairs.select("conv_id", "turn").join(enc("anchor"), ["conv_id", "turn"], "left") \
              .join(enc("positive"), ["conv_id", "turn"], "left") \
