@@ -312,3 +312,12 @@ def bpe_merges_q(spark, d):
     Iterative, so no SQL oracle; tests compare with a brute-force trainer.
     """
     return V.bpe_merges(table(spark, d, "documents"), "text", 20)
+
+
+@register("unigram_vocab")
+def unigram_vocab_q(spark, d):
+    """VOC-3 unigram: a 300-piece vocabulary by Viterbi-EM over every word of every document.
+
+    Iterative, so no SQL oracle; tests check its invariants.
+    """
+    return V.unigram_vocab(table(spark, d, "documents"), "text", 300)

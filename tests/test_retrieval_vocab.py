@@ -106,3 +106,17 @@ def test_bpe_matches_brute_force(spark):
     got = [(r.left, r.right, r.freq) for r in V.bpe_merges(df, "text", 12).orderBy("rank").collect()]
     words = [w for t in texts for w in re.findall(r"\w+", t.lower())]
     assert got == _brute_bpe(words, 12)
+
+
+def test_unigram_vocab(spark):
+    texts = ["lower lowest newer newest wider widest", "low low lower new newer", "the the the then there"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = V.unigram_vocab(df, "text", 30, seed_factor=3, em_rounds=2).collect()
+    pieces = [r.piece for r in out]
+    assert len(pieces) <= 30 and len(set(pieces)) == len(pieces)
+    assert set("lowerndisth") <= set(pieces)                      # every character is kept
+    assert [r.id for r in out] == list(range(len(out)))
+    assert all(out[i].score >= out[i + 1].score for i in range(len(out) - 1))
+    lp = {r.piece: r.score for r in out}
+    assert V._viterbi("newest", lp, 8) is not None                 # every word stays segmentable
+    assert V._viterbi("abc", {"a": -1.0, "bc": -1.0, "b": -2.0, "c": -2.0}, 8) == ["a", "bc"]
