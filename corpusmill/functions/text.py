@@ -3,7 +3,8 @@
 Every function takes a Column (or a column name) and returns a Column, so a
 whole cleansing rule set compiles into one projection inside whole-stage
 codegen.  Only NFKC needs Python (no JVM built-in); it runs as an Arrow
-``pandas_udf`` and is applied only to rows holding a non-ASCII character.
+``pandas_udf`` and only for rows holding a character NFKC could change (an
+exact quick-check guard evaluated in the JVM).
 """
 
 from __future__ import annotations
