@@ -301,11 +301,13 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, text_col: str
     return src.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row."""
+def digests(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+            with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row, and the ids themselves on demand."""
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     done = encode_decode(src, vocab_path, pattern)
-    return done.select("doc_id", F.size("_cm_ids").cast("long").alias("n_tokens"),
+    ids = [F.col("_cm_ids").alias("ids")] if with_ids else []
+    return done.select("doc_id", *ids, F.size("_cm_ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("_cm_ids", " ").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("_cm_decoded"), 256).alias("decoded_sha256"))
 

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, chat, fmindex, linededup, neighbours, pseudonyms, quality, sharding, simhash, toxicity
 
 QUERIES: dict = {
     "op1_simhash": simhash.query,
+    "op2_toxicity": toxicity.query,
+    "op3_pseudonyms": pseudonyms.query,
+    "op4_quality": quality.query,
     "op5_bpe": bpe.query,
+    "op6_neighbours": neighbours.query,
+    "op7_chat": chat.query,
+    "op8_sharding": sharding.query,
+    "op9_decontamination": fmindex.query,
+    "op10_line_dedup": linededup.query,
+}
+ORACLE: dict = {
+    "op7_chat": chat.ORACLE,
 }
-ORACLE: dict = {}

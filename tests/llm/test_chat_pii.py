@@ -1,0 +1,108 @@
+import datetime as dt
+import random
+
+from corpusmill.llm import chat as C
+from corpusmill.llm import pseudonyms as P
+
+from .util import collect, docs
+
+SCHEMA = "conv_id long, turn long, role string, text string, part int, pos int, n int"
+
+
+def turns(spark, convs):
+    return spark.createDataFrame([(c, t, r, x, 1, 2, 3) for c, some in convs for t, r, x in some], SCHEMA)
+
+
+def brute(convs):
+    """{conv: [(role, text)]} of the maximal conversations."""
+    by = {}
+    for c, some in convs:
+        by.setdefault(c, set()).update((t, r or "", x or "") for t, r, x in some)
+    seqs = {c: [(r, x) for _, r, x in sorted(s, key=lambda y: (y[0] is not None, y[0] or 0, y[1], y[2]))]
+            for c, s in by.items()}
+    keep = {}
+    for c, s in seqs.items():
+        longer = any(len(o) > len(s) and o[:len(s)] == s for o in seqs.values())
+        first = min((d for d, o in seqs.items() if o == s), key=lambda d: (d is None, d))
+        if not longer and c == first:
+            keep[c] = s
+    return keep
+
+
+def test_maximal_and_rendering(spark):
+    rnd = random.Random(1)
+    base = [[(i, rnd.choice(["user", "bot", None]), rnd.choice(["hi", "ok", f"t{k}{i}", None, "a <|im_end|> b"]))
+             for i in range(rnd.randrange(1, 9))] for k in range(12)]
+    convs = [(None, base[0]), (3, base[0]), (1, base[1] + base[1]), (2, base[2][:1])]
+    for i in range(10, 70):
+        some = base[rnd.randrange(12)]
+        convs.append((i, some[: rnd.randrange(1, len(some) + 1)]))
+    convs.append((500, [(None, "user", "no number"), (1, "bot", "x"), (1, "bot", "a")]))
+    got = {c: (n, t) for c, p, n, t in collect(C.render(turns(spark, convs)), "conv_id", "part", "n_turns", "text")}
+    want = {c: (len(s), "".join(f"<|im_start|>{r}\n{x.replace('<|im_end|>', '<| im_end|>')}<|im_end|>\n" for r, x in s))
+            for c, s in brute(convs).items()}
+    assert got == want
+
+
+def test_long_conversations_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK", 4)
+    long = [(i, "u", f"x{i}") for i in range(23)]
+    convs = [(1, long), (2, long[:9]), (3, long[:8]), (4, long[:4]), (5, long), (6, long[:12] + [(12, "u", "other")])]
+    got = collect(C.render(turns(spark, convs)), "conv_id", "part", "n_turns", "text")
+    assert {c for c, *_ in got} == {1, 6}
+    assert "".join(t for c, p, _, t in sorted(got) if c == 1) == "".join(f"<|im_start|>u\nx{i}<|im_end|>\n" for i in range(23))
+    assert sorted(p for c, p, *_ in got if c == 1) == [0, 1, 2, 3, 4, 5]
+    assert C.render(turns(spark, [])).count() == 0
+
+
+def test_permutation_is_a_bijection_and_keyed():
+    p, q = P.Permutation(b"a" * 32), P.Permutation(b"b" * 32)
+    for size in (1, 2, 3, 10, 97, 1000, 1025):
+        image = [p(v, size, "t") for v in range(size)]
+        assert sorted(image) == list(range(size))
+        assert [p(v, size, "t", True) for v in image] == list(range(size))
+    assert [p(v, 1000, "t") for v in range(50)] != [q(v, 1000, "t") for v in range(50)]
+
+
+VALID = ["4465758382889437", "4111 1111 1111 1111", "+1 (743) 555-3824", "555-123-4567", "152.143.123.131", "2001-02-28",
+         "31.12.1999", "02/29/2000", "hein.19@mail5.example.com", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff",
+         "123-45-6789", "GB82 WEST 1234 5698 7654 32"]
+INVALID = ["4465758382889438", "256.1.1.1", "2001-02-30", "31.02.1999", "13/13/2000", "000-12-3456", "1.2.3", "version 2.0",
+           "GB83 WEST 1234 5698 7654 32", "12345", "a@b", "nothing here"]
+
+
+def test_formats_are_validated_kept_and_reversible():
+    p = P.Permutation(b"k" * 32)
+    for s in VALID:
+        new, counts, spans = P.replace_all(f"x {s} y", p)
+        inner = new[2:-2]
+        assert sum(counts.values()) == 1 and inner != s and len(inner) == len(s), s
+        assert [c for c in inner if not c.isalnum()] == [c for c in s if not c.isalnum()]
+        assert [(a, b) for a, b, _ in spans] == [(2, 2 + len(s))]
+        assert P.replace_all(new, p)[1] == counts                      # still a valid value of the kind
+        assert P.replace_all(new, p, back=True)[0] == f"x {s} y"
+    for s in INVALID:
+        assert P.replace_all(f"x {s} y", p) == (f"x {s} y", {}, [])
+
+
+def test_dates_stay_dates_and_differ():
+    p = P.Permutation(b"k" * 32)
+    days = [(dt.date(1990, 1, 1) + dt.timedelta(d)).isoformat() for d in range(800)]
+    new = [P.replace_all(d, p)[0] for d in days]
+    assert len(set(new)) == len(days) and all(1900 <= dt.date.fromisoformat(d).year < 2100 for d in new)
+
+
+def test_equal_values_stay_linked_across_documents(spark):
+    rows = [(1, f"card {VALID[0]}, mail {VALID[8]}!"), (2, f"again {VALID[8]} and {VALID[0]}."), (3, None), (4, ""),
+            (None, "no data"), (5, "bad 256.1.1.1"), (6, VALID[0] + " " + VALID[0]), (7, "9" * 5000), (1, f"card {VALID[0]}")]
+    df = docs(spark, rows)
+    out = P.pseudonymise(df, "some key")
+    assert out.columns == [*df.columns, "_cm_found"]
+    got = {(d, o): t for (d, o), t in zip(rows, [r["text"] for r in out.collect()])}
+    card = got[rows[6]].split()[0]
+    assert got[rows[6]] == f"{card} {card}" and card != VALID[0]
+    assert card in got[rows[0]] and card in got[rows[1]] and got[rows[8]] == f"card {card}"
+    assert got[rows[2]] is None and got[rows[5]] == "bad 256.1.1.1" and got[rows[3]] == ""
+    other = P.pseudonymise(df, "another key").collect()[6]["text"]
+    assert card not in other
+    assert P.pseudonymise(docs(spark, []), "k").count() == 0
