@@ -346,17 +346,17 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     starts = F.concat(F.transform("_cm_bytes", lambda s: s["start"]), F.array(F.octet_length(raw).cast("long")))
     parts = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")),
                         lambda z: F.substr(raw, (z["a"] + 1).cast("int"), (z["b"] - z["a"]).cast("int")).cast("string"))
-    cut_text = F.when(dirty, F.array_join(parts, "")).otherwise(F.col(f"`{text_col}`"))
+    done = found.withColumn("_cm_text", F.when(dirty, F.array_join(parts, "")))
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(cut_text.alias(c))
+            out.append(F.when(dirty, F.col("_cm_text")).otherwise(F.col(f"`{c}`")).alias(c))
         elif c == "n_chars":
             kind = dict(docs.dtypes)[c]
-            out.append(F.when(dirty, F.length(cut_text).cast(kind)).otherwise(F.col(c)).alias(c))
+            out.append(F.when(dirty, F.char_length("_cm_text").cast(kind)).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
-    return found.select(*out)
+    return done.select(*out)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
