@@ -1,14 +1,15 @@
 """Quality classifier: a sparse rule ensemble compiled into Spark column expressions.
 
 1. Statistics of a text (shares of blanks, marks, capitals, digits, repeated
-   words and lines, lengths) are built-in Spark expressions.
+   words and lines, lengths) come from one pass over its bytes in a Pandas UDF:
+   a byte histogram replaces a dozen passes of string functions.
 2. Small trees are boosted on a bounded sample of labelled rows; every path
    from a root to an inner node or leaf is a conjunctive rule over statistics.
 3. A lasso logistic regression (accelerated proximal gradient) over the rules'
    indicators leaves few of them with a weight.
-4. The rules that stay become one column expression, so scoring is a narrow
-   projection without Python; the statistics of a row are computed once and
-   bound to a lambda variable that all rules read.
+4. The rules that stay become one Spark column expression over the statistics;
+   scoring is a narrow projection, and the statistics of a row are computed once
+   and bound to a lambda variable that all rules read.
 
 The sample is bounded by the documented parameter ``sample_rows``: those labelled
 training rows whose id hashes lowest.  Only their statistics (18 doubles a row)
@@ -28,6 +29,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,31 +38,37 @@ from .common import held_out, read
 #: Labelled rows that a fit takes at most; trees; depth of a tree; weight of the lasso; score from which a text is good.
 SAMPLE_ROWS, TREES, DEPTH, LASSO, THRESHOLD = 6000, 60, 3, 0.001, 0.3
 
-_UPPER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-STATISTICS = ("log_chars", "blank_share", "line_share", "upper_share", "digit_share", "hash_share", "exclaim_share",
+STATISTICS = ("log_bytes", "blank_share", "line_share", "upper_share", "digit_share", "hash_share", "exclaim_share",
               "pipe_share", "stop_share", "comma_share", "bracket_share", "mark_share", "word_length", "distinct_words",
               "distinct_lines", "log_words", "longest_line", "first_upper")
 
+# The bytes that each share counts.
+_SHARES = {"blank_share": b" \t\r\n", "line_share": b"\n", "upper_share": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+           "digit_share": b"0123456789", "hash_share": b"#$%&*", "exclaim_share": b"!", "pipe_share": b"|",
+           "stop_share": b".", "comma_share": b",", "bracket_share": b"(){}[]<>=/\\", "mark_share": b"?:;'\"-_+~^@"}
+_CLASS = np.zeros((256, len(_SHARES)))
+for _no, _bytes in enumerate(_SHARES.values()):
+    _CLASS[list(_bytes), _no] = 1
+
+
+def text_statistics(text: bytes | None) -> tuple[float, ...]:
+    """The statistics of a text's UTF-8 bytes (null: empty), in the order of STATISTICS."""
+    t = text or b""
+    shares = np.bincount(np.frombuffer(t, np.uint8), minlength=256) @ _CLASS / max(len(t), 1)
+    words, lines = t.split(), t.split(b"\n")
+    count = max(len(words), 1)
+    return (math.log1p(len(t)), *shares.tolist(), len(t) / count, len(set(words)) / count, len(set(lines)) / len(lines),
+            math.log1p(len(words)), math.log1p(max(map(len, lines))), float(t[:1].isupper()))
+
 
 def statistics(text: Column) -> Column:
-    """struct<double...> of a text (null: empty), in the order of STATISTICS."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    some = F.greatest(n, F.lit(1))
-
-    def share(chars: str) -> Column:
-        return (n - F.length(F.translate(t, chars, ""))) / some
-
-    words, lines = F.split(t, " "), F.split(t, "\n")
-    count = F.size(words)
-    values = [
-        F.log1p(n), share(" \t\r\n"), share("\n"), share(_UPPER), share(_DIGIT), share("#$%&*"), share("!"), share("|"),
-        share("."), share(","), share("(){}[]<>=/\\"), share("?:;'\"-_+~^@"), n / count,
-        F.size(F.array_distinct(words)) / count, F.size(F.array_distinct(lines)) / F.size(lines), F.log1p(count),
-        F.log1p(F.array_max(F.transform(lines, lambda x: F.length(x)))),
-        F.when(F.substring(t, 1, 1).rlike("[A-Z]"), 1.0).otherwise(0.0),
-    ]
-    return F.struct(*[v.cast("double").alias(c) for c, v in zip(STATISTICS, values)])
+    """struct<double...> of a text, in the order of STATISTICS (one pass over its bytes, in batches)."""
+
+    @F.pandas_udf(", ".join(f"{c} double" for c in STATISTICS))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_statistics(t) for t in texts], columns=STATISTICS, dtype="float64")
+
+    return run(text.cast("binary"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id",
@@ -177,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
 
 
 def score(docs: DataFrame, model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Add the probability that a text is good; narrow, no Python."""
+    """Add the probability that a text is good; narrow."""
     return docs.withColumn(score_col, compile_rules(model, statistics(F.col(f"`{text_col}`"))))
 
 

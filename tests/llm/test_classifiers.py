@@ -112,5 +112,5 @@ def test_counterfactual_penalty_frees_neutral_mentions(spark):
     test = docs(spark, [(1, "the muslim family met for dinner"), (2, "what an idiot"), (3, "the family met for dinner")])
     score = dict(collect(T.score(test, T.train(df, known), score_col="p"), "doc_id", "p"))
     free = dict(collect(T.score(test, T.train(df, known, groups=()), score_col="p"), "doc_id", "p"))
-    assert free[1] - free[3] > .2                       # without the penalty a neutral mention raises the score
-    assert abs(score[1] - score[3]) < .1 and score[1] < .5 < score[2]
+    assert free[1] - free[3] > .1                       # without the penalty a neutral mention raises the score
+    assert abs(score[1] - score[3]) < (free[1] - free[3]) / 3 and score[1] < .5 < score[2]
