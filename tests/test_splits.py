@@ -1,11 +1,12 @@
 """Splits, positions, caps and subset combination."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators.combine import assemble_subsets, interleave
 from corpusmill.operators.position import with_position
-from corpusmill.operators.sampling import cap_prefix, percent_boundary, resolve_count
-from corpusmill.operators.splits import split_dataset
+from corpusmill.operators.sampling import cap_prefix, percent_boundary, rows_of
+from corpusmill.operators.splits import Sizes, split_dataset
 
 
 def _counts(df):
@@ -42,9 +43,14 @@ def test_stratified_null_key_is_a_group(spark):
     assert _counts(out.where(F.col("k").isNull())) == {"train": 5, "test": 5}
 
 
-def test_resolve_count():
-    assert resolve_count(0.2, 10, "t") == 2
-    assert resolve_count(3, 10, "t") == 3
+def test_amounts_of_rows():
+    assert [rows_of(x, 10) for x in (0.2, 0.99, 3, 0, 10)] == [2, 9, 3, 0, 10]
+    for bad in (0.0, 1.0, -0.1, 1.5, -1, 11, True, "3", None):
+        with pytest.raises(ValueError):
+            rows_of(bad, 10)
+    assert Sizes.of(10, 0.2, 0.1) == (7, 1, 2) and Sizes.of(10, 4) == (6, 0, 4)
+    with pytest.raises(ValueError):
+        Sizes.of(10, 6, 5)
     assert percent_boundary(399, 5) == 20
 
 
