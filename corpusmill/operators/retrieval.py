@@ -1,12 +1,17 @@
-"""Lexical retrieval: tokens, inverted index, BM25 / TF-IDF scoring, top-k, hard negatives.
-
-The index is three tables (``postings(doc_id, token, tf, dl)``,
-``terms(token, df, idf...)`` and scalars ``n_docs, avgdl``).  Scoring joins
-query terms to postings on ``token``: the query-term side is broadcast when a
-row-count check allows it, so postings are never shuffled for scoring; the
-per-(query, doc) sum is a partial aggregate and top-k uses ``row_number`` with
-a ``WindowGroupLimit`` below the shuffle, so no task ever holds a query's full
-candidate list.
+"""Lexical retrieval: tokens, index, BM25 / TF-IDF scoring, top-k, hard negatives.
+
+The index holds **one row per document** (``docs(doc_id, dl, dn, items)`` with
+``items`` the document's distinct tokens and their counts, ``dn`` its TF-IDF norm
+when fitted with norms) and the term table ``terms(token, df, cf)``.
+
+Scoring partitions the document rows by id once (the postings' size, whatever
+the number of queries), explodes them, and joins the query terms by broadcast
+while a row count allows it.  Every (query, document) sum then finishes inside
+the task that holds the document: the plan has no exchange on (query, document).
+The top-k's ``WindowGroupLimit`` cuts each task's list to k a query before the
+only other shuffle, which carries queries x k x tasks rows at most.  A query set
+that is too large to broadcast is joined on the token instead; then the sums do
+need an exchange.
 """
 
 from __future__ import annotations
@@ -63,50 +68,54 @@ def tokenize(df: DataFrame, text_col: str, id_col: str, id_alias: str = "doc_id"
     return toks.select(id_alias, "tok_pos", "token")
 
 
-_materialize = materialize
-
-
 @dataclass
 class LexicalIndex:
-    postings: DataFrame   # doc_id, token, tf, dl
+    docs: DataFrame       # doc_id, dl, dn, items array<struct<token, tf>>
     terms: DataFrame      # token, df, cf
     n_docs: int
     avgdl: float
 
+    @property
+    def postings(self) -> DataFrame:
+        """(doc_id, token, tf, dl, dn), one row per document and token."""
+        return _exploded(self.docs)
+
+
+def _exploded(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "dl", "dn", F.explode("items").alias("_i")).select(
+        "doc_id", F.col("_i.token").alias("token"), F.col("_i.tf").alias("tf"), "dl", "dn")
+
 
 def build_index(corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                stopwords: DataFrame | None = None, materialize: bool = True) -> LexicalIndex:
+                stopwords: DataFrame | None = None, norms: bool = False) -> LexicalIndex:
     """AGG-20: term frequencies, document frequencies, lengths, N and avgdl.
 
-    Without stopwords the document length rides along as a grouping key of the
-    (doc, token) count (no join); with them it is re-summed after the anti
-    join.  ``materialize`` checkpoints the postings once (the fitted index), so
-    the statistics and every later scoring job read it instead of tokenising
-    the corpus again.
+    Documents are hash-partitioned by id before tokenising, so the counts per
+    (document, token) and the document rows need no second exchange: each text
+    crosses the network once instead of every token row.  Both tables are
+    written once under the checkpoint folder.  ``norms`` adds the TF-IDF norm of
+    every document, which needs the finished term table and so a second pass.
+    A document without tokens has no row in ``docs`` but counts in ``n_docs``.
     """
-    # documents are hash-partitioned by id before tokenising, so the
-    # (doc, token) count needs no second exchange: each text crosses the
-    # network once instead of every token row
-    corpus = corpus.repartition(F.col(id_col))
-    if stopwords is None:
-        # the token array is computed once per document, its size rides along
-        arrs = corpus.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("_a"))
-        toks = explode_items(arrs.withColumn("dl", F.size("_a")), ["doc_id", "dl"], F.col("_a"), "token")
-        postings = toks.groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    else:
-        toks = tokenize(corpus, text_col, id_col, "doc_id", stopwords)
-        tf = toks.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-        dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-        postings = tf.join(dl, "doc_id")
-    postings = postings.select("doc_id", "token", "tf", "dl")
-    if materialize:
-        postings = _materialize(postings, "postings")
-    terms = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    if materialize:
-        terms = _materialize(terms, "terms")
+    toks = tokenize(corpus.repartition(F.col(id_col)), text_col, id_col, "doc_id", stopwords)
+    tf = toks.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    docs = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.lit(None).cast("double").alias("dn"),
+                                    F.collect_list(F.struct("token", "tf")).alias("items"))
+    docs = materialize(docs, "postings")
+    terms = materialize(_exploded(docs).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")),
+                        "terms")
     n_docs = corpus.count()
     total = terms.agg(F.sum("cf").alias("s")).first()["s"] or 0
-    return LexicalIndex(postings, terms, int(n_docs), float(total) / n_docs if n_docs else 0.0)
+    if norms:
+        weights = _exploded(docs).join(_tfidf_idf(terms, n_docs), "token")
+        dn = weights.groupBy("doc_id").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) * (F.col("tf") * F.col("idf"))))
+                                           .alias("dn"))
+        docs = materialize(docs.drop("dn").join(dn, "doc_id", "left").select("doc_id", "dl", "dn", "items"), "postings")
+    return LexicalIndex(docs, terms, int(n_docs), float(total) / n_docs if n_docs else 0.0)
+
+
+def _tfidf_idf(terms: DataFrame, n_docs: int) -> DataFrame:
+    return terms.select("token", F.log2(F.lit(float(n_docs)) / F.col("df")).alias("idf")).where(F.col("idf") > 0)
 
 
 def query_terms(queries: DataFrame, text_col: str = "text", id_col: str = "query_id",
@@ -135,33 +144,39 @@ def bm25_term_weights(index: LexicalIndex, variant: str = "lucene", k1: float =
     raise ValueError("variant must be 'lucene' or 'okapi'")
 
 
+def _hits(index: LexicalIndex, terms_of_queries: DataFrame, small: bool) -> DataFrame:
+    """Postings joined with the query terms; partitioned by document while the terms are broadcast."""
+    postings = _exploded(index.docs.repartition(F.col("doc_id"))) if small else index.postings
+    return postings.join(_bc(terms_of_queries, small), "token")
+
+
 def bm25_scores(index: LexicalIndex, qterms: DataFrame, variant: str = "lucene", k1: float = 1.5,
                 b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query_id, doc_id, score) for every document sharing a term with the query."""
     idf = bm25_term_weights(index, variant, k1, b, epsilon)
     small = small_enough(qterms)
     # the query side is checked once; its join with idf can only shrink it
-    q = _bc(_bc(qterms, small).join(idf, "token"), small)
+    q = _bc(qterms, small).join(idf, "token")
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(index.avgdl))
     sat = F.col("tf") / (F.col("tf") + norm)
     if variant == "okapi":
         sat = sat * F.lit(k1 + 1)
-    hits = index.postings.join(q, "token")
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * sat).alias("score"))
+    return _hits(index, q, small).groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("qtf") * F.col("idf") * sat).alias("score"))
 
 
 def tfidf_scores(index: LexicalIndex, qterms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): cosine of L2-normalised tf x log2(N/df) vectors."""
-    n = float(index.n_docs)
-    idf = index.terms.select("token", (F.log2(F.lit(n) / F.col("df"))).alias("idf")).where(F.col("idf") > 0)
-    dw = index.postings.join(idf, "token").select("doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    dnorm = dw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    dvec = dw.join(dnorm, "doc_id").select("doc_id", "token", (F.col("w") / F.col("dn")).alias("dw"))
+    """(query_id, doc_id, score): cosine of L2-normalised tf x log2(N/df) vectors.
+
+    The documents' norms come from the index (``build_index(norms=True)``).
+    """
     small = small_enough(qterms)
-    qw = _bc(qterms, small).join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
+    qw = _bc(qterms, small).join(_tfidf_idf(index.terms, index.n_docs), "token").select(
+        "query_id", "token", "idf", (F.col("qtf") * F.col("idf")).alias("w"))
     qn = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    qvec = _bc(qw.join(qn, "query_id").select("query_id", "token", (F.col("w") / F.col("qn")).alias("qw")), small)
-    return dvec.join(qvec, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("dw") * F.col("qw")).alias("score"))
+    q = qw.join(qn, "query_id").select("query_id", "token", "idf", (F.col("w") / F.col("qn")).alias("qw"))
+    dw = F.col("tf") * F.col("idf") / F.col("dn")
+    return _hits(index, q, small).groupBy("query_id", "doc_id").agg(F.sum(dw * F.col("qw")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, digits: int = 6, group: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -171,14 +186,37 @@ def top_k(scores: DataFrame, k: int, digits: int = 6, group: str = "query_id", i
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hard_negatives(scores: DataFrame, positives: DataFrame, num_negatives: int = 5, digits: int = 6) -> DataFrame:
+def hard_negatives(scores: DataFrame, positives: DataFrame, num_negatives: int = 5, digits: int = 6,
+                   queries: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """RET-7: per query, the best-scoring documents that are not a positive.
 
     ``positives(query_id, doc_id)``; result ``(query_id, rank, doc_id, score)``.
+    Only documents that share a term with a query are scored.  With ``queries``
+    (query_id) and ``corpus`` (doc_id) the whole corpus is ranked: documents of
+    score zero, by id, fill up what a query lacks (ties go to the smaller id).
     """
     pos = positives.select("query_id", "doc_id").distinct()
-    cand = scores.join(pos, ["query_id", "doc_id"], "left_anti")
-    return top_k(cand, num_negatives, digits).select("query_id", "rank", "doc_id", "score")
+    ranked = top_k(scores.join(pos, ["query_id", "doc_id"], "left_anti"), num_negatives, digits).select(
+        "query_id", "rank", "doc_id", "score")
+    if queries is None or corpus is None:
+        return ranked
+    ranked = materialize(ranked, "negatives")
+    # a query with fewer than n negatives has all its scored documents among them; besides these and
+    # its positives, n documents of the corpus suffice to fill it up
+    have = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
+    known = pos.groupBy("query_id").agg(F.count(F.lit(1)).alias("known"))
+    lacking = (queries.select("query_id").distinct().join(have, "query_id", "left").join(known, "query_id", "left")
+               .where(F.coalesce("have", F.lit(0)) < num_negatives)
+               .select("query_id", (F.coalesce("known", F.lit(0)) + 2 * num_negatives).cast("long").alias("wide")))
+    widest = lacking.agg(F.max("wide").alias("w")).first()["w"]
+    if widest is None:
+        return ranked
+    pool = with_position(corpus.select("doc_id").distinct(), ["doc_id"], pos_col="_p").where(F.col("_p") < widest)
+    slots = lacking.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("_p"))
+    taken = ranked.select("query_id", "doc_id").union(pos)
+    zero = slots.join(pool, "_p").select("query_id", "doc_id").join(taken, ["query_id", "doc_id"], "left_anti")
+    both = ranked.select("query_id", "doc_id", "score").union(zero.withColumn("score", F.lit(0.0)))
+    return top_k(both, num_negatives, digits).select("query_id", "rank", "doc_id", "score")
 
 
 def collect_negatives(ranked: DataFrame) -> DataFrame:
@@ -188,26 +226,58 @@ def collect_negatives(ranked: DataFrame) -> DataFrame:
         .alias("negatives"))
 
 
+def _pieces(token: str, lengths: list[int], kind: str) -> F.Column:
+    """array<string>: the token's beginnings, ends, or all pieces of the given lengths."""
+    size = F.length(token)
+
+    def cut(n: int) -> F.Column:
+        if kind == "begin":
+            return F.array(F.substring(token, 1, n))
+        if kind == "end":
+            return F.array(F.substr(F.col(token), size - n + 1, F.lit(n)))
+        return F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(F.col(token), i, F.lit(n)))
+
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*[F.when(size >= n, cut(n)).otherwise(none) for n in lengths])))
+
+
 def verbatim_qrels(queries: DataFrame, corpus: DataFrame, index: LexicalIndex,
                    q_text: str = "text", q_id: str = "query_id", d_text: str = "text", d_id: str = "doc_id") -> DataFrame:
     """(query_id, doc_id) where the document contains the query text verbatim.
 
-    Candidates come from an equi-join on the query's rarest *interior* token
-    (interior tokens are delimited inside the query, so they are whole tokens
-    wherever the query occurs); ``instr`` then verifies.  No cross join.
-    Queries with fewer than three tokens have no interior token and get no pair.
+    Candidates come from equi-joins on one token of the query; ``instr`` then
+    verifies.  From three tokens on it is the rarest *interior* token, which is
+    delimited inside the query and so a whole token wherever the query occurs.
+    The tokens of shorter queries may be parts of a document's tokens: the first
+    of two ends one, the second begins one (the longer of both is used), a
+    single one lies anywhere in one.  The term table's distinct tokens are cut
+    into such pieces of just the lengths that short queries have.  Queries
+    without any token (marks only, or empty) are compared with every document.
     """
-    qt = queries.select(F.col(q_id).alias("query_id"), F.col(q_text).alias("q_text"))
-    qa = qt.select("query_id", words(F.col("q_text")).alias("_a"))
-    toks = explode_items(qa.withColumn("n", F.size("_a")), ["query_id", "n"], F.col("_a"), "token", "p")
+    qt = queries.select(F.col(q_id).alias("query_id"), F.col(q_text).alias("q_text")).where(F.col("q_text").isNotNull())
+    small = small_enough(qt)   # a few rows at most are derived from each query
+    qa = qt.select("query_id", "q_text", words(F.col("q_text")).alias("_a")).withColumn("n", F.size("_a"))
+    toks = explode_items(qa.where("n >= 3"), ["query_id", "n"], F.col("_a"), "token", "p")
     interior = toks.where((F.col("p") > 0) & (F.col("p") < F.col("n") - 1))
     rare = (interior.join(index.terms, "token")
             .groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token")))
-    small = small_enough(qt)   # at most one rare token per query
-    cand = index.postings.select("doc_id", "token").join(_bc(rare, small), "token")
+    first, last = F.element_at("_a", 1), F.element_at("_a", -1)
+    kind = (F.when(F.col("n") == 1, "any").when(F.length(first) >= F.length(last), "end").otherwise("begin"))
+    short = qa.where("n BETWEEN 1 AND 2").select(
+        "query_id", kind.alias("kind"), F.when(kind == "begin", last).otherwise(first).alias("piece"))
+    for row in short.groupBy("kind").agg(F.collect_set(F.length("piece")).alias("lengths")).collect():
+        pieces = index.terms.select("token", F.explode(_pieces("token", sorted(row["lengths"]), row["kind"])).alias("piece"))
+        mine = short.where(F.col("kind") == row["kind"]).select("query_id", "piece")
+        rare = rare.union(pieces.join(_bc(mine, small), "piece").select("query_id", "token"))
+    cand = (index.postings.select("doc_id", "token").join(_bc(rare, small and not short.take(1)), "token")
+            .select("query_id", "doc_id").distinct())
     docs = corpus.select(F.col(d_id).alias("doc_id"), F.col(d_text).alias("d_text"))
     pairs = cand.join(docs, "doc_id").join(_bc(qt, small), "query_id")
-    return pairs.where(F.instr(F.col("d_text"), F.col("q_text")) > 0).select("query_id", "doc_id")
+    found = pairs.where(F.instr(F.col("d_text"), F.col("q_text")) > 0).select("query_id", "doc_id")
+    bare = qa.where("n = 0").select("query_id", "q_text")
+    if bare.take(1):
+        found = found.union(docs.join(_bc(bare, small), F.col("d_text").contains(F.col("q_text"))).select("query_id", "doc_id"))
+    return found
 
 
 def vocab_first_seen(tokens: DataFrame, doc_order: str = "doc_id") -> DataFrame:
@@ -224,10 +294,10 @@ def df_stopwords(index: LexicalIndex, max_df_ratio: float = 0.5) -> DataFrame:
 
 
 def save_index(index: LexicalIndex, path: str) -> None:
-    """SNK-8 / RET-9: persist a fitted index (postings, terms, scalars) as parquet."""
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    """SNK-8 / RET-9: persist a fitted index (document rows with their norms, terms, scalars) as Parquet."""
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    spark = index.postings.sparkSession
+    spark = index.docs.sparkSession
     spark.createDataFrame([(index.n_docs, index.avgdl)], "n_docs long, avgdl double") \
         .write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -235,5 +305,5 @@ def save_index(index: LexicalIndex, path: str) -> None:
 def load_index(spark, path: str) -> LexicalIndex:
     """Read an index written by ``save_index``."""
     st = spark.read.parquet(f"{path}/stats").first()
-    return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
+    return LexicalIndex(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/terms"),
                         int(st["n_docs"]), float(st["avgdl"]))

@@ -1,9 +1,12 @@
 """Retrieval, hard negatives and vocabulary tools."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import vocab as V
+from corpusmill.plans.mining import MiningConfig, mine_job
 
 
 def _corpus(spark):
@@ -12,7 +15,7 @@ def _corpus(spark):
 
 
 def test_hard_negatives_skip_positive(spark):
-    idx = R.build_index(_corpus(spark), materialize=False)
+    idx = R.build_index(_corpus(spark))
     q = spark.createDataFrame([(0, "apple banana")], "query_id long, text string")
     scores = R.bm25_scores(idx, R.query_terms(q, "text", "query_id"))
     ranked = [r.doc_id for r in R.top_k(scores, 10).orderBy("rank").collect()]
@@ -32,11 +35,54 @@ def test_index_stats(spark):
 def test_verbatim_qrels(spark):
     corpus = spark.createDataFrame([(0, "xx the quick brown fox yy"), (1, "quick brown"), (2, "a quick brown fox!")],
                                    "doc_id long, text string")
-    idx = R.build_index(corpus, materialize=False)
+    idx = R.build_index(corpus)
     q = spark.createDataFrame([(9, "quick brown fox")], "query_id long, text string")
     assert sorted(r.doc_id for r in R.verbatim_qrels(q, corpus, idx).collect()) == [0, 2]
 
 
+def test_verbatim_qrels_of_short_queries(spark):
+    texts = ["the quick brown fox", "red fox den", "unbrown foxes", "brownfox", "fox", "!! ok ??", None, ""]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = ["brown fox", "fox", "ox", "!!", "d fo", "", None, "no such", "e quick brow"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    got = {(r.query_id, r.doc_id) for r in R.verbatim_qrels(q, corpus, R.build_index(corpus)).collect()}
+    assert got == {(i, j) for i, a in enumerate(asked) for j, t in enumerate(texts)
+                   if a is not None and t is not None and a in t}
+
+
+def test_negatives_are_filled_up_from_the_whole_corpus(spark):
+    corpus = _corpus(spark)
+    q = spark.createDataFrame([(0, "elder"), (1, "nothing"), (2, "apple")], "query_id long, text string")
+    scores = R.bm25_scores(R.build_index(corpus), R.query_terms(q, "text", "query_id"))
+    pos = spark.createDataFrame([(0, 0), (1, 1)], "query_id long, doc_id long")
+    got = {}
+    for r in R.hard_negatives(scores, pos, 3, queries=q, corpus=corpus).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == {0: [2, 1, 3], 1: [0, 2, 3], 2: [0, 3, 1]}
+
+
+def test_scores_need_no_exchange_by_query_and_document(spark):
+    idx = R.build_index(_corpus(spark), norms=True)
+    q = R.query_terms(spark.createDataFrame([(0, "apple banana")], "query_id long, text string"), "text", "query_id")
+    for s in (R.bm25_scores(idx, q), R.tfidf_scores(idx, q)):
+        plan = R.top_k(s, 2)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query_id" in plan and "WindowGroupLimit" in plan
+        assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan)
+
+
+def test_mining_job_caps_saves_and_loads(spark, tmp_path):
+    rows = [(i, f"word{i} common", f"word{i} text number {i % 4}") for i in range(12)] + [(12, "x", "word0 text number 0")]
+    df = spark.createDataFrame(rows, "doc_id long, query string, doc_text string")
+    cfg = MiningConfig(num_samples=8, num_negatives=2)
+    out = mine_job({"a": df, "b": df.where("doc_id > 7")}, cfg, str(tmp_path))
+    mined = {r.query_id: r.negatives for r in R.collect_negatives(out["a"]).collect()}
+    assert set(mined) == set(range(8)) and all(i not in n and len(n) == 2 for i, n in mined.items())
+    saved = {r.query_id: r.negatives for r in spark.read.json(str(tmp_path / "hard_negatives_a")).collect()}
+    assert saved == mined
+    again = MiningConfig(num_samples=8, num_negatives=2, index_path=str(tmp_path / "a_lucene_model"))
+    assert {r.query_id: r.negatives for r in R.collect_negatives(mine_job({"a": df}, again)["a"]).collect()} == mined
+
+
 def test_add_tokens(spark):
     vocab = spark.createDataFrame([("a", 0), ("b", 1), ("token3", 2)], "token string, id long")
     new = spark.createDataFrame([("token1", "normal", 0), ("token2", "normal", 1), ("token3", "normal", 2),
