@@ -177,11 +177,17 @@ def encode_texts(df: DataFrame, text_col: str, key_cols: list[str], vocab: DataF
                  vocab_rows: int | None = None) -> DataFrame:
     """VOC-6 from raw texts: rows are hash-partitioned by their key first, so the
     per-row regrouping of token ids after the (broadcast) vocabulary join needs
-    no exchange of token rows.  Result ``(key..., ids)``; rows without tokens
-    are absent."""
-    keyed = df.repartition(*[F.col(k) for k in key_cols])
-    toks = explode_items(keyed, key_cols, words(F.col(text_col)), "token", "tok_pos")
-    return encode(toks, vocab, unk_id, key_cols, vocab_rows)
+    no exchange of token rows.  Result ``(key..., ids)``, one row per key; rows
+    without tokens (null texts too) have an empty array."""
+    v = vocab.select("token", F.col("id").alias("_id"))
+    if vocab_rows is not None and vocab_rows <= VOCAB_BROADCAST_ROWS:
+        v = F.broadcast(v)
+    base = df.repartition(*[F.col(k) for k in key_cols]).select(*key_cols, words(F.col(text_col)).alias("_cm_arr"))
+    toks = base.select(*key_cols, F.posexplode_outer("_cm_arr").alias("tok_pos", "token"))
+    ided = toks.join(v, "token", "left")
+    known = F.when(F.col("token").isNotNull(), F.struct("tok_pos", F.coalesce("_id", F.lit(unk_id)).alias("id")))
+    return ided.groupBy(*key_cols).agg(
+        F.transform(F.array_sort(F.collect_list(known)), lambda x: x["id"]).alias("ids"))
 
 
 def _viterbi(word: str, logp: dict, max_len: int):

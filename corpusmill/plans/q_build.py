@@ -49,7 +49,8 @@ wc AS (SELECT token, count(*) AS n FROM (SELECT unnest({W('text')}) AS token FRO
 voc AS (SELECT token, id FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 + {FIRST} AS id FROM wc)
         WHERE id < {VOCAB_SIZE}),
 tok AS (SELECT doc_id, unnest({W('text')}) AS token, unnest(range(len({W('text')}))) AS p FROM documents),
-enc AS (SELECT doc_id, list(coalesce(voc.id, {UNK}) ORDER BY p) AS ids FROM tok LEFT JOIN voc USING (token) GROUP BY doc_id)"""
+ent AS (SELECT doc_id, list(coalesce(voc.id, {UNK}) ORDER BY p) AS ids FROM tok LEFT JOIN voc USING (token) GROUP BY doc_id),
+enc AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN ent USING (doc_id))"""
 
 
 @register("char_vocab",
@@ -132,58 +133,59 @@ def corpus_lines_q(spark, d):
 
 
 _PACK_SQL = f"""{_VOC_SQL},
-p AS (SELECT doc_id, ids, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM enc),
-b AS (SELECT ids, pos // 1000 AS batch, CAST(coalesce(sum(len(ids)) OVER (PARTITION BY pos // 1000 ORDER BY pos
+p AS (SELECT doc_id, [{BOS}] || ids || [{EOS}] AS ids,
+      [1] || list_transform(ids, lambda x: 0) || [1] AS sp, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM enc),
+b AS (SELECT ids, sp, pos // 1000 AS batch, CAST(coalesce(sum(len(ids)) OVER (PARTITION BY pos // 1000 ORDER BY pos
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM p),
-t AS (SELECT batch, off, unnest(range(len(ids))) AS i, unnest(ids) AS tok FROM b),
-blk AS (SELECT batch, CAST((off + i) // 128 AS BIGINT) AS block, count(*) AS n, list(tok ORDER BY off + i) AS input_ids
-        FROM t GROUP BY 1, 2),
-packed AS (SELECT batch, block, input_ids, input_ids AS labels FROM blk WHERE n = 128)"""
+t AS (SELECT batch, off, unnest(range(len(ids))) AS i, unnest(ids) AS tok, unnest(sp) AS s FROM b),
+blk AS (SELECT batch, CAST((off + i) // 128 AS BIGINT) AS block, count(*) AS n, list(tok ORDER BY off + i) AS input_ids,
+        list(s ORDER BY off + i) AS sp FROM t GROUP BY 1, 2),
+packed AS (SELECT batch, block, input_ids, input_ids AS labels, sp AS special_tokens_mask FROM blk WHERE n = 128)"""
 
 
 def _packed(spark, d):
-    return TS.pack_blocks(_encoded_docs(spark, d), 128, "doc_id", "ids", 1000)
+    ids = F.concat(F.array(F.lit(BOS)), "ids", F.array(F.lit(EOS)))
+    mask = F.concat(F.array(F.lit(1)), F.transform("ids", lambda x: F.lit(0)), F.array(F.lit(1)))
+    enc = _encoded_docs(spark, d).select("doc_id", ids.alias("ids"), mask.alias("special_tokens_mask"))
+    return TS.pack_blocks(enc, 128, "doc_id", "ids", 1000, ("special_tokens_mask",))
 
 
 @register("pack_blocks", f"WITH {_PACK_SQL} SELECT * FROM packed")
 def pack_blocks_q(spark, d):
-    """TRN-2/3: blocks of 128 ids per 1000-document map batch, remainder dropped."""
+    """TRN-2/3: blocks of 128 ids and their special-token mask per 1000-document map batch, remainder dropped."""
     return _packed(spark, d)
 
 
-def _u_sql(seed: int, row: str, i: str) -> str:
-    return f"(('0x' || substr(md5('{seed}:' || {row} || ':' || CAST({i} AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0)"
+def _u_sql(no: int, row: str, i: str) -> str:
+    return (f"(('0x' || substr(md5('42:' || {row} || ':' || CAST({i} AS VARCHAR)), {8 * no + 1}, 8))::BIGINT "
+            "/ 4294967296.0)")
 
 
 _ROW = "(CAST(batch AS VARCHAR) || '-' || CAST(block AS VARCHAR))"
+_ON = f"(special_tokens_mask[i + 1] = 0 AND {_u_sql(0, _ROW, 'i')} < 0.15)"
+_LABELS = f"list_transform(range(len(input_ids)), lambda i: CASE WHEN {_ON} THEN input_ids[i + 1] ELSE -100 END) AS labels"
 
 
 @register("mask_full",
           f"WITH {_PACK_SQL} SELECT batch, block, "
-          f"list_transform(range(len(input_ids)), lambda i: CASE WHEN {_u_sql(42, _ROW, 'i')} < 0.15 THEN {MASK} "
-          f"ELSE input_ids[i + 1] END) AS input_ids, "
-          f"list_transform(range(len(input_ids)), lambda i: CASE WHEN {_u_sql(42, _ROW, 'i')} < 0.15 "
-          f"THEN input_ids[i + 1] ELSE -100 END) AS labels FROM packed")
+          f"list_transform(range(len(input_ids)), lambda i: CASE WHEN {_ON} THEN {MASK} ELSE input_ids[i + 1] END) "
+          f"AS input_ids, {_LABELS} FROM packed")
 def mask_full(spark, d):
-    """TRN-6: every chosen token (p .15) becomes <mask>; labels -100 elsewhere."""
+    """TRN-6: every chosen token (p .15, no special token) becomes <mask>; labels -100 elsewhere."""
     p = _packed(spark, d).drop("labels").withColumn("row", F.concat_ws("-", "batch", "block"))
-    return TS.mask_tokens(p, "row", MASK, VOCAB_SIZE, 0.15, 42, "all_mask", special_col=None) \
-        .select("batch", "block", "input_ids", "labels")
+    return TS.mask_tokens(p, "row", MASK, VOCAB_SIZE, 0.15, 42, "all_mask").select("batch", "block", "input_ids", "labels")
 
 
 @register("mask_default",
           f"WITH {_PACK_SQL} SELECT batch, block, "
-          f"list_transform(range(len(input_ids)), lambda i: CASE WHEN NOT ({_u_sql(42, _ROW, 'i')} < 0.15) "
-          f"THEN input_ids[i + 1] WHEN {_u_sql(43, _ROW, 'i')} < 0.8 THEN {MASK} "
-          f"WHEN {_u_sql(43, _ROW, 'i')} < 0.9 THEN CAST(floor({_u_sql(44, _ROW, 'i')} * {VOCAB_SIZE}) AS BIGINT) "
-          f"ELSE input_ids[i + 1] END) AS input_ids, "
-          f"list_transform(range(len(input_ids)), lambda i: CASE WHEN {_u_sql(42, _ROW, 'i')} < 0.15 "
-          f"THEN input_ids[i + 1] ELSE -100 END) AS labels FROM packed")
+          f"list_transform(range(len(input_ids)), lambda i: CASE WHEN NOT {_ON} "
+          f"THEN input_ids[i + 1] WHEN {_u_sql(1, _ROW, 'i')} < 0.8 THEN {MASK} "
+          f"WHEN {_u_sql(1, _ROW, 'i')} < 0.9 THEN CAST(floor({_u_sql(2, _ROW, 'i')} * {VOCAB_SIZE}) AS BIGINT) "
+          f"ELSE input_ids[i + 1] END) AS input_ids, {_LABELS} FROM packed")
 def mask_default(spark, d):
     """TRN-7: 80 % <mask>, 10 % random id, 10 % unchanged among chosen tokens."""
     p = _packed(spark, d).drop("labels").withColumn("row", F.concat_ws("-", "batch", "block"))
-    return TS.mask_tokens(p, "row", MASK, VOCAB_SIZE, 0.15, 42, "default", special_col=None) \
-        .select("batch", "block", "input_ids", "labels")
+    return TS.mask_tokens(p, "row", MASK, VOCAB_SIZE, 0.15, 42, "default").select("batch", "block", "input_ids", "labels")
 
 
 _LINES_SQL = f"""{_VOC_SQL},
@@ -194,7 +196,7 @@ lt AS (SELECT doc_id, line_no, unnest({W('line')}) AS token, unnest(range(len({W
 le AS (SELECT doc_id, line_no, list(coalesce(voc.id, {UNK}) ORDER BY p) AS ids FROM lt LEFT JOIN voc USING (token)
        GROUP BY 1, 2),
 x AS (SELECT nb.doc_id, nb.line_no, coalesce(le.ids, []) AS ids FROM nb LEFT JOIN le USING (doc_id, line_no)),
-y AS (SELECT doc_id, line_no, ([{BOS}] || ids || [{EOS}])[1:64] AS s FROM x)"""
+y AS (SELECT doc_id, line_no, ([{BOS}] || ids[1:62] || [{EOS}]) AS s FROM x)"""
 
 
 @register("line_examples",
@@ -208,9 +210,7 @@ def line_examples_q(spark, d):
     lines = doc.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")) \
                .withColumn("line_no", F.col("line_no").cast("bigint")).where(tx.py_strip("line") != "")
     enc = V.encode_texts(lines, "line", ["doc_id", "line_no"], _vocab(spark, d), UNK, vocab_rows=VOCAB_WORDS)
-    full = lines.select("doc_id", "line_no").join(enc, ["doc_id", "line_no"], "left") \
-                .withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
-    return TS.line_examples(full, 64, BOS, EOS, PAD).select(
+    return TS.line_examples(enc, 64, BOS, EOS, PAD).select(
         "doc_id", "line_no", "input_ids", "attention_mask", "special_tokens_mask")
 
 
@@ -229,6 +229,21 @@ def contrastive_pairs(spark, d):
     return pairs.select("conv_id", "turn", "anchor", "positive", F.lit(0).alias("label"))
 
 
+@register("role_pairs",
+          "WITH " + _turn_pairs_sql() + ",\nn AS (SELECT pr.*, lead(anchor) OVER (ORDER BY conv_id, turn) AS other FROM pr),\n"
+          "k AS (SELECT *, md5('7:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS k FROM n "
+          "WHERE other IS NOT NULL)\n"
+          "SELECT conv_id, turn, anchor, positive, other AS negative, CAST(conv_id % 3 AS BIGINT) AS label "
+          "FROM k ORDER BY k, conv_id, turn LIMIT 60")
+def role_pairs_q(spark, d):
+    """TRN-9 / PRJ-3: anchor, positive, negative and label columns mapped by name, seeded cap of 60."""
+    pairs = with_position(TS.next_turn_pairs(table(spark, d, "conversations")), ["conv_id", "turn"], pos_col="p")
+    other = pairs.select((F.col("p") - 1).alias("p"), F.col("anchor").alias("other"))
+    rows = pairs.join(other, "p").withColumn("kind", F.col("conv_id") % 3)
+    return TS.role_pairs(rows, {"anchor": "anchor", "positive": "positive", "negative": "other", "label": "kind"},
+                         60, ["conv_id", "turn"], 7)
+
+
 def _enc_sql(col: str, name: str) -> str:
     return (f"{name}t AS (SELECT conv_id, turn, unnest({W(col)}) AS token, unnest(range(len({W(col)}))) AS p FROM pr),\n"
             f"{name} AS (SELECT conv_id, turn, list(coalesce(voc.id, {UNK}) ORDER BY p) AS ids FROM {name}t "
@@ -239,8 +254,11 @@ def _enc_sql(col: str, name: str) -> str:
           f"WITH {_VOC_SQL},{_turn_pairs_sql()},\n{_enc_sql('anchor', 'ae')},\n{_enc_sql('positive', 'pe')},\n"
           "x AS (SELECT pr.conv_id, pr.turn, coalesce(ae.ids, []) AS a, coalesce(pe.ids, []) AS b FROM pr "
           "LEFT JOIN ae USING (conv_id, turn) LEFT JOIN pe USING (conv_id, turn)),\n"
-          f"y AS (SELECT conv_id, turn, ([{BOS}] || a || [{EOS}] || b || [{EOS}])[1:128] AS s, "
-          "(row_number() OVER (ORDER BY conv_id, turn) - 1) // 32 AS batch FROM x),\n"
+          "k AS (SELECT *, CASE WHEN len(a) + len(b) <= 125 THEN len(a) WHEN len(a) <= len(b) THEN least(len(a), 62) "
+          "ELSE 125 - least(len(b), 62) END AS ka, CASE WHEN len(a) + len(b) <= 125 THEN len(b) "
+          "WHEN len(a) <= len(b) THEN 125 - least(len(a), 62) ELSE least(len(b), 62) END AS kb FROM x),\n"
+          f"y AS (SELECT conv_id, turn, ([{BOS}] || a[1:ka] || [{EOS}] || b[1:kb] || [{EOS}]) AS s, "
+          "(row_number() OVER (ORDER BY conv_id, turn) - 1) // 32 AS batch FROM k),\n"
           "z AS (SELECT *, least(CAST(ceil(max(len(s)) OVER (PARTITION BY batch) / 8) * 8 AS BIGINT), 128) AS L FROM y)\n"
           f"SELECT conv_id, turn, batch, s || list_transform(range(L - len(s)), lambda k: {PAD}) AS input_ids, "
           "list_transform(range(len(s)), lambda k: 1) || list_transform(range(L - len(s)), lambda k: 0) "
