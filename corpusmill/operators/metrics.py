@@ -104,19 +104,21 @@ def label_ids(df: DataFrame, label: str, out: str = "label_id", passthrough=-1)
 def exact_median(df: DataFrame, group_cols: list[str], value: str, out: str = "median") -> DataFrame:
     """Exact median per group (mean of the two middle values for an even count).
 
-    Positions inside each group come from a range-partitioned sort, so a group
-    holding a third of the rows is split across tasks; only the two middle rows
-    per group are aggregated.
+    Positions inside each group come from a range-partitioned sort with a row
+    number as the last key, so neither a group nor a single value that holds a
+    third of the rows lands in one task; only the two middle rows per group are
+    aggregated.
     """
-    v = df.select(*group_cols, value).where(F.col(value).isNotNull())
-    j = with_position(v, [value], partition_by=group_cols, pos_col="_p", size_col="_n")
+    v = df.select(*group_cols, value, F.monotonically_increasing_id().alias("_tie")).where(F.col(value).isNotNull())
+    j = with_position(v, [value, "_tie"], partition_by=group_cols, pos_col="_p", size_col="_n")
     mid = j.where((F.col("_p") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_p") == F.ceil((F.col("_n") - 1) / 2)))
     return mid.groupBy(*group_cols).agg(F.avg(value).alias(out))
 
 
-def median_pivot(df: DataFrame, row: str, col: str, value: str, digits: int = 6) -> DataFrame:
-    """AGG-16: rows x columns table of medians."""
-    med = exact_median(df, [row, col], value)
+def median_pivot(df: DataFrame, row: str, col: str, value: str, digits: int = 6,
+                 error_col: str | None = None) -> DataFrame:
+    """AGG-16 / FLT-14: rows x columns table of medians over the records without an error."""
+    med = exact_median(df if error_col is None else df.where(F.col(error_col).isNull()), [row, col], value)
     return med.groupBy(row).pivot(col).agg(F.round(F.first("median"), digits))
 
 

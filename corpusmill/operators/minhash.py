@@ -156,6 +156,25 @@ def drop_near_duplicates(df: DataFrame, col: str, order_col: str, **kw) -> DataF
                             for c in df.columns])
 
 
+def dedup_counts(df: DataFrame, col: str, order_col: str, by_minhash: bool = True, **kw) -> DataFrame:
+    """DD-8 / AGG-8: one row with the texts that each method removes.
+
+    ``before_nulls`` (texts missing from the start), ``removed_exact``,
+    ``removed_minhash`` (after the exact pass) and their sum ``removed``.
+    """
+    from .dedup import dedup_column
+
+    exact = dedup_column(df.select(order_col, col, F.col(col).isNull().alias("_cm_was")), col, [order_col])
+    if by_minhash:
+        exact = near_duplicate_flags(exact, col, order_col, flag_col="_cm_nd", **kw)
+    else:
+        exact = exact.withColumn("_cm_nd", F.lit(False))
+    return exact.agg(F.count_if("_cm_was").alias("before_nulls"),
+                     F.count_if(F.col(col).isNull() & ~F.col("_cm_was")).alias("removed_exact"),
+                     F.count_if("_cm_nd").alias("removed_minhash")).withColumn(
+        "removed", F.col("removed_exact") + F.col("removed_minhash"))
+
+
 def minhash_signatures(df: DataFrame, col: str, id_col: str, num_perm: int = 128) -> DataFrame:
     """(id, sig) per non-null text — signatures are shared by equal character sets."""
     keyed = df.where(F.col(col).isNotNull()).select(id_col, char_set_key(F.col(col)).alias("set_key"))

@@ -103,6 +103,27 @@ def ir_metrics_q(spark, d):
     return VM.ir_metrics_same_label(ranked, e, "vec_id", "label")
 
 
+@register("ir_metrics_pairs",
+          f"WITH {_NORM_SQL},\npr AS (SELECT a.vec_id AS q, b.vec_id AS d FROM n a JOIN n b ON b.label = a.label AND b.rn = a.rn + 1),\n"
+          "s AS (SELECT a.vec_id AS q, b.vec_id AS d, round(list_inner_product(a.v, b.v), 6) AS s FROM n a JOIN n b "
+          "ON a.vec_id <> b.vec_id),\n"
+          "k AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS r FROM s),\n"
+          "x AS (SELECT pr.q, CASE WHEN r <= 100 THEN r END AS r FROM pr JOIN k USING (q, d))\n"
+          "SELECT " + ", ".join(
+              f"round(avg(CASE WHEN r <= {k} THEN 1.0 ELSE 0 END), 6) AS accuracy_at_{k}, "
+              f"round(avg(CASE WHEN r <= {k} THEN 1.0 / {k} ELSE 0 END), 6) AS precision_at_{k}, "
+              f"round(avg(CASE WHEN r <= {k} THEN 1.0 ELSE 0 END), 6) AS recall_at_{k}" for k in (1, 3, 5, 10)) +
+          ", round(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0 END), 6) AS mrr_at_10, "
+          "round(avg(CASE WHEN r <= 10 THEN 1.0 / log2(r + 1) ELSE 0 END), 6) AS ndcg_at_10, "
+          "round(avg(CASE WHEN r <= 100 THEN 1.0 / r ELSE 0 END), 6) AS map_at_100 FROM x")
+def ir_metrics_pairs(spark, d):
+    """JN-9 / AGG-19: explicit relevance pairs (the next vector of the same label); others take no part."""
+    e = table(spark, d, "embeddings")
+    ranked = VM.cosine_topk(e, e, 100, "vec_id", "vec_id", "embedding", exclude_self=True)
+    pairs = VM.neighbour_pairs(e, "vec_id", "embedding", "label")
+    return VM.ir_metrics(ranked, pairs.select(F.col("id1").alias("query_id"), F.col("id2").alias("doc_id")))
+
+
 @register("triplet_accuracy",
           f"WITH {_NORM_SQL},\nmx AS (SELECT max(label) + 1 AS m FROM embeddings)\n"
           "SELECT round(avg(CAST(list_inner_product(a.v, p.v) > list_inner_product(a.v, ng.v) AS DOUBLE)), 6) "
@@ -298,6 +319,16 @@ def median_pivot(spark, d):
     return M.median_pivot(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice")
 
 
+@register("median_pivot_valid",
+          "SELECT event_type, round(median(value) FILTER (WHERE user_id % 2 = 0), 6) AS \"0\", "
+          "round(median(value) FILTER (WHERE user_id % 2 = 1), 6) AS \"1\" FROM events WHERE event_id % 7 <> 0 GROUP BY 1")
+def median_pivot_valid(spark, d):
+    """AGG-16 / FLT-14: medians over the records without an error (every seventh one has one)."""
+    e = table(spark, d, "events").select("event_type", (F.col("user_id") % 2).alias("half"), "value",
+                                         F.when(F.col("event_id") % 7 == 0, "failed").alias("error"))
+    return M.median_pivot(e, "event_type", "half", "value", error_col="error")
+
+
 @register("rate_columns",
           "SELECT event_id, CASE WHEN event_type <> 'error' AND value > 0 THEN round(value / length(props) * 1000.0, 6) "
           "ELSE 'NaN'::DOUBLE END AS avg_time_per_text_ms, CASE WHEN event_type <> 'error' AND value > 0 "

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.dedup import dedup_column, dedup_records, null_count
-from ..operators.minhash import earliest_candidates, minhash_signatures, near_duplicate_flags, optimal_bands
+from ..operators.minhash import dedup_counts, earliest_candidates, minhash_signatures, near_duplicate_flags, optimal_bands
 from ..operators.sampling import cap_prefix, lazy_cap, percent_slice, shuffle_take
 from ..operators.splits import split_dataset
+from ..operators.trainset import build_texts, text_column
 from ..sources.tables import table
 from . import sqltext as S
 from .cleanse import cleanse, cleanse_columns, keep_any_field, normalize_fields
@@ -45,13 +46,22 @@ def strip_text(spark, d):
 
 
 @register("build_text",
-          "SELECT conv_id, turn, " + S.strip("concat_ws(' ', role, CAST(turn AS VARCHAR), text)") +
-          " AS built FROM conversations")
+          "SELECT conv_id, turn, " + S.strip("concat_ws(' ', text, CAST(turn AS VARCHAR), role)") + " AS built "
+          "FROM conversations WHERE " + S.strip("concat_ws(' ', text, CAST(turn AS VARCHAR), role)") + " <> ''")
 def build_text(spark, d):
-    """PRJ-8: fields joined by a space (nulls skipped, numbers as text), stripped."""
-    c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn",
-                    tx.py_strip(F.concat_ws(" ", "role", F.col("turn").cast("string"), "text")).alias("built"))
+    """PRJ-8 / FLT-13: fields joined by a space in the order named (nulls skipped, numbers as text), stripped."""
+    return build_texts(table(spark, d, "conversations"), ["text", "turn", "role"], "built").select("conv_id", "turn", "built")
+
+
+@register("text_column", "SELECT item_id, text AS line FROM benchmark UNION ALL SELECT conv_id, text FROM conversations "
+          "UNION ALL SELECT r_regionkey, CAST(r_regionkey AS VARCHAR) FROM region")
+def text_column_q(spark, d):
+    """PRJ-9: the column called text where there is one, else the first column."""
+    out = []
+    for name, key in (("benchmark", "item_id"), ("conversations", "conv_id"), ("region", "r_regionkey")):
+        t = table(spark, d, name)
+        out.append(t.select(F.col(key).cast("bigint").alias("item_id"), F.col(text_column(t)).cast("string").alias("line")))
+    return out[0].union(out[1]).union(out[2])
 
 
 # --- predicates (flags for every row, so true and false cases are compared) --
@@ -242,16 +252,16 @@ def dedup_column_q(spark, d):
 
 
 @register("dedup_counts",
-          "SELECT count(*) FILTER (WHERE text IS NULL) AS before_nulls, "
-          "count(*) - count(DISTINCT text) AS after_nulls, "
-          "count(*) - count(DISTINCT text) - count(*) FILTER (WHERE text IS NULL) AS removed FROM documents")
-def dedup_counts(spark, d):
-    """AGG-8: removed = nulls after the exact pass minus nulls before (one aggregate)."""
-    doc = table(spark, d, "documents").select("doc_id", "text", F.col("text").alias("orig"))
-    out = dedup_column(doc, "text", ["doc_id"])
-    return out.agg(F.count_if(F.col("orig").isNull()).alias("before_nulls"),
-                   F.count_if(F.col("text").isNull()).alias("after_nulls")) \
-              .withColumn("removed", F.col("after_nulls") - F.col("before_nulls"))
+          "WITH " + _near_dup_sql("documents", "doc_id", "text") +
+          ",\nex AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text)\n"
+          "SELECT *, removed_exact + removed_minhash AS removed FROM "
+          "(SELECT count(*) FILTER (WHERE text IS NULL) AS before_nulls, "
+          "count(*) - count(DISTINCT text) - count(*) FILTER (WHERE text IS NULL) AS removed_exact, "
+          f"(SELECT count(*) FROM ex JOIN best ON {S.char_set('ex.text')} = best.set_key WHERE best.earliest < ex.doc_id) "
+          "AS removed_minhash FROM documents)")
+def dedup_counts_q(spark, d):
+    """DD-8 / AGG-8: texts removed by the exact pass, by MinHash after it, and in total."""
+    return dedup_counts(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
 # --- MinHash / LSH ----------------------------------------------------------

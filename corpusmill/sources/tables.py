@@ -9,20 +9,15 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Guarantee scan parallelism for CPU-heavy text work.
-
-    A table stored as a few large row groups scans in a few tasks however many
-    cores there are.  When the scan has fewer partitions than the cluster's
-    default parallelism, rows are spread round-robin over twice that many
-    partitions (one cheap shuffle).  Round-robin keeps column pruning and
-    filter pushdown working through the exchange, and Spark's sort before a
-    round-robin repartition keeps it deterministic when a task is retried.  On
-    a large input the scan already has far more partitions than cores and
-    nothing changes.
+    """Scan parallelism for a table that Spark reads in a single task.
+
+    A small file with one row group scans in one task however many cores there
+    are; its rows are then spread over all of them (one shuffle of at most
+    ``spark.sql.files.maxPartitionBytes``).  A scan of two or more partitions is
+    left as it is, so no larger table is ever reshuffled for this.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target * 2)
+    if df.rdd.getNumPartitions() == 1:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df
 
 

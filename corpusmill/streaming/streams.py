@@ -10,12 +10,15 @@ has a checkpoint location, so a restarted or failed query resumes exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.text import cleanse_text
+from ..operators.sampling import cap_prefix, shuffle_take
 from ..operators.trainset import pack_blocks
 
 
@@ -66,14 +69,32 @@ def write_stream(df: DataFrame, sink_path: str, checkpoint_location: str, fmt: s
 
 def pack_stream(stream: DataFrame, ids_col: str, order_col: str, block_size: int, sink_path: str,
                 checkpoint_location: str, batch_rows: int = 1000) -> StreamingQuery:
-    """STM-2/3: packing applied per micro-batch (``foreachBatch``), blocks appended to ``sink_path``.
+    """STM-2: packing applied per micro-batch, exactly like a batched map over a lazy dataset."""
+    return per_batch_stream(stream, lambda batch: pack_blocks(batch, block_size, order_col, ids_col, batch_rows),
+                            sink_path, checkpoint_location)
+
+
+def take_stream(stream: DataFrame, n: int | None, id_cols: list[str], sink_path: str, checkpoint_location: str,
+                seed: int | None = None) -> StreamingQuery:
+    """STM-3: the first ``n`` rows of every micro-batch by ``id_cols``, or of its seeded shuffle.
+
+    The micro-batch plays the part of the lazy reader's shuffle buffer.
+    """
+    def take(batch: DataFrame) -> DataFrame:
+        return cap_prefix(batch, n, list(id_cols)) if seed is None else shuffle_take(batch, n, list(id_cols), seed)
+
+    return per_batch_stream(stream, take, sink_path, checkpoint_location)
+
+
+def per_batch_stream(stream: DataFrame, step: Callable[[DataFrame], DataFrame], sink_path: str,
+                     checkpoint_location: str) -> StreamingQuery:
+    """UDF-2: any DataFrame step as a hook on every micro-batch, its rows under ``sink_path/epoch=<n>``.
 
-    Each micro-batch is packed on its own, exactly like a batched map over a
-    lazy dataset; the batch id is kept so blocks stay distinguishable.
+    The folder of an epoch is overwritten, so a batch that runs again after a
+    failure leaves its rows once.
     """
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        packed = pack_blocks(batch, block_size, order_col, ids_col, batch_rows)
-        packed.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(sink_path)
+        step(batch).write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/epoch={epoch}")
 
     return (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
             .trigger(availableNow=True).start())

@@ -74,3 +74,37 @@ def test_task_metrics_dispatch(spark):
     assert M.task_metrics(df, "JNLI", "p", "y", ["i"]).columns == ["accuracy"]
     assert M.sentence_columns("qnli", []) == ("question", "sentence")
     assert M.sentence_columns(None, ["a", "label", "b", "c"]) == ("a", "b")
+
+
+def test_queries_without_relevant_documents_take_no_part(spark):
+    from corpusmill.operators import vecmetrics as VM
+    ranked = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 1, 10)], "query_id int, rank int, doc_id int")
+    relevant = spark.createDataFrame([(1, 10), (3, 99)], "query_id int, doc_id int")
+    assert VM.ir_metrics(ranked, relevant.where("query_id = 1")).first().accuracy_at_1 == 1.0
+    assert VM.ir_metrics(ranked, relevant).first().accuracy_at_1 == 0.5       # query 3 has one, but found nothing
+
+
+def test_pooling_of_empty_sequences_and_first_token(spark):
+    from corpusmill.operators import vecmetrics as VM
+    rows = [("a", 0, [9.0, 9.0], False), ("a", 1, [1.0, 3.0], True), ("a", 2, [3.0, 5.0], False)]
+    t = spark.createDataFrame(rows, "g string, p int, v array<double>, bos boolean")
+    assert VM.pool(t, "g", "p", "v", "bos", bos_col="bos").first().pooled == [1.0, 3.0]
+    assert VM.pool(t, "g", "p", "v", "mean", last_n=0).first().pooled == [0.0, 0.0]
+    every = spark.createDataFrame([("a",), ("b",)], "g string")
+    got = {r.g: r.pooled for r in VM.pool(t, "g", "p", "v", "mean", last_n=2, sequences=every, dim=2).collect()}
+    assert got == {"a": [2.0, 4.0], "b": [0.0, 0.0]}
+
+
+def test_vector_search_with_string_ids_and_small_blocks(spark):
+    from corpusmill.operators import vecmetrics as VM
+    df = spark.createDataFrame([(f"v{i}", [float(i % 5), 1.0]) for i in range(30)], "k string, embedding array<double>")
+    one = VM.cosine_topk(df, df, 4, "k", "k", "embedding", True).orderBy("query_id", "rank").collect()
+    many = VM.cosine_topk(df, df, 4, "k", "k", "embedding", True, block_rows=7).orderBy("query_id", "rank").collect()
+    assert one == many and len(one) == 120
+
+
+def test_median_of_one_hot_value(spark):
+    from corpusmill.operators import metrics as M
+    df = spark.createDataFrame([("g", 0.0)] * 500 + [("g", float(i)) for i in range(400)] + [("h", 2.0), ("h", 4.0)],
+                               "g string, x double")
+    assert {r.g: r.median for r in M.exact_median(df, ["g"], "x").collect()} == {"g": 0.0, "h": 3.0}

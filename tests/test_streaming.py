@@ -29,3 +29,26 @@ def test_pack_stream(spark, tmp_path):
     q.awaitTermination()
     blocks = sorted(list(r.input_ids) for r in spark.read.parquet(str(tmp_path / "blocks")).collect())
     assert blocks == [[0, 0, 0, 1], [1, 1, 2, 2], [2, 3, 3, 3]]
+
+
+def test_batches_that_run_again_leave_their_rows_once(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(src / "a"))
+    stream = ST.read_stream(spark, str(src / "*"), df.schema)
+    for run in ("first", "again"):      # a lost checkpoint makes epoch 0 run twice
+        ST.take_stream(stream, 3, ["doc_id"], out, str(tmp_path / run)).awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [0, 1, 2]
+    ST.take_stream(stream, 3, ["doc_id"], str(tmp_path / "mixed"), str(tmp_path / "m"), seed=5).awaitTermination()
+    mixed = sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "mixed")).collect())
+    assert len(mixed) == 3 and mixed != [0, 1, 2]
+
+
+def test_union_of_streams_and_a_hook(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.createDataFrame([(1, name)], "doc_id long, text string").write.parquet(str(tmp_path / name))
+    schema = spark.read.parquet(str(tmp_path / "a")).schema
+    both = ST.union_streams(*[ST.read_stream(spark, str(tmp_path / n), schema) for n in ("a", "b")])
+    ST.per_batch_stream(both, lambda b: b.selectExpr("upper(text) AS text"), str(tmp_path / "o"),
+                        str(tmp_path / "c")).awaitTermination()
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "o")).collect()) == ["A", "B"]
