@@ -131,8 +131,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = cut(src.mapInPandas(run, f"id {kind}, th long, key binary, lo int, hi int, before array<long>, "
                                      "before_at array<int>, after array<long>, after_at array<int>"), "winnow")
     place = F.struct(F.col("id").isNotNull().alias("some"), "id", "th", "lo", "hi", "before", "after")
-    firsts = (found.groupBy("key").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select(F.col("key").alias("first_key"), "f"))
+    # written, so that the join below deals both sides out anew and can split a hot key
+    firsts = cut(found.groupBy("key").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n"))
+                 .where("n > 1").select(F.col("key").alias("first_key"), "f"), "winnow-first")
     later = found.join(firsts, F.col("key") == F.col("first_key")).where(
         ~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("lo") == F.col("f.lo"))))
 
