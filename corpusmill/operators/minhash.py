@@ -1,23 +1,26 @@
-"""MinHash / LSH near-duplicate detection over character sets.
-
-Shingles are the distinct characters of a text (the reference's choice).  The
-plan never materialises candidate pairs:
-
-* texts collapse to distinct character sets first (``set_key`` = the sorted
-  distinct characters), so the expensive part scales with distinct sets, not
-  rows;
-* permutation hashes are computed once per alphabet character
-  (``md5('i:ch')``, first 15 hex digits) — the alphabet is bounded by the
-  Unicode code space, and it is broadcast only below a checked row count;
-* the signature is 128 ``min`` aggregates (partial + final);
-* the LSH query "is there an earlier text in one of my buckets" is a
-  ``min(first position)`` per bucket joined back — a star join, so a bucket
-  holding a third of the corpus costs one aggregate row, not n^2 pairs.
+"""MinHash / LSH near-duplicate detection over sets of shingles.
+
+Shingles are the distinct characters of a text by default (the reference's
+choice); ``shingle=("char", k)`` or ``("word", k)`` takes k-character pieces or
+runs of k words instead.  The plan:
+
+* texts collapse to distinct shingle sets first (``set_key``: the sorted distinct
+  characters, or the digest of the sorted distinct shingles), so the expensive
+  part scales with distinct sets, not rows;
+* permutation hashes are computed once per distinct shingle (``md5('i:shingle')``,
+  first 15 hex digits); AQE broadcasts that table when it turns out small and
+  joins it by shuffle, splitting hot shingles, when not;
+* the signature is ``num_perm`` ``min`` aggregates (partial + final);
+* without verification the LSH query "is there an earlier text in one of my
+  buckets" is a ``min(first position)`` per bucket joined back: a star join, so a
+  bucket holding a third of the corpus costs one aggregate row, not n^2 pairs;
+* with ``verify=True`` a set is compared with **every** earlier distinct set of
+  its buckets, inside the join: only pairs whose exact Jaccard similarity reaches
+  the threshold leave it, and a ``min`` per set reduces these on the map side.
 
 A row is a near duplicate iff a text with a smaller position shares a band
-bucket (``verify=True`` additionally requires exact character-set Jaccard >=
-threshold against each bucket's earliest member).  The earliest row of every
-cluster survives; identical character sets always collide.
+bucket (and, verified, is similar enough).  The earliest row of every cluster
+survives; identical shingle sets always collide.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chars, explode_items
+from ..functions.text import chars, explode_items, words
+from ..session import materialize
 
 def _integrate(f, a: float, b: float, n: int = 200) -> float:
     if b <= a:
@@ -54,11 +58,42 @@ def optimal_bands(threshold: float, num_perm: int, fp_weight: float = 0.5, fn_we
     return best
 
 
+CHARACTERS = ("char", 1)
+
+
 def char_set_key(c) -> F.Column:
     """Sorted distinct characters joined into one string: equal iff equal sets."""
     return F.concat_ws("", F.array_sort(F.array_distinct(chars(c))))
 
 
+def shingles(c: F.Column, shingle: tuple[str, int] = CHARACTERS) -> F.Column:
+    """Sorted distinct shingles of a text; one that is shorter than a shingle is one itself, an empty one has none."""
+    kind, k = shingle
+    if kind not in ("char", "word") or k < 1:
+        raise ValueError("a shingle is ('char', k) or ('word', k)")
+    units = chars(c) if kind == "char" else words(c)
+    glue = "" if kind == "char" else " "
+    n = F.size(units)
+    runs = F.when(n > k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
+                                     lambda i: F.array_join(F.slice(units, i, F.lit(k)), glue)))
+    whole = F.when(n > 0, F.array(F.array_join(units, glue))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(units if k == 1 else F.coalesce(runs, whole)))
+
+
+def _keyed_sets(df: DataFrame, col: str, order_col: str, shingle: tuple[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(texts(_cm_o, set_key), sets(set_key, set_first, items))."""
+    base = df.where(F.col(col).isNotNull())
+    if tuple(shingle) == CHARACTERS:
+        texts = base.select(F.col(order_col).alias("_cm_o"), char_set_key(F.col(col)).alias("set_key"))
+        sets = texts.groupBy("set_key").agg(F.min("_cm_o").alias("set_first"))
+        return texts, sets.withColumn("items", chars(F.col("set_key")))
+    # the texts' shingles are needed by several branches below: written once
+    texts = materialize(base.select(F.col(order_col).alias("_cm_o"), shingles(F.col(col), shingle).alias("items"))
+                        .withColumn("set_key", F.md5(F.concat_ws("\x1f", "items"))), "shingles")
+    sets = texts.groupBy("set_key").agg(F.min("_cm_o").alias("set_first"), F.any_value("items").alias("items"))
+    return texts.select("_cm_o", "set_key"), sets
+
+
 def perm_hashes(ch: F.Column, num_perm: int) -> F.Column:
     """array<bigint>[num_perm]: h_i(ch) = first 15 hex digits of md5('i:ch')."""
     return F.transform(
@@ -68,14 +103,10 @@ def perm_hashes(ch: F.Column, num_perm: int) -> F.Column:
 
 
 def set_signatures(sets: DataFrame, num_perm: int = 128) -> DataFrame:
-    """(set_key, ...) -> (set_key, sig array<bigint>) ; one row per distinct set_key."""
-    set_chars = explode_items(sets, ["set_key"], chars(F.col("set_key")), "ch")
-    alphabet = set_chars.select("ch").distinct()
-    alphabet = alphabet.withColumn("h", perm_hashes(F.col("ch"), num_perm))
-    # the alphabet is bounded by the Unicode code space; AQE turns this join into
-    # a broadcast once the distinct alphabet is materialised and found small, and
-    # keeps the shuffled join (skew-split on hot characters) otherwise
-    hashed = set_chars.join(alphabet, "ch")
+    """(set_key, items) -> (set_key, sig array<bigint>); one row per distinct set that has shingles."""
+    members = explode_items(sets, ["set_key"], F.col("items"), "item")
+    alphabet = members.select("item").distinct().withColumn("h", perm_hashes(F.col("item"), num_perm))
+    hashed = members.join(alphabet, "item")
     return hashed.groupBy("set_key").agg(
         F.array(*[F.min(F.col("h")[i]) for i in range(num_perm)]).alias("sig"))
 
@@ -88,30 +119,29 @@ def band_hashes(sig: F.Column, bands: int, rows: int) -> F.Column:
 
 
 def _set_earliest(df: DataFrame, col: str, order_col: str, threshold: float, num_perm: int,
-                  bands: int | None, rows: int | None, verify: bool):
-    """(texts(_cm_o, set_key), sets(set_key, set_first), best(set_key, _cm_e))."""
+                  bands: int | None, rows: int | None, verify: bool, shingle: tuple[str, int] = CHARACTERS):
+    """(texts(_cm_o, set_key), best(set_key, set_first, _cm_e))."""
     if bands is None or rows is None:
         bands, rows = optimal_bands(threshold, num_perm)
-    texts = df.where(F.col(col).isNotNull()).select(
-        F.col(order_col).alias("_cm_o"), char_set_key(F.col(col)).alias("set_key"))
-    sets = texts.groupBy("set_key").agg(F.min("_cm_o").alias("set_first"))
-    sigs = set_signatures(sets.select("set_key"), num_perm)
+    texts, sets = _keyed_sets(df, col, order_col, shingle)
+    sigs = set_signatures(sets.select("set_key", "items"), num_perm)
     set_bands = (sets.join(sigs, "set_key")
-                 .select("set_key", "set_first",
+                 .select("set_key", "set_first", *(["items"] if verify else []),
                          F.posexplode(band_hashes(F.col("sig"), bands, rows)).alias("band_no", "band_hash")))
     if not verify:
         bucket = set_bands.groupBy("band_no", "band_hash").agg(F.min("set_first").alias("bucket_first"))
         best = (set_bands.join(bucket, ["band_no", "band_hash"])
                 .groupBy("set_key").agg(F.min("bucket_first").alias("_cm_e"), F.min("set_first").alias("set_first")))
     else:
-        bucket = set_bands.groupBy("band_no", "band_hash").agg(
-            F.min("set_first").alias("bucket_first"), F.min_by("set_key", "set_first").alias("rep_key"))
-        cand = (set_bands.join(bucket, ["band_no", "band_hash"])
-                .where(F.col("rep_key") != F.col("set_key")))
-        a, b = chars(F.col("set_key")), chars(F.col("rep_key"))
-        jac = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-        verified = (cand.where(jac >= F.lit(threshold))
-                    .groupBy("set_key").agg(F.min("bucket_first").alias("v_first")))
+        mates = set_bands.select(*[F.col(c).alias(f"_b_{c}") for c in set_bands.columns])
+        a, b = F.col("items"), F.col("_b_items")
+        small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+        common = F.size(F.array_intersect(a, b))
+        alike = ((F.col("_b_set_first") < F.col("set_first")) & (small >= F.lit(threshold) * large)
+                 & (common / (F.size(a) + F.size(b) - common) >= F.lit(threshold)))
+        verified = (set_bands.join(mates, (F.col("band_no") == F.col("_b_band_no"))
+                                   & (F.col("band_hash") == F.col("_b_band_hash")) & alike)
+                    .groupBy("set_key").agg(F.min("_b_set_first").alias("v_first")))
         best = (sets.join(verified, "set_key", "left")
                 .select("set_key", "set_first", F.least("set_first", "v_first").alias("_cm_e")))
     return texts, best
@@ -119,21 +149,23 @@ def _set_earliest(df: DataFrame, col: str, order_col: str, threshold: float, num
 
 def earliest_candidates(df: DataFrame, col: str, order_col: str, threshold: float = 0.95,
                         num_perm: int = 128, bands: int | None = None, rows: int | None = None,
-                        verify: bool = False, out_col: str = "earliest") -> DataFrame:
+                        verify: bool = False, out_col: str = "earliest",
+                        shingle: tuple[str, int] = CHARACTERS) -> DataFrame:
     """Add ``out_col``: the smallest ``order_col`` among texts sharing an LSH bucket.
 
     The text's own character set is included, so ``out_col < order_col`` means
     an earlier near duplicate exists.  Null texts get null.
     """
-    _, best = _set_earliest(df, col, order_col, threshold, num_perm, bands, rows, verify)
-    keyed = df.withColumn("_cm_set", F.when(F.col(col).isNotNull(), char_set_key(F.col(col))))
-    out = keyed.join(best, keyed["_cm_set"] == best["set_key"], "left")
+    texts, best = _set_earliest(df, col, order_col, threshold, num_perm, bands, rows, verify, shingle)
+    keyed = texts.join(best, "set_key").select(F.col("_cm_o"), F.col("_cm_e"))
+    out = df.join(keyed, df[order_col] == keyed["_cm_o"], "left")
     return out.select(*[F.col(c) for c in df.columns], F.col("_cm_e").alias(out_col))
 
 
 def near_duplicate_flags(df: DataFrame, col: str, order_col: str, flag_col: str = "is_near_dup",
                          threshold: float = 0.95, num_perm: int = 128, bands: int | None = None,
-                         rows: int | None = None, verify: bool = False) -> DataFrame:
+                         rows: int | None = None, verify: bool = False,
+                         shingle: tuple[str, int] = CHARACTERS) -> DataFrame:
     """Add ``flag_col``: true when an earlier text (by ``order_col``) is a near duplicate.
 
     A non-null row survives iff it is the first row of its character set and
@@ -141,7 +173,7 @@ def near_duplicate_flags(df: DataFrame, col: str, order_col: str, flag_col: str
     surviving set; rows are matched back on the (unique) ``order_col``, not on
     the character-set string.  Null texts get false.
     """
-    _, best = _set_earliest(df, col, order_col, threshold, num_perm, bands, rows, verify)
+    _, best = _set_earliest(df, col, order_col, threshold, num_perm, bands, rows, verify, shingle)
     survivors = best.where(F.col("_cm_e") >= F.col("set_first")).select(F.col("set_first").alias("_cm_surv"),
                                                                          F.lit(True).alias("_cm_keep"))
     out = df.join(survivors, df[order_col] == survivors["_cm_surv"], "left")
@@ -175,17 +207,18 @@ def dedup_counts(df: DataFrame, col: str, order_col: str, by_minhash: bool = Tru
         "removed", F.col("removed_exact") + F.col("removed_minhash"))
 
 
-def minhash_signatures(df: DataFrame, col: str, id_col: str, num_perm: int = 128) -> DataFrame:
-    """(id, sig) per non-null text — signatures are shared by equal character sets."""
-    keyed = df.where(F.col(col).isNotNull()).select(id_col, char_set_key(F.col(col)).alias("set_key"))
-    sigs = set_signatures(keyed.select("set_key").distinct(), num_perm)
-    return keyed.join(sigs, "set_key").select(id_col, "sig")
+def minhash_signatures(df: DataFrame, col: str, id_col: str, num_perm: int = 128,
+                       shingle: tuple[str, int] = CHARACTERS) -> DataFrame:
+    """(id, sig) per non-null text with shingles; signatures are shared by equal shingle sets."""
+    texts, sets = _keyed_sets(df, col, id_col, shingle)
+    return texts.join(set_signatures(sets.select("set_key", "items"), num_perm), "set_key").select(
+        F.col("_cm_o").alias(id_col), "sig")
 
 
 def lsh_buckets(df: DataFrame, col: str, id_col: str, threshold: float = 0.95, num_perm: int = 128,
-                bands: int | None = None, rows: int | None = None) -> DataFrame:
-    """(id, band_no, band_hash) per non-null text — the LSH index."""
+                bands: int | None = None, rows: int | None = None, shingle: tuple[str, int] = CHARACTERS) -> DataFrame:
+    """(id, band_no, band_hash) per non-null text: the LSH index."""
     if bands is None or rows is None:
         bands, rows = optimal_bands(threshold, num_perm)
-    sig = minhash_signatures(df, col, id_col, num_perm)
+    sig = minhash_signatures(df, col, id_col, num_perm, shingle)
     return sig.select(id_col, F.posexplode(band_hashes(F.col("sig"), bands, rows)).alias("band_no", "band_hash"))

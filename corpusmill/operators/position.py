@@ -46,6 +46,17 @@ def shuffle_key(seed: int, *id_cols) -> F.Column:
     return F.md5(F.concat(*parts))
 
 
+#: Bytes of input that one range partition is meant to hold.
+PARTITION_BYTES = 256 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the plan reads (sources of unknown size count as nothing)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
@@ -61,7 +72,8 @@ def with_position(df: DataFrame, order_by: list, partition_by: list | None = Non
     """
     spark = df.sparkSession
     groups = list(partition_by or [])
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many range partitions as the session shuffles into, more where the input needs them
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // PARTITION_BYTES)
     keys = [_col(g) for g in groups] + [_col(o) for o in order_by]
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     mid = F.monotonically_increasing_id()

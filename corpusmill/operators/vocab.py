@@ -153,10 +153,10 @@ def bpe_merges(df: DataFrame, text_col: str, num_merges: int, checkpoint_every:
     driver.
     Result ``(rank, left, right, freq)``.
     """
-    from ..session import materialize
+    from ..session import materialize, release
 
     wt = word_counts(df, text_col).select(F.col("n").alias("freq"), chars(F.col("token")).alias("sym"))
-    wt = materialize(wt.where(F.size("sym") > 1), "bpe")
+    written = wt = materialize(wt.where(F.size("sym") > 1), "bpe")
     merges = []
     for r in range(num_merges):
         pairs = wt.select("freq", F.explode(F.arrays_zip(F.slice("sym", 1, F.size("sym") - 1).alias("l"),
@@ -169,7 +169,9 @@ def bpe_merges(df: DataFrame, text_col: str, num_merges: int, checkpoint_every:
         merges.append((r, best["l"], best["r"], int(best["c"])))
         wt = wt.withColumn("sym", _merge_pair(F.col("sym"), best["l"], best["r"])).where(F.size("sym") > 1)
         if (r + 1) % checkpoint_every == 0:
-            wt = materialize(wt, "bpe")
+            before, wt = written, materialize(wt, "bpe")
+            written = wt
+            release(before)
     return df.sparkSession.createDataFrame(merges, "rank int, left string, right string, freq long")
 
 

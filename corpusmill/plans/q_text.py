@@ -194,13 +194,11 @@ bucket AS (SELECT band_no, band_hash, min(set_first) AS bucket_first FROM sb GRO
 best AS (SELECT sb.set_key, min(bucket_first) AS earliest FROM sb JOIN bucket USING (band_no, band_hash) GROUP BY 1)"""
     else:
         sql += f"""
-bucket AS (SELECT band_no, band_hash, min(set_first) AS bucket_first, arg_min(set_key, set_first) AS rep_key
-           FROM sb GROUP BY 1, 2),
-cand AS (SELECT sb.set_key, bucket_first,
-                len(list_intersect(list_distinct(string_split(sb.set_key, '')), list_distinct(string_split(rep_key, ''))))::DOUBLE
-                / len(list_distinct(list_concat(string_split(sb.set_key, ''), string_split(rep_key, '')))) AS jac
-         FROM sb JOIN bucket USING (band_no, band_hash) WHERE rep_key <> sb.set_key),
-ver AS (SELECT set_key, min(bucket_first) AS v_first FROM cand WHERE jac >= {threshold} GROUP BY 1),
+cand AS (SELECT a.set_key, b.set_first AS other_first,
+                len(list_intersect(string_split(a.set_key, ''), string_split(b.set_key, '')))::DOUBLE
+                / len(list_distinct(list_concat(string_split(a.set_key, ''), string_split(b.set_key, '')))) AS jac
+         FROM sb a JOIN sb b USING (band_no, band_hash) WHERE b.set_first < a.set_first),
+ver AS (SELECT set_key, min(other_first) AS v_first FROM cand WHERE jac >= {threshold} GROUP BY 1),
 best AS (SELECT s.set_key, least(s.set_first, coalesce(ver.v_first, s.set_first)) AS earliest
          FROM s LEFT JOIN ver USING (set_key))"""
     return sql
@@ -296,11 +294,41 @@ def near_dup_drop(spark, d):
           f"\nSELECT doc_id, coalesce(best.earliest < doc_id, false) AS is_near_dup FROM documents "
           f"LEFT JOIN best ON {S.char_set('text')} = best.set_key")
 def near_dup_verified(spark, d):
-    """DD-7 with exact Jaccard verification against each bucket's earliest member."""
+    """DD-7 with exact Jaccard verification against every earlier set of the buckets."""
     return near_duplicate_flags(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id",
                                 verify=True).select("doc_id", "is_near_dup")
 
 
+def _word_sets_sql(k: int, num_perm: int, threshold: float) -> str:
+    b, r = optimal_bands(threshold, num_perm)
+    return f"""w AS (SELECT doc_id, {S.words('text')} AS w FROM documents WHERE text IS NOT NULL),
+it AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) > {k} THEN list_transform(range(1, len(w) - {k} + 2),
+       lambda i: array_to_string(w[i:i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+       ELSE [] END)) AS items FROM w),
+tx AS (SELECT doc_id, items, md5(array_to_string(items, chr(31))) AS set_key FROM it),
+s AS (SELECT set_key, min(doc_id) AS set_first, any_value(items) AS items FROM tx GROUP BY 1),
+sc AS (SELECT set_key, unnest(items) AS ch FROM s),
+ah AS (SELECT ch, i, ('0x' || substr(md5(CAST(i AS VARCHAR) || ':' || ch), 1, 15))::BIGINT AS h
+       FROM (SELECT DISTINCT ch FROM sc), range(0, {num_perm}) r(i)),
+sig AS (SELECT set_key, list(h ORDER BY i) AS sig FROM (SELECT set_key, i, min(h) AS h FROM sc JOIN ah USING (ch)
+        GROUP BY 1, 2) GROUP BY 1),
+sb AS (SELECT s.*, k AS band_no, md5(array_to_string(list_transform(sig[k * {r} + 1 : k * {r} + {r}],
+       lambda x: CAST(x AS VARCHAR)), '|')) AS band_hash FROM s JOIN sig USING (set_key), range(0, {b}) t(k)),
+pr AS (SELECT DISTINCT a.set_key, a.set_first, b.set_first AS other_first, a.items AS x, b.items AS y
+       FROM sb a JOIN sb b USING (band_no, band_hash) WHERE b.set_first < a.set_first),
+lose AS (SELECT DISTINCT set_key FROM pr WHERE len(list_intersect(x, y))::DOUBLE
+         / (len(x) + len(y) - len(list_intersect(x, y))) >= {threshold})"""
+
+
+@register("near_dup_words", f"WITH {_word_sets_sql(3, 32, 0.7)}\n"
+          "SELECT tx.doc_id, tx.doc_id > s.set_first OR tx.set_key IN (SELECT set_key FROM lose) AS is_near_dup "
+          "FROM tx JOIN s USING (set_key)")
+def near_dup_words(spark, d):
+    """DD-6/7 over runs of three words, 32 permutations, Jaccard of at least .7 verified."""
+    return near_duplicate_flags(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", threshold=0.7,
+                                num_perm=32, verify=True, shingle=("word", 3)).select("doc_id", "is_near_dup")
+
+
 # --- splits -----------------------------------------------------------------
 
 def _seq_sql(src: str, idc: str, order: str, n_train: str, n_val: str) -> str:

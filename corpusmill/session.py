@@ -54,20 +54,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     local = tempfile.mkdtemp(prefix="corpusmill-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df, tag: str = "t"):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but computes the input exactly once (an
     eager RDD checkpoint runs its input twice) and stores it columnar.  The
     folder is the cluster's ``spark.checkpoint.dir``, so a lost executor does
-    not lose the table.
+    not lose the table.  ``release`` deletes one table that no plan reads any
+    more, ``release_all`` every one of the application.
     """
     import uuid
 
@@ -75,7 +79,32 @@ def materialize(df, tag: str = "t"):
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/cm-{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.parquet(path)
+    out._cm_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(table) -> None:
+    """Delete what ``materialize`` wrote for this very frame; do it only when no later action reads it."""
+    path = getattr(table, "_cm_path", None)
+    written = _WRITTEN.get(table.sparkSession.sparkContext.applicationId, [])
+    if path in written:
+        written.remove(path)
+        _delete(table.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> int:
+    """Delete every temporary table of this application, once its results are stored; returns how many there were."""
+    written = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in written:
+        _delete(spark, path)
+    return len(written)
 
 
 _SHIPPED: set = set()

@@ -54,3 +54,47 @@ def test_cleanse_pipeline(spark):
     capped = cleanse(df, "id", text_fields=["text"], max_save_samples=1).collect()
     assert [r.id for r in capped] == [0]
     assert cleanse(df, "id", text_fields=None).count() == 5     # record dedup on all fields only
+
+
+def test_verification_compares_all_mates_of_a_bucket(spark):
+    """The later of two similar texts goes even when an unlike earlier text opened their bucket."""
+    import random
+    rnd = random.Random(4)
+    pool = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        base = rnd.sample(pool, 30) if i % 3 == 0 else rows[rnd.randrange(len(rows))][1].split()
+        words = [w if rnd.random() > .06 else rnd.choice(pool) for w in base]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "pos long, t string")
+    # one band of one row: buckets are large and unlike texts share them
+    flags = {r.pos: r.is_near_dup for r in near_duplicate_flags(df, "t", "pos", threshold=0.5, num_perm=8, bands=8, rows=1,
+                                                               verify=True, shingle=("word", 1)).collect()}
+    sets = [set(t.split()) for _, t in rows]
+    sim = [any(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5 for j in range(i)) for i in range(len(rows))]
+    wrong = [i for i in range(len(rows)) if flags[i] and not sim[i]]
+    missed = [i for i in range(len(rows)) if sim[i] and not flags[i]]
+    assert not wrong and len(missed) <= 2      # a pair at .5 meets in one of eight buckets with .996
+
+
+def test_shingles(spark):
+    from pyspark.sql import functions as F
+
+    from corpusmill.operators.minhash import shingles
+    df = spark.createDataFrame([(0, "a b a b c"), (1, "x"), (2, "")], "k int, t string")
+    got = {r.k: (r.w, r.c) for r in df.select("k", shingles(F.col("t"), ("word", 2)).alias("w"),
+                                             shingles(F.col("t"), ("char", 3)).alias("c")).collect()}
+    assert got[0] == (["a b", "b a", "b c"], sorted({"a b a b c"[i:i + 3] for i in range(7)}))
+    assert got[1] == (["x"], ["x"]) and got[2] == ([], [])
+
+
+def test_temporary_tables_are_deleted(spark):
+    import os
+
+    from corpusmill.session import materialize, release, release_all
+    a, b = materialize(spark.range(3), "x"), materialize(spark.range(4), "x")
+    path = a._cm_path.removeprefix("file:")
+    assert os.path.isdir(path) and b.count() == 4
+    release(a)
+    assert not os.path.isdir(path) and b.count() == 4
+    assert release_all(spark) >= 1 and release_all(spark) == 0
