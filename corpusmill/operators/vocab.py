@@ -213,74 +213,78 @@ def _viterbi(word: str, logp: dict, max_len: int):
     return pieces[::-1]
 
 
-def unigram_vocab(df: DataFrame, text_col: str, vocab_size: int, seed_factor: int = 4, max_piece_len: int = 8,
-                  em_rounds: int = 2, shrink: float = 0.75) -> DataFrame:
+def seed_pieces(counts: DataFrame, max_piece_len: int = 16) -> DataFrame:
+    """(piece, n): every piece of up to ``max_piece_len`` characters with its count over all words ``(token, n)``."""
+    subs = counts.select("n", F.flatten(F.transform(
+        F.sequence(F.lit(0), F.length("token") - 1),
+        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_piece_len), F.length("token") - i)),
+                              lambda ln: F.substring(F.col("token"), i + 1, ln)))).alias("subs"))
+    return explode_items(subs, ["n"], F.col("subs"), "piece").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def unigram_vocab(df: DataFrame, text_col: str, vocab_size: int, seed_size: int = 1_000_000, max_piece_len: int = 16,
+                  em_rounds: int = 2, shrink: float = 0.75, character_coverage: float = 1.0) -> DataFrame:
     """VOC-3 (unigram): Viterbi-EM over the distinct-word table with pruning.
 
-    Seed pieces: every character plus the ``seed_factor x vocab_size`` substrings
-    (up to ``max_piece_len``) with the largest frequency x length, counted by
-    one partial aggregate.  Each round segments every distinct word with the
-    current log-probabilities inside ``mapInPandas`` (the piece table, bounded
-    by the seed size, is the only state shipped to tasks), sums piece counts x
-    word frequency with a partial aggregate, re-estimates log(count / total),
-    and keeps the most used pieces (characters always) until ``vocab_size``.
-    Result ``(piece, score, id)`` by descending score.  A Spark re-expression
-    of the EM idea, not a byte-identical SentencePiece model.
+    The defaults (a million seed pieces of up to 16 characters, two rounds between
+    prunings to three quarters) are those of the trainer that the reference
+    calls.  Seeds are every character (within ``character_coverage``) and the
+    pieces with the largest count x length.  Each round ships the piece table,
+    bounded by ``seed_size`` plus the alphabet, to the tasks, segments every
+    distinct word inside ``mapInPandas``, and sums piece counts x word frequency
+    with a partial aggregate; pruning keeps the most used pieces in Spark (a
+    bounded top-k), characters always.  The word table is written once.
+
+    Result ``(piece, score, id)`` by descending score.  Raises when the alphabet
+    alone is larger than ``vocab_size``: characters are never pruned.  A Spark
+    re-expression of the EM idea, not a byte-identical model file.
     """
     import math
 
     import pandas as pd
 
-    words = word_counts(df, text_col)
-    subs = words.select("n", F.flatten(F.transform(
-        F.sequence(F.lit(0), F.length("token") - 1),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_piece_len), F.length("token") - i)),
-                              lambda ln: F.substring(F.col("token"), i + 1, ln)))).alias("subs"))
-    counted = explode_items(subs, ["n"], F.col("subs"), "piece").groupBy("piece").agg(F.sum("n").alias("f"))
-    singles = {r["piece"]: r["f"] for r in counted.where(F.length("piece") == 1).collect()}
-    seed_rows = (counted.where(F.length("piece") > 1)
-                 .orderBy((F.col("f") * F.length("piece")).desc(), F.col("piece"))
-                 .limit(seed_factor * vocab_size).collect())
-    counts = dict(singles)
-    counts.update({r["piece"]: r["f"] for r in seed_rows})
-    chars_set = set(singles)
-    wt = words.select(F.col("token").alias("word"), F.col("n").cast("long").alias("n"))
-    spark = df.sparkSession
-
-    def log_probs(c):
-        total = float(sum(c.values()))
-        return {p: math.log(v / total) for p, v in c.items() if v > 0}
+    from ..session import materialize, release
 
+    words_table = materialize(word_counts(df, text_col), "words")
+    alphabet = char_vocab(df.select(F.lower(F.col(text_col)).alias("t")), "t", character_coverage).select("token")
+    seeds = seed_pieces(words_table, max_piece_len)
+    singles = seeds.where(F.length("piece") == 1).join(alphabet, F.col("piece") == F.col("token"), "left_semi")
+    single = dict(singles.collect())    # bounded by the Unicode code space
+    if len(single) > vocab_size:
+        raise ValueError(f"{len(single)} characters do not fit a vocabulary of {vocab_size}; lower character_coverage")
+    top = (seeds.where(F.length("piece") > 1).orderBy((F.col("n") * F.length("piece")).desc(), F.col("piece"))
+           .limit(max(seed_size - len(single), 0)))
+    counts = {**single, **dict(top.collect())}
+    spark = df.sparkSession
     rounds_left = em_rounds
     while True:
-        lp = log_probs(counts)
-        bc = spark.sparkContext.broadcast(lp)
-
-        def segment(it, bc=bc):
-            table = bc.value
-            for pdf in it:
-                out_p, out_n = [], []
-                for w, n in zip(pdf["word"], pdf["n"]):
-                    seg = _viterbi(w, table, max_piece_len)
-                    if seg:
-                        out_p.extend(seg)
-                        out_n.extend([n] * len(seg))
-                yield pd.DataFrame({"piece": out_p, "n": pd.Series(out_n, dtype="int64")})
-
-        used = wt.mapInPandas(segment, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("c"))
-        counts = {r["piece"]: r["c"] for r in used.collect()}
-        for ch in chars_set:
-            counts.setdefault(ch, 0)
-        bc.unpersist()
+        total = float(sum(counts.values()))
+        shared = spark.sparkContext.broadcast({p: math.log(max(v, 1) / total) for p, v in counts.items()})
+
+        def segment(batches, shared=shared):
+            table = shared.value
+            for b in batches:
+                pieces, n = [], []
+                for word, count in zip(b["token"], b["n"]):
+                    got = _viterbi(word, table, max_piece_len) or ()
+                    pieces.extend(got)
+                    n.extend([count] * len(got))
+                yield pd.DataFrame({"piece": pieces, "n": pd.Series(n, dtype="int64")})
+
+        used = words_table.mapInPandas(segment, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
         rounds_left -= 1
-        if len(counts) <= vocab_size and rounds_left <= 0:
+        long = used.where(F.length("piece") > 1).orderBy(F.col("n").desc(), "piece")
+        if rounds_left <= 0:    # prune, but not below the size asked for
+            rounds_left = em_rounds
+            long = long.limit(max(vocab_size, int(len(counts) * shrink)) - len(single))
+        used_single = dict(used.where(F.length("piece") == 1).collect())
+        kept = dict(long.collect())     # no more pieces than were shipped
+        shared.unpersist()
+        shrunk = len(kept) + len(single) <= vocab_size and rounds_left == em_rounds
+        counts = {**{c: used_single.get(c, 0) for c in single}, **kept}
+        if shrunk:
             break
-        if len(counts) > vocab_size:
-            keep_n = max(vocab_size, int(len(counts) * shrink))
-            ranked = sorted((p for p in counts if p not in chars_set), key=lambda p: (-counts[p], p))
-            keep = set(ranked[:max(0, keep_n - len(chars_set))]) | chars_set
-            counts = {p: max(counts[p], 1) for p in keep}
-    lp = log_probs({p: max(v, 1) for p, v in counts.items()})
-    rows = sorted(lp.items(), key=lambda kv: (-kv[1], kv[0]))
-    return spark.createDataFrame([(p, round(s, 6), i) for i, (p, s) in enumerate(rows)],
-                                 "piece string, score double, id long")
+    release(words_table)
+    total = float(sum(max(v, 1) for v in counts.values()))
+    rows = sorted(((p, round(math.log(max(v, 1) / total), 6)) for p, v in counts.items()), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame([(p, s, i) for i, (p, s) in enumerate(rows)], "piece string, score double, id long")

@@ -338,4 +338,4 @@ def unigram_vocab_q(spark, d):
 
     Iterative, so no SQL oracle; tests check its invariants.
     """
-    return V.unigram_vocab(table(spark, d, "documents"), "text", 300)
+    return V.unigram_vocab(table(spark, d, "documents"), "text", 300, shrink=0.5)

@@ -23,9 +23,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",") -> DataFrame:
     """SRC-3: CSV with a header row; an explicit schema avoids the inference pass."""
-    r = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+    r = (spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+         .option("maxCharsPerColumn", -1))
     return r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
 
 

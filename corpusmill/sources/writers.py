@@ -20,8 +20,9 @@ def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
-    """SNK-3: CSV with header, no index column."""
-    df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
+    """SNK-3: CSV with header, no index column; quotes are doubled and blanks at the ends kept, as ``read_csv`` expects."""
+    (df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_text_corpus(df: DataFrame, col: str, path: str, mode: str = "overwrite") -> None:

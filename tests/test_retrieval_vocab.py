@@ -157,7 +157,7 @@ def test_bpe_matches_brute_force(spark):
 def test_unigram_vocab(spark):
     texts = ["lower lowest newer newest wider widest", "low low lower new newer", "the the the then there"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    out = V.unigram_vocab(df, "text", 30, seed_factor=3, em_rounds=2).collect()
+    out = V.unigram_vocab(df, "text", 30, seed_size=90).collect()
     pieces = [r.piece for r in out]
     assert len(pieces) <= 30 and len(set(pieces)) == len(pieces)
     assert set("lowerndisth") <= set(pieces)                      # every character is kept
@@ -166,3 +166,12 @@ def test_unigram_vocab(spark):
     lp = {r.piece: r.score for r in out}
     assert V._viterbi("newest", lp, 8) is not None                 # every word stays segmentable
     assert V._viterbi("abc", {"a": -1.0, "bc": -1.0, "b": -2.0, "c": -2.0}, 8) == ["a", "bc"]
+
+
+def test_unigram_trainer_ends_when_the_alphabet_is_too_large(spark):
+    import pytest
+    df = spark.createDataFrame([("abcdefgh abcdefgh",), ("aaaa",)], "text string")
+    with pytest.raises(ValueError):
+        V.unigram_vocab(df, "text", 5)
+    got = [r.piece for r in V.unigram_vocab(df, "text", 5, character_coverage=0.5).collect()]
+    assert "a" in got and len(got) <= 5
