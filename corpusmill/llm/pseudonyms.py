@@ -13,8 +13,8 @@ digits are ranked, permuted and written back into the same places.
 
 Kinds: ``card`` (13 to 19 digits, Luhn), ``iban`` (mod 97), ``ssn``, ``phone``, ``ipv4``,
 ``date`` (ISO, day.month.year, month/day/year, years 1900-2099), ``email`` (letters and digits of the
-local part are permuted, the domain stays), ``secret`` (long hex strings after
-a name such as token or key, or on their own).
+local part are permuted, the domain stays), ``secret`` (hex strings of 32 and more characters, of 12 and
+more behind an equals sign or colon, and access key ids).
 
 One narrow pass; no shuffle.  Candidates come from one scan per kind and texts
 without a digit or "@" skip all of them.
@@ -44,14 +44,15 @@ ROUNDS = 8
 
 # The formats looked for.
 PATTERNS = {
-    "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
+    "card": re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\w)"),
     "ipv4": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
     "date": re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-])"),
     "email": re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?!\w)"),
-    "secret": re.compile(r"(?<![\w-])(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,64}(?![\w-])"),
+    "secret": re.compile(r"(?:(?<![\w-])[0-9a-fA-F]{32,64}|(?:(?<=[=:])|(?<=[=:][\"' ])|(?<=[=:] [\"']))[0-9a-fA-F]{12,31}"
+                         r"|(?<!\w)A[KS]IA[A-Z0-9]{16})(?![\w-])"),
 }
 _MAYBE = re.compile(r"[0-9@]")
 _FIRST_DAY, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
@@ -215,8 +216,10 @@ def _email(p: Permutation, s: str, back: bool) -> str | None:
 
 
 def _secret(p: Permutation, s: str, back: bool) -> str | None:
+    if len(s) == 20 and s[:4] in ("AKIA", "ASIA"):
+        return s[:4] + _mixed(p, s[4:], "access key", back)
     low = s.lower()
-    if s not in (low, s.upper()):
+    if s not in (low, s.upper()) or s.isdigit() or s.isalpha():
         return None
     value = f"{p(int(low, 16), 16 ** len(s), 'secret', back):0{len(s)}x}"
     return value if s == low else value.upper()
