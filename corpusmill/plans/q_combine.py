@@ -14,7 +14,6 @@ from .q_text import _CLEANSE_FULL_SQL
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-LANGS = ["de", "en", "es", "fr"]
 SOURCES = ["src1", "src3", "src5", "src7", "src9"]
 
 
@@ -28,28 +27,27 @@ def register(name, sql=None):
 
 
 @register("subset_concat",
-          "SELECT doc_id, lang AS subset, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER) AS label, "
-          "NULL::VARCHAR AS source FROM documents WHERE lang IN ('de', 'en', 'es') UNION ALL "
-          "SELECT doc_id, lang, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER), source "
-          "FROM documents WHERE lang = 'fr'")
+          "SELECT doc_id, lang AS subset, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS label, "
+          "CASE WHEN lang = (SELECT max(lang) FROM documents) THEN source END AS source "
+          "FROM documents WHERE lang IS NOT NULL")
 def subset_concat(spark, d):
     """SET-1 / PRJ-5 / PRJ-6: per-language subsets (one with an extra column) concatenated and labelled."""
     doc = table(spark, d, "documents")
-    frames = {lang: doc.where(F.col("lang") == lang).select("doc_id") for lang in ["de", "en", "es"]}
-    frames["fr"] = doc.where(F.col("lang") == "fr").select("doc_id", "source")
+    names = C.subset_names(doc, "lang")
+    frames = {lang: doc.where(F.col("lang") == lang).select("doc_id", *["source"] * (lang == names[-1])) for lang in names}
     out = C.concat_subsets(frames)
-    return out.select("doc_id", "subset", C.subset_label("subset", LANGS).alias("label"), "source")
+    return out.select("doc_id", "subset", C.subset_label("subset", names).alias("label"), "source")
 
 
 @register("subset_interleave",
           "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rn FROM documents),\n"
           "m AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM documents GROUP BY lang))\n"
-          "SELECT doc_id, lang AS subset, rn * 4 + list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS pos "
-          "FROM r WHERE rn < (SELECT m FROM m)")
+          "SELECT r.doc_id, r.lang AS subset, rn * k + i - 1 AS pos FROM r JOIN (SELECT lang, dense_rank() OVER (ORDER BY lang) "
+          "AS i, count(*) OVER () AS k FROM (SELECT DISTINCT lang FROM documents)) USING (lang) WHERE rn < (SELECT m FROM m)")
 def subset_interleave(spark, d):
     """SET-2: round-robin interleave of the language subsets, first exhausted stops."""
     doc = table(spark, d, "documents").select("doc_id", F.col("lang").alias("subset"))
-    return C.interleave(doc, "subset", LANGS, ["doc_id"]).select("doc_id", "subset", "pos")
+    return C.interleave(doc, "subset", None, ["doc_id"]).select("doc_id", "subset", "pos")
 
 
 @register("subset_assembly",

@@ -71,5 +71,13 @@ def test_interleave_and_assembly(spark):
     df = spark.createDataFrame(rows, "rid long, subset string")
     out = interleave(df, "subset", ["a", "b"], ["rid"]).orderBy("pos").collect()
     assert [r.rid for r in out] == [0, 10, 1, 11, 2, 12]
+    assert interleave(df, "subset", None, ["rid"]).orderBy("pos").collect() == out
+    import corpusmill.operators.combine as C
+    small = assemble_subsets(df, "subset", None, ["rid"], max_per_subset=2, validation_percent=50).collect()
+    limit, C.SMALL_CAP = C.SMALL_CAP, 0     # the other way to rank gives the same rows
+    try:
+        assert sorted(assemble_subsets(df, "subset", None, ["rid"], 2, validation_percent=50).collect()) == sorted(small)
+    finally:
+        C.SMALL_CAP = limit
     asm = assemble_subsets(df, "subset", ["a", "b"], ["rid"], max_per_subset=2, validation_percent=50)
     assert asm.count() == 4 and {r.label for r in asm.collect()} == {0, 1}
