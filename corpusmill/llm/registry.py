@@ -18,4 +18,5 @@ QUERIES: dict = {
 }
 ORACLE: dict = {
     "op7_chat": chat.ORACLE,
+    "op9_decontamination": fmindex.ORACLE,
 }
