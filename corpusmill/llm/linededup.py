@@ -36,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,26 +110,22 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, th, cuts): per document with later repeats, its runs of lines [lo, hi] to delete (0-based, inclusive)."""
 
     def run(batches):
-        names = ["key", "lo", "hi", "before", "before_at", "after", "after_at"]
+        hashes, places = pa.list_(pa.int64()), pa.list_(pa.int32())
+        kinds = [pa.binary(), pa.int32(), pa.int32(), hashes, places, hashes, places]
+        names = ["id", "th", "key", "lo", "hi", "before", "before_at", "after", "after_at"]
         for b in batches:
-            for part in range(0, len(b), 2000):
-                ids, ths, rows = [], [], []
-                for i, th, t in zip(*(b[c].iloc[part:part + 2000] for c in ("id", "th", "t"))):
-                    if t is not None:
-                        got = grams(bytes(t), window_words)
-                        rows.extend(got)
-                        ids.extend([i] * len(got))
-                        ths.extend([th] * len(got))
-                frame = pd.DataFrame(rows, columns=names)
-                frame.insert(0, "th", np.array(ths, np.int64))
-                frame.insert(0, "id", pd.array(ids, dtype="Int64") if whole else ids)
-                yield frame
+            for start in range(0, len(b), 1000):
+                part = b.slice(start, 1000)
+                found = [grams(t.as_py(), window_words) if t.is_valid else [] for t in part.column(2)]
+                owner = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in found]))
+                rows = [row for some in found for row in some]
+                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows) if rows else [()] * 7, kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), *columns], names)
 
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"),
                       text_bytes(text_col).alias("t"))
     kind = dict(src.dtypes)["id"]
-    whole = kind in ("tinyint", "smallint", "int", "bigint")
-    found = cut(src.mapInPandas(run, f"id {kind}, th long, key binary, lo int, hi int, before array<long>, "
+    found = cut(src.mapInArrow(run, f"id {kind}, th long, key binary, lo int, hi int, before array<long>, "
                                      "before_at array<int>, after array<long>, after_at array<int>"), "winnow")
     place = F.struct(F.col("id").isNotNull().alias("some"), "id", "th", "lo", "hi", "before", "after")
     # written, so that the join below deals both sides out anew and can split a hot key

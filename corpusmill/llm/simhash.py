@@ -37,10 +37,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import release
 from .common import cut, need, text_bytes
 
 # The Golay generator polynomial x^11+x^9+x^7+x^6+x^5+x+1, the block width, the code's radius.
@@ -88,15 +90,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, th, fp) per row: th is Spark's xxhash64 of the text, fp the signed fingerprint."""
 
     def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "th": b["th"],
-                                "fp": np.fromiter((fingerprint(t, k) for t in b["t"]), np.int64, len(b))})
+        for b in batches:  # Arrow, not pandas: a null among the ids must not turn the others into floats
+            prints = pa.array([fingerprint(t.as_py(), k) for t in b.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prints], names=["id", "th", "fp"])
 
     src = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"),
                                               F.xxhash64(F.col(f"`{text_col}`")).alias("th"),
                                               text_bytes(text_col).alias("t"))
     kind = dict(src.dtypes)["id"]
-    return src.mapInPandas(run, f"id {kind}, th long, fp long")
+    return src.mapInArrow(run, f"id {kind}, th long, fp long")
 
 
 def _golay_errors() -> list[list[np.ndarray]]:
@@ -187,7 +189,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         least = down.groupBy(F.col("hi").alias("a")).agg(F.min("lo").alias("m"))
         small = down.join(least, down["hi"] == least["a"]).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         small = small.union(least.select(F.col("a").alias("hi"), F.col("m").alias("lo")))
-        state = cut(small.where("hi > lo").select("lo", "hi").distinct(), "cc")
+        last, state = state, cut(small.where("hi > lo").select("lo", "hi").distinct(), "cc")
+        release(last)
         now = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break

@@ -128,3 +128,9 @@ def test_report_and_empty_table(spark):
     assert sorted(collect(r, "doc_id", "n_lines", "n_removed", "changed")) == [
         (1, 2, 0, False), (2, 2, 1, True), (3, 0, 0, False)]
     assert L.line_dedup(docs(spark, [])).count() == 0
+
+
+def test_large_ids_beside_a_null_stay_exact(spark):
+    line, big = "a line of more than eight words in all here", 2**62 + 1
+    got = dict(collect(L.line_dedup(docs(spark, [(big, line), (None, "x\n" + line), (big + 2, line)])), "doc_id", "text"))
+    assert got == {None: "x\n" + line, big: "", big + 2: ""}

@@ -116,3 +116,9 @@ def test_keep_one_keeps_columns_and_one_row_of_each_group(spark):
 def test_empty_table(spark):
     df = docs(spark, [])
     assert S.near_duplicates(df).count() == 0 and S.keep_one(df).count() == 0
+
+
+def test_large_ids_beside_a_null_stay_exact(spark):
+    big = 2**62 + 1
+    got = collect(S.near_duplicates(docs(spark, [(big, "a b c"), (None, "d e f"), (big + 2, "a b c")])), "id", "component_id")
+    assert sorted(got, key=str) == sorted([(big, big), (big + 2, big), (None, None)], key=str)
