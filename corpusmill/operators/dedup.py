@@ -42,8 +42,3 @@ def dedup_column(df: DataFrame, col: str, order_by: list) -> DataFrame:
     joined = df.join(firsts, df[col] == firsts["_cm_v"], "left")
     kept = F.when(o == F.col("_cm_first"), F.col(col))
     return joined.select(*[kept.alias(c) if c == col else F.col(c) for c in df.columns])
-
-
-def null_count(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row: number of nulls per column (for removed-duplicate accounting)."""
-    return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in cols])

@@ -124,6 +124,14 @@ def ir_metrics_pairs(spark, d):
     return VM.ir_metrics(ranked, pairs.select(F.col("id1").alias("query_id"), F.col("id2").alias("doc_id")))
 
 
+@register("concat_sets", "SELECT vec_id, label, embedding[1] AS x FROM embeddings")
+def concat_sets_q(spark, d):
+    """VEC-6: one embedding table from two, whose columns stand in different orders."""
+    e = table(spark, d, "embeddings")
+    both = VM.concat_sets(e.where("label < 3"), e.where("label >= 3").select("label", "embedding", "vec_id"))
+    return both.select("vec_id", "label", F.col("embedding")[0].alias("x"))
+
+
 @register("triplet_accuracy",
           f"WITH {_NORM_SQL},\nmx AS (SELECT max(label) + 1 AS m FROM embeddings)\n"
           "SELECT round(avg(CAST(list_inner_product(a.v, p.v) > list_inner_product(a.v, ng.v) AS DOUBLE)), 6) "

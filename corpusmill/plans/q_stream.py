@@ -1,11 +1,13 @@
-"""Registered query: the streaming cleanse run to completion, read back as a table."""
+"""Registered queries: streams over the driver tables run to completion, read back as tables."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..session import checkpoint_dir
-from ..streaming.streams import cleanse_stream, read_stream, write_stream
+from ..streaming.streams import cleanse_stream, per_batch_stream, read_stream, take_stream, union_streams, write_stream
 from . import sqltext as S
 
 QUERIES: dict = {}
@@ -26,3 +28,47 @@ def stream_cleanse(spark, d):
 QUERIES["stream_cleanse"] = stream_cleanse
 ORACLE["stream_cleanse"] = (f"SELECT DISTINCT text FROM (SELECT {S.cleanse('text')} AS text FROM documents) "
                             "WHERE text IS NOT NULL")
+
+
+def _source(spark, d: str, name: str):
+    schema = spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet").schema
+    return read_stream(spark, d, schema, "parquet", max_files_per_trigger=1, glob=f"{name}.parquet")
+
+
+def _drained(spark, start, schema: str):
+    """Run a stream to its end and read what its sink holds."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    start(f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+def stream_take(spark, d):
+    """STM-3: a seeded shuffle of the micro-batch, cut to 50 rows."""
+    docs = _source(spark, d, "documents").select("doc_id", "lang")
+    return _drained(spark, lambda out, ckpt: take_stream(docs, 50, ["doc_id"], out, ckpt, seed=42), "doc_id long, lang string")
+
+
+QUERIES["stream_take"] = stream_take
+ORACLE["stream_take"] = f"SELECT doc_id, lang FROM documents ORDER BY {S.shuffle_key(42, 'doc_id')}, doc_id LIMIT 50"
+
+
+def stream_union(spark, d):
+    """STM-4: two sources in one stream."""
+    both = union_streams(_source(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"),
+                         _source(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return _drained(spark, lambda out, ckpt: write_stream(both, out, ckpt), "id long, text string")
+
+
+QUERIES["stream_union"] = stream_union
+ORACLE["stream_union"] = "SELECT doc_id AS id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark"
+
+
+def stream_hook(spark, d):
+    """UDF-2: a DataFrame step as a hook on every micro-batch (rows per language)."""
+    docs = _source(spark, d, "documents")
+    step = lambda batch: batch.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return _drained(spark, lambda out, ckpt: per_batch_stream(docs, step, out, ckpt), "lang string, n long")
+
+
+QUERIES["stream_hook"] = stream_hook
+ORACLE["stream_hook"] = "SELECT lang, count(*) AS n FROM documents GROUP BY 1"

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators.dedup import dedup_column, dedup_records, null_count
-from ..operators.minhash import dedup_counts, earliest_candidates, minhash_signatures, near_duplicate_flags, optimal_bands
+from ..operators.dedup import dedup_column, dedup_records
+from ..operators.minhash import dedup_counts, lsh_buckets, earliest_candidates, minhash_signatures, near_duplicate_flags, optimal_bands
 from ..operators.sampling import cap_prefix, lazy_cap, percent_slice, shuffle_take
 from ..operators.splits import split_dataset
 from ..operators.trainset import build_texts, text_column
@@ -281,6 +281,14 @@ def lsh_candidates(spark, d):
     return out.where(F.col("candidate_first") < F.col("doc_id")).select("doc_id", "candidate_first")
 
 
+@register("lsh_buckets", "WITH " + _near_dup_sql("documents", "doc_id", "text") +
+          f"\nSELECT doc_id, band_no, band_hash FROM documents JOIN sb ON {S.char_set('text')} = sb.set_key")
+def lsh_buckets_q(spark, d):
+    """DD-4: the LSH index, one row per document and band."""
+    out = lsh_buckets(table(spark, d, "documents"), "text", "doc_id")
+    return out.select("doc_id", F.col("band_no").cast("bigint").alias("band_no"), "band_hash")
+
+
 @register("near_dup_drop", "WITH " + _near_dup_sql("documents", "doc_id", "text") +
           f"\nSELECT doc_id, coalesce(best.earliest < doc_id, false) AS is_near_dup FROM documents "
           f"LEFT JOIN best ON {S.char_set('text')} = best.set_key")
