@@ -127,52 +127,75 @@ def encode(tokens: DataFrame, vocab: DataFrame, unk_id: int, doc_col="doc_id",
         F.transform(F.array_sort(F.collect_list(F.struct("tok_pos", "id"))), lambda x: x["id"]).alias("ids"))
 
 
-def _merge_pair(symbols: F.Column, left: str, right: str) -> F.Column:
-    """Replace non-overlapping (left, right) neighbours, left to right, by left+right."""
-    joined = left + right
+def _merge_pairs(symbols: F.Column, pairs: list[tuple[str, str]]) -> F.Column:
+    """Replace neighbours that form one of ``pairs`` (no symbol occurs in two of them), left to right, by their joint."""
+    known = F.array(*[F.struct(F.lit(left).alias("l"), F.lit(right).alias("r")) for left, right in pairs])
 
     def step(acc, x):
-        n = F.size(acc)
-        hit = (n > 0) & (F.element_at(acc, F.greatest(n, F.lit(1))) == F.lit(left)) & (x == F.lit(right))
-        return F.when(hit, F.concat(F.slice(acc, 1, n - 1), F.array(F.lit(joined)))) \
+        last = F.element_at(acc, -1)
+        hit = (F.size(acc) > 0) & F.array_contains(known, F.struct(F.coalesce(last, F.lit("")).alias("l"), x.alias("r")))
+        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, x)))) \
                 .otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(symbols, F.array().cast("array<string>"), step)
+    start = F.slice(symbols, 1, 1)
+    return F.aggregate(F.slice(symbols, F.lit(2), F.greatest(F.size(symbols) - 1, F.lit(0))), start, step)
 
 
-def bpe_merges(df: DataFrame, text_col: str, num_merges: int, checkpoint_every: int = 1) -> DataFrame:
+def independent_pairs(ranked: list[tuple[str, str, int]], wanted: int) -> list[tuple[str, str, int]]:
+    """The longest head of a ranked pair list whose merges, done at once, equal merging one by one.
+
+    ``ranked`` is ordered by (count descending, pair).  Merging (a, b) changes only
+    pairs that hold a or b, and a pair that arises from it is at most as frequent as
+    one that holds a or b now.  So pairs without a common symbol keep their turn
+    while they are more frequent than the first pair that shares a symbol with an
+    earlier one; equal counts would leave the order to the new pair's spelling.
+    """
+    chosen, symbols = [], set()
+    for left, right, count in ranked:
+        if len(chosen) == wanted:
+            return chosen
+        if {left, right} & symbols:
+            limit = count
+            break
+        chosen.append((left, right, count))
+        symbols |= {left, right}
+    else:
+        limit = ranked[-1][2] if ranked else 0
+    return chosen[:1] + [p for p in chosen[1:] if p[2] > limit]
+
+
+def bpe_merges(df: DataFrame, text_col: str, num_merges: int, head: int = 200) -> DataFrame:
     """VOC-3 (bpe): learn ``num_merges`` merges over the distinct-word table.
 
     Words are the lower-cased word tokens, split into characters.  Each round
     is one aggregate over the distinct words (pair frequency = sum of word
-    frequency x occurrences of the pair), the best pair (highest count, then
-    smallest pair) is merged in every word with array expressions, and the
-    word table is written to the checkpoint folder every ``checkpoint_every``
-    rounds: a merge expression is inlined wherever the symbols are used, so
-    unwritten rounds nest and grow the plan.  Only the chosen pair reaches the
-    driver.
+    frequency x occurrences of the pair); of its ``head`` best pairs (highest
+    count, then smallest pair) those are merged together whose joint effect equals
+    merging one by one (``independent_pairs``), and the word table is written
+    anew, the one before it deleted.  Only the head of pairs reaches the driver.
     Result ``(rank, left, right, freq)``.
     """
     from ..session import materialize, release
 
     wt = word_counts(df, text_col).select(F.col("n").alias("freq"), chars(F.col("token")).alias("sym"))
-    written = wt = materialize(wt.where(F.size("sym") > 1), "bpe")
-    merges = []
-    for r in range(num_merges):
+    wt = materialize(wt.where(F.size("sym") > 1), "bpe")
+    merges: list[tuple[str, str, int]] = []
+    while len(merges) < num_merges:
         pairs = wt.select("freq", F.explode(F.arrays_zip(F.slice("sym", 1, F.size("sym") - 1).alias("l"),
                                                          F.slice("sym", 2, F.size("sym") - 1).alias("r")))
                           .alias("p"))
         counts = pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("c"))
-        best = counts.orderBy(F.col("c").desc(), "l", "r").first()
-        if best is None:
+        ranked = [(r["l"], r["r"], int(r["c"])) for r in counts.orderBy(F.col("c").desc(), "l", "r").limit(head).collect()]
+        if not ranked:
             break
-        merges.append((r, best["l"], best["r"], int(best["c"])))
-        wt = wt.withColumn("sym", _merge_pair(F.col("sym"), best["l"], best["r"])).where(F.size("sym") > 1)
-        if (r + 1) % checkpoint_every == 0:
-            before, wt = written, materialize(wt, "bpe")
-            written = wt
-            release(before)
-    return df.sparkSession.createDataFrame(merges, "rank int, left string, right string, freq long")
+        batch = independent_pairs(ranked, num_merges - len(merges))
+        merges.extend(batch)
+        merged = wt.withColumn("sym", _merge_pairs(F.col("sym"), [p[:2] for p in batch])).where(F.size("sym") > 1)
+        before, wt = wt, materialize(merged, "bpe")
+        release(before)
+    release(wt)
+    return df.sparkSession.createDataFrame([(i, *m) for i, m in enumerate(merges)],
+                                           "rank int, left string, right string, freq long")
 
 
 def encode_texts(df: DataFrame, text_col: str, key_cols: list[str], vocab: DataFrame, unk_id: int,

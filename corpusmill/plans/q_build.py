@@ -325,11 +325,11 @@ def batch_by_label(spark, d):
 
 @register("bpe_merges")
 def bpe_merges_q(spark, d):
-    """VOC-3 bpe: the first 20 merges learnt from every word of every document.
+    """VOC-3 bpe: the first 60 merges learnt from every word of every document.
 
     Iterative, so no SQL oracle; tests compare with a brute-force trainer.
     """
-    return V.bpe_merges(table(spark, d, "documents"), "text", 20)
+    return V.bpe_merges(table(spark, d, "documents"), "text", 60)
 
 
 @register("unigram_vocab")

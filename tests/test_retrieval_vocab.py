@@ -152,6 +152,20 @@ def test_bpe_matches_brute_force(spark):
     got = [(r.left, r.right, r.freq) for r in V.bpe_merges(df, "text", 12).orderBy("rank").collect()]
     words = [w for t in texts for w in re.findall(r"\w+", t.lower())]
     assert got == _brute_bpe(words, 12)
+    for head in (1, 3):     # however few pairs a round looks at
+        assert [(r.left, r.right, r.freq) for r in V.bpe_merges(df, "text", 9, head).collect()] == got[:9]
+
+
+def test_merging_several_pairs_at_once_equals_one_by_one(spark):
+    import random
+    rnd = random.Random(2)
+    texts = [" ".join("".join(rnd.choice("abcdefgh"[:rnd.choice([3, 8])]) for _ in range(rnd.randrange(1, 9)))
+                      for _ in range(120)) for _ in range(3)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [(r.left, r.right, r.freq) for r in V.bpe_merges(df, "text", 25).orderBy("rank").collect()]
+    assert got == _brute_bpe([w for t in texts for w in t.split()], 25)
+    assert V.independent_pairs([("a", "b", 9), ("c", "d", 8), ("b", "e", 7), ("f", "g", 7)], 9) == [("a", "b", 9), ("c", "d", 8)]
+    assert V.independent_pairs([("a", "b", 9), ("c", "d", 8), ("a", "e", 8)], 9) == [("a", "b", 9)]
 
 
 def test_unigram_vocab(spark):
