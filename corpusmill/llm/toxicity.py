@@ -145,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_r
     few = rows.select("y", F.array_intersect("feats", wanted).alias("feats"),
                       F.transform("gone", lambda a: F.array_intersect(a, wanted)).alias("gone"),
                       F.transform("come", lambda a: F.array_intersect(a, wanted)).alias("come"))
-    table = few.orderBy("y", "feats").collect()  # bounded by sample_rows x kept
+    # bounded by sample_rows x kept; sorted here, so that a fit does not depend on the order of partitions
+    table = sorted(few.collect(), key=lambda r: (r["y"], r["feats"], r["gone"], r["come"]))
     x, pairs = np.zeros((len(table), len(names))), []
     for i, r in enumerate(table):
         x[i, [at[f] for f in r["feats"]]] = 1
