@@ -10,5 +10,6 @@ from corpusmill.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session(master="local[*]", shuffle_partitions=8, app="corpusmill-tests")
+    s = get_session(master="local[*]", shuffle_partitions=4, app="corpusmill-tests",
+                    extra={"spark.default.parallelism": "4"})
     yield s
