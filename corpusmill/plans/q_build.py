@@ -6,13 +6,14 @@ ids 0..4 are <pad>, <unk>, <s>/[CLS], </s>/[SEP], <mask>.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import retrieval as R
 from ..operators import trainset as TS
 from ..operators import vocab as V
-from ..operators.position import shuffle_key, with_position
+from ..operators.position import with_position
 from ..sources.tables import table
 from . import sqltext as S
 
@@ -285,7 +286,8 @@ q AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d O
 f AS (SELECT query_id, min(doc_id) AS d1 FROM q GROUP BY 1),
 s AS (SELECT q.query_id, min(q.doc_id) AS d2 FROM q JOIN f USING (query_id) WHERE q.doc_id > f.d1 GROUP BY 1),
 pp AS (SELECT 'positive' AS kind, f.query_id AS pair_id, x.text AS text1, y.text AS text2
-       FROM f JOIN s USING (query_id) JOIN documents x ON x.doc_id = f.d1 JOIN documents y ON y.doc_id = s.d2),
+       FROM f JOIN s USING (query_id) JOIN documents x ON x.doc_id = f.d1 JOIN documents y ON y.doc_id = s.d2
+       ORDER BY f.query_id LIMIT 100),
 n AS (SELECT count(*) AS n FROM pp),
 sh AS (SELECT doc_id, text, row_number() OVER (ORDER BY {S.shuffle_key(42, 'doc_id')}, doc_id) - 1 AS pos FROM documents),
 rp AS (SELECT 'random' AS kind, a.pos AS pair_id, a.text AS text1, b.text AS text2 FROM sh a JOIN sh b
@@ -294,24 +296,16 @@ rp AS (SELECT 'random' AS kind, a.pos AS pair_id, a.text AS text1, b.text AS tex
 
 @register("eval_pairs", f"WITH {_EVAL_SQL} SELECT * FROM pp UNION ALL SELECT * FROM rp")
 def eval_pairs(spark, d):
-    """TRN-10 / PRJ-11 / FLT-12 / JN-5: first two positive passages per query (queries with >= 2),
+    """TRN-10 / PRJ-11 / FLT-12 / JN-5: first two positive passages per query (queries with >= 2, at most 100),
     and as many random pairs (shuffled corpus row i with row n + i)."""
     docs = table(spark, d, "documents")
     idx = R.build_index(docs, "text", "doc_id")
     q = R.verbatim_qrels(table(spark, d, "benchmark"), docs, idx, q_id="item_id")
-    f = q.groupBy("query_id").agg(F.min("doc_id").alias("d1"))
-    s = q.join(f, "query_id").where(F.col("doc_id") > F.col("d1")).groupBy("query_id").agg(F.min("doc_id").alias("d2"))
-    t = docs.select("doc_id", "text")
-    pp = (f.join(s, "query_id")
-          .join(t.select(F.col("doc_id").alias("d1"), F.col("text").alias("text1")), "d1")
-          .join(t.select(F.col("doc_id").alias("d2"), F.col("text").alias("text2")), "d2")
-          .select(F.lit("positive").alias("kind"), F.col("query_id").alias("pair_id"), "text1", "text2"))
-    n = pp.count()
-    sh = with_position(t.withColumn("_k", shuffle_key(42, "doc_id")), ["_k", "doc_id"], pos_col="pos")
-    a = sh.where(F.col("pos") < n).select(F.col("pos").alias("pair_id"), F.col("text").alias("text1"))
-    b = sh.select((F.col("pos") - n).alias("pair_id"), F.col("text").alias("text2"))
-    rp = a.join(b, "pair_id").select(F.lit("random").alias("kind"), "pair_id", "text1", "text2")
-    return pp.unionByName(rp)
+    two = q.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where("r <= 2")
+    passages = two.join(docs.select("doc_id", "text"), "doc_id").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("r", "text"))).alias("p"))
+    queries = passages.select("query_id", F.transform("p", lambda x: F.struct(x["text"].alias("text"))).alias("positive_passages"))
+    return TS.evaluation_pairs(queries, docs, 100)
 
 
 @register("batch_by_label",

@@ -2,7 +2,6 @@
 
 import re
 
-from pyspark.sql import functions as F
 
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import vocab as V
