@@ -16,7 +16,9 @@ runs of k words instead.  The plan:
   bucket holding a third of the corpus costs one aggregate row, not n^2 pairs;
 * with ``verify=True`` a set is compared with **every** earlier distinct set of
   its buckets, inside the join: only pairs whose exact Jaccard similarity reaches
-  the threshold leave it, and a ``min`` per set reduces these on the map side.
+  the threshold leave it, and a ``min`` per set reduces these on the map side;
+* ``exact_near_duplicate_flags`` has no bands and so no recall to lose: a prefix
+  filter over globally ordered shingles, rare ones first, finds every pair.
 
 A row is a near duplicate iff a text with a smaller position shares a band
 bucket (and, verified, is similar enough).  The earliest row of every cluster
@@ -25,9 +27,12 @@ survives; identical shingle sets always collide.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +73,18 @@ def char_set_key(c) -> F.Column:
 
 def shingles(c: F.Column, shingle: tuple[str, int] = CHARACTERS) -> F.Column:
     """Sorted distinct shingles of a text; one that is shorter than a shingle is one itself, an empty one has none."""
+    return _runs(_units(c, shingle), shingle)
+
+
+def _units(c: F.Column, shingle: tuple[str, int]) -> F.Column:
     kind, k = shingle
     if kind not in ("char", "word") or k < 1:
         raise ValueError("a shingle is ('char', k) or ('word', k)")
-    units = chars(c) if kind == "char" else words(c)
+    return chars(c) if kind == "char" else words(c)
+
+
+def _runs(units: F.Column, shingle: tuple[str, int]) -> F.Column:
+    kind, k = shingle
     glue = "" if kind == "char" else " "
     n = F.size(units)
     runs = F.when(n > k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
@@ -181,6 +194,111 @@ def near_duplicate_flags(df: DataFrame, col: str, order_col: str, flag_col: str
     return out.select(*[F.col(c) for c in df.columns], flag.alias(flag_col))
 
 
+def _alike(left: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(set_first): the sets of ``pairs(set_first, other)`` that are as similar as ``threshold`` to the other one."""
+    a = left.select("set_first", "items")
+    b = sets.select(F.col("set_first").alias("other"), F.col("items").alias("_b_items"))
+    common = F.size(F.array_intersect("items", "_b_items"))
+    return (pairs.join(a, "set_first").join(b, "other")
+            .where(common / (F.size("items") + F.size("_b_items") - common) >= F.lit(threshold))
+            .select("set_first").distinct())
+
+
+def _hashed_runs(k: int):
+    """Column function: unit hashes array<bigint> -> (set_key, items): the distinct 64-bit hashes of the runs of k, sorted."""
+    @F.pandas_udf("struct<set_key: binary, items: array<bigint>>")
+    def run(units: pd.Series) -> pd.DataFrame:
+        keys, items = [], []
+        for u in units:
+            w = np.asarray(u, dtype="int64").view("uint64")
+            m = min(k, len(w))
+            h = np.full(len(w) - m + 1 if m else 0, m, dtype="uint64")
+            for j in range(m):
+                h = (h ^ w[j:j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            h = np.unique(h.view("int64"))
+            keys.append(hashlib.md5(h.tobytes()).digest())
+            items.append(h)
+        return pd.DataFrame({"set_key": keys, "items": items})
+
+    return run
+
+
+def _prefixes(threshold: float, common: dict[int, int]):
+    """Column function: items -> the first ``n - ceil(threshold * n) + 1`` of them, common ones last and then by hash."""
+    known = np.array(sorted(common), dtype="int64")
+    held = np.array([common[x] for x in sorted(common)], dtype="int64")
+
+    @F.pandas_udf("array<bigint>")
+    def run(sets: pd.Series) -> pd.Series:
+        out = []
+        for x in sets:
+            x = np.asarray(x, dtype="int64")
+            count = np.zeros(len(x), dtype="int64")
+            if len(known):
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                count = np.where(known[at] == x, held[at], 0)
+            # the product is lowered by a hair so that rounding never shortens a prefix
+            need = int(np.ceil(len(x) * threshold - 1e-6))
+            out.append(x[np.lexsort((x, count))][:len(x) - need + 1])
+        return pd.Series(out)
+
+    return run
+
+
+#: One text in so many is looked at for common shingles; of these, so many at most are put last.
+COMMON_SAMPLE, COMMON_MAX = 16, 200_000
+
+
+def exact_near_duplicate_flags(df: DataFrame, col: str, order_col: str, flag_col: str = "is_near_dup",
+                               threshold: float = 0.8, shingle: tuple[str, int] = ("word", 5)) -> DataFrame:
+    """Add ``flag_col``: true when an earlier text has the same shingles or a Jaccard similarity of ``threshold`` to it.
+
+    Exact, without bands.  Two sets that are similar enough share a shingle among the first
+    ``n - ceil(threshold * n) + 1`` of each, in any order common to all sets.  The order here puts the shingles that
+    a sample finds common last, by their count, and the others by their hash: the sample decides how many
+    pairs are compared, never which are found.  Only prefixes are shuffled.
+    A set is first compared with the earliest holder of each of its prefix shingles (a star join); only those
+    without a match there meet every earlier holder whose size and place still allow the threshold.  Shingles are
+    compared by their 64-bit hashes.  ``order_col`` is unique; null texts get false.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold lies above 0 and is at most 1")
+    # the units are projected first: inside the lambda they would be split anew for every unit
+    units = df.where(F.col(col).isNotNull()).select(F.col(order_col).alias("_cm_o"), _units(F.col(col), shingle).alias("u"))
+    texts = units.select("_cm_o", _hashed_runs(shingle[1])(F.transform("u", lambda x: F.xxhash64(x))).alias("r"))
+    texts = materialize(texts.select("_cm_o", "r.set_key", "r.items"), "hashed")
+    firsts = texts.groupBy("set_key").agg(F.min("_cm_o").alias("set_first")).select("set_first")
+    sets = texts.join(firsts, texts["_cm_o"] == firsts["set_first"]).select("set_first", "items")
+
+    sample = sets.where(F.pmod(F.xxhash64("set_first"), F.lit(COMMON_SAMPLE)) == 0).select(F.explode("items").alias("item"))
+    common = dict(sample.groupBy("item").agg(F.count("*").alias("c")).where("c > 2")
+                  .orderBy(F.col("c").desc(), "item").limit(COMMON_MAX).collect())
+    prefix = (sets.select("set_first", F.size("items").alias("n"), _prefixes(threshold, common)(F.col("items")).alias("p"))
+              .select("set_first", "n", F.posexplode("p").alias("at", "item"))
+              .select("set_first", "n", (F.col("n") - F.col("at")).alias("rest"), "item"))
+    # a shingle in one prefix only leads nowhere
+    held = prefix.groupBy("item").agg(F.count("*").alias("c"), F.min("set_first").alias("other")).where("c > 1")
+    prefix = materialize(prefix.join(held.select("item"), "item", "left_semi"), "prefix")
+
+    star = prefix.groupBy("item").agg(F.min("set_first").alias("other"))
+    pairs = prefix.join(star, "item").where("other < set_first").select("set_first", "other").distinct()
+    found = materialize(_alike(sets, sets, pairs, threshold), "found")
+    mates = prefix.select("item", F.col("set_first").alias("other"), F.col("n").alias("_b_n"), F.col("rest").alias("_b_rest"))
+    both = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("_b_n")) - F.lit(1e-6)   # the overlap needed
+    # any overlap lies from the first common prefix shingle on, so one pair row has the room; all rows have less or as much
+    left = (prefix.join(found, "set_first", "left_anti").join(mates, "item")
+            .where((F.col("other") < F.col("set_first")) & (F.least("rest", "_b_rest") >= both))
+            .select("set_first", "other").distinct())
+    late = _alike(sets, sets, left, threshold)
+    lost = found.unionByName(late)
+    survivors = sets.select("set_first").join(lost, "set_first", "left_anti") \
+        .select(F.col("set_first").alias("_cm_surv"), F.lit(True).alias("_cm_keep"))
+    out = df.join(survivors, df[order_col] == survivors["_cm_surv"], "left")
+    flag = F.col(col).isNotNull() & F.col("_cm_keep").isNull()
+    return out.select(*[F.col(c) for c in df.columns], flag.alias(flag_col))
+
+
 def drop_near_duplicates(df: DataFrame, col: str, order_col: str, **kw) -> DataFrame:
     """Column form: near-duplicate texts become null (rows are kept)."""
     flagged = near_duplicate_flags(df, col, order_col, flag_col="_cm_nd", **kw)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.dedup import dedup_column, dedup_records
-from ..operators.minhash import dedup_counts, lsh_buckets, earliest_candidates, minhash_signatures, near_duplicate_flags, optimal_bands
+from ..operators.minhash import (dedup_counts, earliest_candidates, exact_near_duplicate_flags, lsh_buckets, minhash_signatures,
+                                 near_duplicate_flags, optimal_bands)
 from ..operators.sampling import cap_prefix, lazy_cap, percent_slice, shuffle_take
 from ..operators.splits import split_dataset
 from ..operators.trainset import build_texts, text_column
@@ -337,6 +338,28 @@ def near_dup_words(spark, d):
                                 num_perm=32, verify=True, shingle=("word", 3)).select("doc_id", "is_near_dup")
 
 
+def _all_pairs_sql(k: int, threshold: float) -> str:
+    """Jaccard of all pairs of sets that share a shingle; no bands, no prefixes."""
+    return f"""w AS (SELECT doc_id, {S.words('text')} AS w FROM documents WHERE text IS NOT NULL),
+tx AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) > {k} THEN list_transform(range(1, len(w) - {k} + 2),
+       lambda i: array_to_string(w[i:i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+       ELSE [] END)) AS items FROM w),
+s AS (SELECT min(doc_id) AS set_first, items FROM tx GROUP BY items),
+m AS (SELECT set_first, len(items) AS n, unnest(items) AS item FROM s),
+pr AS (SELECT a.set_first, b.set_first AS other, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS c
+       FROM m a JOIN m b USING (item) WHERE b.set_first < a.set_first GROUP BY 1, 2),
+lose AS (SELECT DISTINCT set_first FROM pr WHERE c::DOUBLE / (x + y - c) >= {threshold})"""
+
+
+@register("near_dup_words_exact", f"WITH {_all_pairs_sql(5, 0.8)}\n"
+          "SELECT d.doc_id, d.text IS NOT NULL AND (s.set_first IS NULL OR s.set_first IN (SELECT set_first FROM lose)) "
+          "AS is_near_dup FROM documents d LEFT JOIN s ON d.doc_id = s.set_first")
+def near_dup_words_exact(spark, d):
+    """DD-6/7 over runs of five words, Jaccard of at least .8: every pair, by a prefix filter without bands."""
+    return exact_near_duplicate_flags(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id") \
+        .select("doc_id", "is_near_dup")
+
+
 # --- splits -----------------------------------------------------------------
 
 def _seq_sql(src: str, idc: str, order: str, n_train: str, n_val: str) -> str:

@@ -98,3 +98,32 @@ def test_temporary_tables_are_deleted(spark):
     release(a)
     assert not os.path.isdir(path) and b.count() == 4
     assert release_all(spark) >= 1 and release_all(spark) == 0
+
+
+def test_exact_near_duplicates_match_all_pairs(spark):
+    import random
+
+    from corpusmill.operators.minhash import exact_near_duplicate_flags
+
+    rnd = random.Random(5)
+    rows = [(0, None), (1, ""), (2, ""), (3, "one two"), (4, "One two!")]
+    for b in range(12):
+        base = [f"w{rnd.randrange(300)}" for _ in range(80)]
+        for _ in range(6):
+            ws = list(base)
+            for _ in range(rnd.randrange(5)):    # similarities on both sides of the threshold
+                ws[rnd.randrange(80)] = f"x{rnd.randrange(300)}"
+            rows.append((len(rows), " ".join(ws + ["the", "same", "line", "in", "all", "texts"])))
+
+    def shingle_set(t):
+        w = t.lower().replace("!", "").split()
+        return frozenset(" ".join(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) > 5 else frozenset([" ".join(w)] if w else [])
+
+    sets = {i: shingle_set(t) for i, t in rows if t is not None}
+    want = {i: i in sets and any(a == sets[i] or (a | sets[i] and len(a & sets[i]) / len(a | sets[i]) >= .8)
+                                 for j, a in sets.items() if j < i) for i, _ in rows}
+    df = spark.createDataFrame(rows, "pos long, t string")
+    assert {r.pos: r.is_near_dup for r in exact_near_duplicate_flags(df, "t", "pos").collect()} == want
+    banded = {r.pos: r.is_near_dup for r in near_duplicate_flags(df, "t", "pos", threshold=.8, num_perm=32, verify=True,
+                                                                 shingle=("word", 5)).collect()}
+    assert sum(banded.values()) < sum(want.values())      # what the bands leave out
