@@ -16,6 +16,11 @@ Kinds: ``card`` (13 to 19 digits, Luhn), ``iban`` (mod 97), ``ssn``, ``phone``,
 local part are permuted, the domain stays), ``secret`` (hex strings of 32 and more characters, of 12 and
 more behind an equals sign or colon, and access key ids).
 
+Decimal digits of any script count: a card number, ssn, phone, ipv4 or date in full-width,
+Arabic-Indic or other digits is found by its value and written back in the script
+of its digits (of its first digit, where scripts are mixed and the width changes), so
+equal values stay linked across scripts.  IBANs, e-mails and secrets are ASCII.
+
 One narrow pass; no shuffle.  Candidates come from one scan per kind and texts
 without a digit or "@" skip all of them.
 
@@ -31,6 +36,7 @@ import datetime as dt
 import hashlib
 import hmac
 import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -45,7 +51,7 @@ ROUNDS = 8
 # The formats looked for.
 PATTERNS = {
     "card": re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])"),
-    "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
+    "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\w)"),
     "ipv4": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
@@ -54,7 +60,9 @@ PATTERNS = {
     "secret": re.compile(r"(?:(?<![\w-])[0-9a-fA-F]{32,64}|(?:(?<=[=:])|(?<=[=:][\"' ])|(?<=[=:] [\"']))[0-9a-fA-F]{12,31}"
                          r"|(?<!\w)A[KS]IA[A-Z0-9]{16})(?![\w-])"),
 }
-_MAYBE = re.compile(r"[0-9@]")
+_MAYBE = re.compile(r"[\d@]")
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
+_ANY_SCRIPT = {"card", "ssn", "phone", "ipv4", "date"}
 _FIRST_DAY, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -229,18 +237,35 @@ _MAKERS = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ipv4": _
            "secret": _secret}
 
 
+def _zero(c: str) -> str:
+    """The zero of a digit's script; a script's ten digits are neighbours in Unicode."""
+    return chr(ord(c) - unicodedata.decimal(c))
+
+
+def _in_script(shape: str, new: str) -> str:
+    """``new``, which has ASCII digits, in the digits of ``shape``."""
+    zeros = [_zero(c) for c in shape if c.isdecimal()]
+    places = iter(zeros if len(new) == len(shape) else zeros[:1] * len(new))
+    return "".join(chr(ord(next(places)) + int(c)) if "0" <= c <= "9" else c for c in new)
+
+
 def replace_all(text: str, p: Permutation, known=None, back: bool = False) -> tuple[str, dict[str, int], list]:
     """(text with pseudonyms, count by kind, spans [(start, end, kind)] in the given text)."""
     if not _MAYBE.search(text):
         return text, {}, []
     make = known or (lambda kind, s: _MAKERS[kind](p, s, back))
     found = []
+    # one character for one, so places in the folded text are places in the text
+    folded = text if text.isascii() else _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m.group())), text)
     for no, kind in enumerate(KINDS):
         if kind == "email" and "@" not in text:
             continue
-        for m in PATTERNS[kind].finditer(text):
+        for m in PATTERNS[kind].finditer(folded if kind in _ANY_SCRIPT else text):
             new = make(kind, m.group())
             if new is not None:
+                shape = text[m.start():m.end()]
+                if shape != m.group():
+                    new = _in_script(shape, new)
                 found.append((m.start(), -m.end(), no, kind, new))
     found.sort()
     out, at, counts, spans = [], 0, {}, []

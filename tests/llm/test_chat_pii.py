@@ -122,3 +122,21 @@ def test_equal_values_stay_linked_across_documents(spark):
     other = P.pseudonymise(df, "another key").collect()[6]["text"]
     assert card not in other
     assert P.pseudonymise(docs(spark, []), "k").count() == 0
+
+
+def test_digits_of_other_scripts(spark):
+    p = P.Permutation(b"k" * 32)
+    for zero in "\uff10\u0660\u0966":
+        def other(s):
+            return "".join(chr(ord(zero) + int(c)) if "0" <= c <= "9" else c for c in s)
+        for s in (VALID[0], VALID[1], VALID[2], VALID[3], VALID[4], VALID[5], VALID[6], VALID[7], VALID[11], "1.2.2003"):
+            new, counts, spans = P.replace_all(f"7 {other(s)} y", p)
+            plain, plain_counts, _ = P.replace_all(f"7 {s} y", p)
+            assert new == "7" + other(plain[1:]) and counts == plain_counts and sum(counts.values()) == 1
+            assert spans[0][:2] == (2, 2 + len(s))
+            assert P.replace_all(new, p, back=True)[0] == f"7 {other(s)} y"
+        for s in ("1234567890123", VALID[0][:-1] + "8", "256.1.1.1"):
+            assert P.replace_all(f"7@ {other(s)}", p) == (f"7@ {other(s)}", {}, [])
+        assert P.replace_all(other("12345"), p)[1] == {}
+    bad = "7 " + "\uff11\uff12\uff13" * 5      # ended the whole query
+    assert P.pseudonymise(docs(spark, [(1, bad)]), "k").collect()[0]["text"] == bad
