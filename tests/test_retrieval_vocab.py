@@ -188,3 +188,12 @@ def test_unigram_trainer_ends_when_the_alphabet_is_too_large(spark):
         V.unigram_vocab(df, "text", 5)
     got = [r.piece for r in V.unigram_vocab(df, "text", 5, character_coverage=0.5).collect()]
     assert "a" in got and len(got) <= 5
+
+
+def test_registered_unigram_takes_large_alphabets(spark, tmp_path):
+    from corpusmill.plans.q_build import unigram_vocab_q
+    signs = [chr(0x4e00 + i) for i in range(400)]
+    df = spark.createDataFrame([(i, c + signs[i - 1]) for i, c in enumerate(signs)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = {r.piece for r in unigram_vocab_q(spark, str(tmp_path)).collect()}
+    assert set(signs) <= pieces and len(pieces) > 400
