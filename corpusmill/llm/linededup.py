@@ -24,6 +24,10 @@ Guarantee: a repeated line of at least window_words words, and a repeated run of
 lines of at least twice that many words, shares a fingerprint with its first
 place, so the gram (and what extends it) is deleted at every later place.
 Shorter repeats (headings, single words) stay unless they extend a longer run.
+Exception: "first place" is the earliest place of the gram, and a run is extended
+against that place only.  Lines of fewer than window_words words beside a longer
+line stay when the longer line's first place has other neighbours, even though a
+later place repeats the whole run.
 
 Defined cases: null texts stay null; empty texts stay empty; a text that loses
 every line becomes empty but its row stays; rows equal in id and text are one
