@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fmindex, linededup, neighbours, pseudonyms, quality, sharding, simhash, toxicity
+from . import (
+    bpe, chat, fmindex, linededup, negatives, neighbours, pseudonyms, quality, runs, sharding, simhash, templates, toxicity,
+)
 
 QUERIES: dict = {
     "op1_simhash": simhash.query,
@@ -15,8 +17,13 @@ QUERIES: dict = {
     "op8_sharding": sharding.query,
     "op9_decontamination": fmindex.query,
     "op10_line_dedup": linededup.query,
+    "op11_hard_negatives": negatives.query,
+    "op12_periodic_runs": runs.query,
+    "op13_html_text": templates.query,
 }
 ORACLE: dict = {
     "op7_chat": chat.ORACLE,
     "op9_decontamination": fmindex.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+    "op13_html_text": templates.ORACLE,
 }
