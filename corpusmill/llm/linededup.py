@@ -39,16 +39,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import release
 from .common import cut, read, text_bytes
 
-#: Words of a winnowing window.
-WINDOW_WORDS = 8
+#: Words of a winnowing window; bytes of text that are winnowed at a time (a longer document stands alone).
+WINDOW_WORDS, SLICE_BYTES = 8, 2 << 20
 
 
 def _reach(total: np.ndarray, words: int) -> np.ndarray:
@@ -109,6 +109,19 @@ def grams(text: bytes, words: int) -> list[tuple]:
     return out
 
 
+def _slices(batch: pa.RecordBatch):
+    """Parts of a batch of at most SLICE_BYTES of text each, or of one row."""
+    start, held = 0, 0
+    for k, t in enumerate(batch.column(2)):
+        size = len(t.as_py()) if t.is_valid else 0
+        if held and held + size > SLICE_BYTES:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if start < len(batch):
+        yield batch.slice(start)
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   window_words: int = WINDOW_WORDS) -> DataFrame:
     """(id, th, cuts): per document with later repeats, its runs of lines [lo, hi] to delete (0-based, inclusive)."""
@@ -118,8 +131,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         kinds = [pa.binary(), pa.int32(), pa.int32(), hashes, places, hashes, places]
         names = ["id", "th", "key", "lo", "hi", "before", "before_at", "after", "after_at"]
         for b in batches:
-            for start in range(0, len(b), 1000):
-                part = b.slice(start, 1000)
+            for part in _slices(b):
                 found = [grams(t.as_py(), window_words) if t.is_valid else [] for t in part.column(2)]
                 owner = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in found]))
                 rows = [row for some in found for row in some]
@@ -148,33 +160,30 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.try_element_at("after_at", F.nullif("right", F.lit(0))), F.col("hi")).alias("hi"))
     runs = (later.withColumn("left", alike("before", "f.before")).withColumn("right", alike("after", "f.after"))
             .select("id", "th", run_of.alias("cut")))
-    return runs.groupBy("id", "th").agg(F.collect_set("cut").alias("cuts"))
-
-
-def _without(text: str, cuts) -> tuple[str, int, int]:
-    """(text without the lines of the cuts, lines, lines deleted)."""
-    lines = text.split("\n")
-    keep = np.ones(len(lines), bool)
-    for c in cuts if cuts is not None else ():
-        keep[c["lo"]:c["hi"] + 1] = False
-    keep[[i for i, line in enumerate(lines) if not line.encode().strip()]] = True
-    gone = len(lines) - int(keep.sum())
-    return ("\n".join([line for line, k in zip(lines, keep) if k]) if gone else text), len(lines), gone
-
-
-def _apply(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
-    out = [(None, 0, 0) if t is None else (t, t.count("\n") + 1, 0) if c is None else _without(t, c)
-           for t, c in zip(texts, cuts)]
-    return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
+    cuts = cut(runs.groupBy("id", "th").agg(F.collect_set("cut").alias("cuts")), "cuts")
+    release(found)
+    release(firsts)
+    return cuts
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, window_words: int) -> DataFrame:
+    """``docs`` with _cm_done = (text without the lines of its cuts, lines, lines deleted); texts stay in the JVM."""
     found = repeated_runs(docs, id_col, text_col, window_words).select(
         F.col("id").alias("_cm_id"), F.col("th").alias("_cm_th"), F.col("cuts").alias("_cm_cuts"))
-    hashed = docs.withColumn("_cm_hash", F.xxhash64(F.col(f"`{text_col}`")))
+    text = F.col(f"`{text_col}`")
+    hashed = docs.withColumn("_cm_hash", F.xxhash64(text))
     same = hashed[id_col].eqNullSafe(found["_cm_id"]) & (hashed["_cm_hash"] == found["_cm_th"])
-    apply = F.pandas_udf(_apply, "struct<text: string, n_lines: long, n_removed: long>")
-    return hashed.join(found, same, "left").withColumn("_cm_done", apply(F.col(f"`{text_col}`"), F.col("_cm_cuts")))
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda line, i: (F.btrim(line, F.lit(" \t\r\x0b\x0c")) == "") | ~F.exists(
+        "_cm_cuts", lambda c: (c["lo"] <= i) & (i <= c["hi"])))
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    cut_text = F.when(F.col("_cm_cuts").isNotNull(), kept)
+    done = F.struct(F.when(F.col("_cm_kept").isNotNull(), F.array_join("_cm_kept", "\n")).otherwise(text).alias("text"),
+                    F.col("_cm_lines").alias("n_lines"),
+                    F.when(F.col("_cm_kept").isNotNull(), F.col("_cm_lines") - F.size("_cm_kept")).otherwise(0)
+                    .cast("long").alias("n_removed"))
+    return (hashed.join(found, same, "left").withColumn("_cm_kept", cut_text).withColumn("_cm_lines", n_lines)
+            .withColumn("_cm_done", done))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
