@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from ..streaming.streams import cleanse_stream, per_batch_stream, read_stream, take_stream, union_streams, write_stream
+from ..sources.tables import table
+from ..streaming import stateful as ST
+from ..streaming.streams import cleanse_stream, per_batch_stream, read_stream, union_streams, write_stream
+from . import q_build as B
 from . import sqltext as S
 
 QUERIES: dict = {}
@@ -43,18 +46,94 @@ def _drained(spark, start, schema: str):
     return spark.read.schema(schema).parquet(f"{base}/out").select(*columns)
 
 
+#: Files that a table is dealt into, so that its stream has as many micro-batches.
+FILES = 6
+
+
+def _base(spark) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _filed(spark, rows, order_col: str):
+    """The rows as a stream of FILES files whose ages follow ``order_col``, one file a micro-batch."""
+    path = f"{_base(spark)}/files"
+    rows.repartitionByRange(FILES, order_col).sortWithinPartitions(order_col).write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(f.getPath().getName() for f in fs.listStatus(hadoop(path)) if f.getPath().getName().startswith("part-"))
+    for age, name in enumerate(parts):      # a file stream reads the oldest file first
+        fs.setTimes(hadoop(f"{path}/{name}"), 1_600_000_000_000 + 1000 * age, -1)
+    return read_stream(spark, path, rows.schema, "parquet", max_files_per_trigger=1, glob="part-*")
+
+
 def stream_take(spark, d):
-    """STM-3: a seeded shuffle of the micro-batch, cut to 50 rows."""
-    docs = _source(spark, d, "documents").select("doc_id", "lang")
-    return _drained(spark, lambda out, ckpt: take_stream(docs, 50, ["doc_id"], out, ckpt, seed=42), "doc_id long, lang string")
+    """STM-3 / TOP-5: a shuffle with a buffer of 200 rows over the whole stream of several files, and its first 500 rows."""
+    docs = _filed(spark, table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    base = _base(spark)
+    ST.shuffle_take_stream(docs, 500, ["doc_id"], f"{base}/out", f"{base}/ckpt", seed=42, buffer=200)
+    return ST.read_sink(spark, f"{base}/out", "take_no long, doc_id long, lang string")
+
+
+def _shuffled_sql(source: str, buffer: int, n: int) -> str:
+    mixed = "('0x' || substr(md5('42:' || CAST(no AS VARCHAR)), 1, 8))::BIGINT"
+    return f"""
+WITH numbered AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS no FROM {source}),
+slotted AS (SELECT *, CASE WHEN no < {buffer} THEN no ELSE {mixed} % {buffer} END AS slot FROM numbered),
+turns AS (SELECT *, lead(no) OVER (PARTITION BY slot ORDER BY no) AS following FROM slotted),
+early AS (SELECT following - {buffer} AS take_no, doc_id, lang FROM turns WHERE following IS NOT NULL),
+late AS (SELECT (SELECT count(*) FROM early) + row_number() OVER (
+  ORDER BY md5('42:end:' || CAST(no AS VARCHAR)), no) - 1 AS take_no, doc_id, lang FROM turns WHERE following IS NULL)
+SELECT * FROM (SELECT * FROM early UNION ALL SELECT * FROM late) WHERE take_no < {n}"""
 
 
 QUERIES["stream_take"] = stream_take
-ORACLE["stream_take"] = f"SELECT doc_id, lang FROM documents ORDER BY {S.shuffle_key(42, 'doc_id')}, doc_id LIMIT 50"
+ORACLE["stream_take"] = _shuffled_sql("documents", 200, 500)
+
+
+def stream_shuffle(spark, d):
+    """STM-3: the same shuffle without a limit: every row once, in buffered order."""
+    docs = _filed(spark, table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    base = _base(spark)
+    ST.shuffle_take_stream(docs, None, ["doc_id"], f"{base}/out", f"{base}/ckpt", seed=42, buffer=1000)
+    return ST.read_sink(spark, f"{base}/out", "take_no long, doc_id long, lang string")
+
+
+QUERIES["stream_shuffle"] = stream_shuffle
+ORACLE["stream_shuffle"] = _shuffled_sql("documents", 1000, 1 << 62)
+
+
+def stream_pack(spark, d):
+    """STM-2: packing over micro-batches of one file each; equal to ``pack_blocks`` over the whole table."""
+    ids = B._encoded_docs(spark, d).select("doc_id", F.concat(F.array(F.lit(B.BOS)), "ids", F.array(F.lit(B.EOS))).alias("ids"))
+    base = _base(spark)
+    ST.pack_stream(_filed(spark, ids, "doc_id"), "ids", "doc_id", 128, f"{base}/out", f"{base}/ckpt")
+    return ST.read_sink(spark, f"{base}/out", "batch long, block long, input_ids array<bigint>, labels array<bigint>")
+
+
+QUERIES["stream_pack"] = stream_pack
+ORACLE["stream_pack"] = f"WITH {B._PACK_SQL} SELECT batch, block, input_ids, labels FROM packed"
+
+
+def stream_interleave(spark, d):
+    """STM-4: documents of three languages in turn, each a stream of several files, until one is exhausted."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    streams = [_filed(spark, docs.where(F.col("lang") == name), "doc_id") for name in ("en", "de", "fr")]
+    base = _base(spark)
+    ST.interleave_streams(streams, ["doc_id"], f"{base}/out", f"{base}/ckpt")
+    return ST.read_sink(spark, f"{base}/out", "pos long, doc_id long, lang string")
+
+
+QUERIES["stream_interleave"] = stream_interleave
+ORACLE["stream_interleave"] = """
+WITH turns AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS no,
+  list_position(['en', 'de', 'fr'], lang) - 1 AS source FROM documents WHERE lang IN ('en', 'de', 'fr')),
+sizes AS (SELECT min(n) AS rounds FROM (SELECT name, count(doc_id) AS n
+  FROM (SELECT unnest(['en', 'de', 'fr']) AS name) LEFT JOIN documents ON lang = name GROUP BY name))
+SELECT no * 3 + source AS pos, doc_id, lang FROM turns, sizes WHERE no < rounds"""
 
 
 def stream_union(spark, d):
-    """STM-4: two sources in one stream."""
+    """Two sources in one stream, in arrival order."""
     both = union_streams(_source(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"),
                          _source(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
     return _drained(spark, lambda out, ckpt: write_stream(both, out, ckpt), "id long, text string")
@@ -65,10 +144,11 @@ ORACLE["stream_union"] = "SELECT doc_id AS id, text FROM documents UNION ALL SEL
 
 
 def stream_hook(spark, d):
-    """UDF-2: a DataFrame step as a hook on every micro-batch (rows per language)."""
-    docs = _source(spark, d, "documents")
+    """UDF-2: a DataFrame step as a hook on every micro-batch of several (rows per language), its results added up."""
+    docs = _filed(spark, table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     step = lambda batch: batch.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    return _drained(spark, lambda out, ckpt: per_batch_stream(docs, step, out, ckpt), "lang string, n long")
+    parts = _drained(spark, lambda out, ckpt: per_batch_stream(docs, step, out, ckpt), "lang string, n long")
+    return parts.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 QUERIES["stream_hook"] = stream_hook

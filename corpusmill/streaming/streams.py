@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the lazy readers (STM-1..5).
+"""Structured Streaming forms of the lazy readers (STM-1, STM-5, UDF-2; the steps with state are in ``stateful``).
 
 The reference's "streaming" is lazy iteration over a dataset.  Here a
 directory of files is a file-source stream (``maxFilesPerTrigger`` bounds each
@@ -18,8 +18,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.text import cleanse_text
-from ..operators.sampling import cap_prefix, shuffle_take
-from ..operators.trainset import pack_blocks
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
@@ -52,7 +50,7 @@ def cleanse_stream(stream: DataFrame, text_col: str, event_time_col: str | None
 
 
 def union_streams(*streams: DataFrame) -> DataFrame:
-    """STM-4: interleave sources (arrival order, not round-robin)."""
+    """Sources in one stream, in arrival order (``stateful.interleave_streams`` takes turns)."""
     out = streams[0]
     for s in streams[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
@@ -67,25 +65,6 @@ def write_stream(df: DataFrame, sink_path: str, checkpoint_location: str, fmt: s
     return w.start(sink_path)
 
 
-def pack_stream(stream: DataFrame, ids_col: str, order_col: str, block_size: int, sink_path: str,
-                checkpoint_location: str, batch_rows: int = 1000) -> StreamingQuery:
-    """STM-2: packing applied per micro-batch, exactly like a batched map over a lazy dataset."""
-    return per_batch_stream(stream, lambda batch: pack_blocks(batch, block_size, order_col, ids_col, batch_rows),
-                            sink_path, checkpoint_location)
-
-
-def take_stream(stream: DataFrame, n: int | None, id_cols: list[str], sink_path: str, checkpoint_location: str,
-                seed: int | None = None) -> StreamingQuery:
-    """STM-3: the first ``n`` rows of every micro-batch by ``id_cols``, or of its seeded shuffle.
-
-    The micro-batch plays the part of the lazy reader's shuffle buffer.
-    """
-    def take(batch: DataFrame) -> DataFrame:
-        return cap_prefix(batch, n, list(id_cols)) if seed is None else shuffle_take(batch, n, list(id_cols), seed)
-
-    return per_batch_stream(stream, take, sink_path, checkpoint_location)
-
-
 def per_batch_stream(stream: DataFrame, step: Callable[[DataFrame], DataFrame], sink_path: str,
                      checkpoint_location: str) -> StreamingQuery:
     """UDF-2: any DataFrame step as a hook on every micro-batch, its rows under ``sink_path/epoch=<n>``.

@@ -1,7 +1,15 @@
-"""Structured Streaming: file source -> cleanse + dedup -> sink; per-batch packing."""
+"""Structured Streaming: file source -> cleanse + dedup -> sink; steps with state over many micro-batches."""
 
 import datetime as dt
+import hashlib
+import os
+import shutil
 
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+from corpusmill.operators.trainset import pack_blocks
+from corpusmill.streaming import stateful as SF
 from corpusmill.streaming import streams as ST
 
 
@@ -20,28 +28,99 @@ def test_cleanse_stream_dedups(spark, tmp_path):
     assert got == ["hello", "world"]
 
 
-def test_pack_stream(spark, tmp_path):
-    src = tmp_path / "ids"
-    df = spark.createDataFrame([(i, [i] * 3) for i in range(4)], "doc_id long, ids array<int>")
-    df.coalesce(1).write.parquet(str(src))
-    stream = ST.read_stream(spark, str(src), df.schema)
-    q = ST.pack_stream(stream, "ids", "doc_id", 4, str(tmp_path / "blocks"), str(tmp_path / "ck"))
-    q.awaitTermination()
-    blocks = sorted(list(r.input_ids) for r in spark.read.parquet(str(tmp_path / "blocks")).collect())
-    assert blocks == [[0, 0, 0, 1], [1, 1, 2, 2], [2, 3, 3, 3]]
+def files(spark, path, rows, schema, parts):
+    """``rows`` in ``parts`` files whose ages follow the rows; returns a starter of their stream."""
+    size = -(-len(rows) // parts)
+    path.mkdir(exist_ok=True)
+    old = len(list(path.glob("*.parquet")))
+    for k in range(0, len(rows), size):
+        df = spark.createDataFrame(rows[k:k + size], schema).coalesce(1)
+        df.write.parquet(str(path / "one"))
+        name = path / f"f{old + k // size:03}.parquet"
+        next((path / "one").glob("part-*.parquet")).rename(name)
+        shutil.rmtree(path / "one")
+        os.utime(name, (1_600_000_000 + old + k // size,) * 2)
+    return lambda: ST.read_stream(spark, str(path), df.schema, max_files_per_trigger=1, glob="f*.parquet")
 
 
-def test_batches_that_run_again_leave_their_rows_once(spark, tmp_path):
-    src, out = tmp_path / "src", str(tmp_path / "out")
-    df = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "doc_id long, text string")
-    df.coalesce(1).write.parquet(str(src / "a"))
-    stream = ST.read_stream(spark, str(src / "*"), df.schema)
-    for run in ("first", "again"):      # a lost checkpoint makes epoch 0 run twice
-        ST.take_stream(stream, 3, ["doc_id"], out, str(tmp_path / run)).awaitTermination()
-    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [0, 1, 2]
-    ST.take_stream(stream, 3, ["doc_id"], str(tmp_path / "mixed"), str(tmp_path / "m"), seed=5).awaitTermination()
-    mixed = sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "mixed")).collect())
-    assert len(mixed) == 3 and mixed != [0, 1, 2]
+def buffered(n_rows, n, seed, size):
+    """A shuffle buffer as a loop: the numbers in the order in which they come out."""
+    md5 = lambda x: hashlib.md5(f"{seed}:{x}".encode()).hexdigest()
+    held, out = {}, []
+    for no in range(n_rows):
+        at = no if no < size else int(md5(no)[:8], 16) % size
+        if at in held:
+            out.append(held[at])
+        held[at] = no
+    out += sorted(held.values(), key=lambda no: (md5(f"end:{no}"), no))
+    return out[:n]
+
+
+SHUFFLED = "take_no long, doc_id long, text string"
+
+
+def test_shuffle_and_take_over_many_micro_batches(spark, tmp_path):
+    rows = [(i, f"t{i}") for i in range(200)]
+    for n, size in ((50, 30), (None, 30), (500, 64), (190, 30), (20, 1000)):
+        base = tmp_path / f"{n}-{size}"
+        start = files(spark, tmp_path / f"src{n}{size}", rows, "doc_id long, text string", 5)
+        SF.shuffle_take_stream(start(), n, ["doc_id"], f"{base}/out", f"{base}/ck", 7, size)
+        got = sorted(tuple(r) for r in SF.read_sink(spark, f"{base}/out", SHUFFLED).collect())
+        want = buffered(200, n if n else 200, 7, size)
+        assert [r[1] for r in got] == want and [r[0] for r in got] == list(range(len(want)))
+        assert all(r[2] == f"t{r[1]}" for r in got)
+
+
+def test_a_shuffle_goes_on_after_a_restart_and_more_files(spark, tmp_path):
+    rows = [(i, f"t{i}") for i in range(160)]
+    src, out, ck = tmp_path / "src", f"{tmp_path}/out", f"{tmp_path}/ck"
+    for part in (rows[:90], rows[90:]):
+        SF.shuffle_take_stream(files(spark, src, part, "doc_id long, text string", 3)(), 120, ["doc_id"], out, ck, 3, 20)
+        seen = part[-1][0] + 1
+        got = sorted(tuple(r) for r in SF.read_sink(spark, out, SHUFFLED).collect())
+        assert [r[1] for r in got] == buffered(seen, 120, 3, 20)
+
+
+def test_an_epoch_that_fails_and_runs_again_leaves_its_rows_once(spark, tmp_path):
+    start = files(spark, tmp_path / "src", [(i, "x") for i in range(40)], "doc_id long, text string", 4)
+    out, ck, runs = f"{tmp_path}/out", f"{tmp_path}/ck", []
+
+    def step(batch, held, counts):
+        runs.append(counts.get("seen", 0))
+        n = batch.count()
+        if len(runs) == 3:
+            batch.write.parquet(f"{out}/epoch=2")       # half done, then lost
+            raise RuntimeError("executor lost")
+        return batch.withColumn("seen", F.lit(counts.get("seen", 0))), batch, {"seen": counts.get("seen", 0) + n}
+
+    for _ in range(2):
+        try:
+            SF.drain(start(), step, lambda held, counts: None, out, ck)
+        except StreamingQueryException:
+            pass
+    got = spark.read.parquet(out)
+    assert runs == [0, 10, 20, 20, 30]
+    assert sorted((r.doc_id, r.seen) for r in got.collect()) == [(i, i // 10 * 10) for i in range(40)]
+
+
+def test_packing_does_not_depend_on_file_borders(spark, tmp_path):
+    rows = [(i, list(range(i, i + i % 4))) for i in range(50)]
+    schema = "doc_id long, ids array<long>"
+    want = sorted((r.batch, r.block, list(r.input_ids))
+                  for r in pack_blocks(spark.createDataFrame(rows, schema), 4, "doc_id", "ids", 8).collect())
+    for parts in (1, 4, 7, 50):
+        start = files(spark, tmp_path / f"src{parts}", rows, schema, parts)
+        SF.pack_stream(start(), "ids", "doc_id", 4, f"{tmp_path}/o{parts}", f"{tmp_path}/c{parts}", 8)
+        got = SF.read_sink(spark, f"{tmp_path}/o{parts}", "batch long, block long, input_ids array<long>")
+        assert sorted((r.batch, r.block, list(r.input_ids)) for r in got.collect()) == want
+
+
+def test_interleaved_streams_take_turns(spark, tmp_path):
+    sizes = {"a": (23, 2), "b": (9, 4), "c": (15, 1)}
+    starts = {k: files(spark, tmp_path / k, [(i, k) for i in range(n)], "doc_id long, text string", p) for k, (n, p) in sizes.items()}
+    SF.interleave_streams([s() for s in starts.values()], ["doc_id"], f"{tmp_path}/o", f"{tmp_path}/c")
+    got = sorted(tuple(r) for r in SF.read_sink(spark, f"{tmp_path}/o", "pos long, doc_id long, text string").collect())
+    assert got == [(3 * j + i, j, k) for j in range(9) for i, k in enumerate("abc")]
 
 
 def test_union_of_streams_and_a_hook(spark, tmp_path):
