@@ -1,5 +1,6 @@
 """Vocabulary work (VOC-*): corpus lines, special tokens, char / word vocabularies,
-merge, extension and encoding.
+merge, extension and encoding by whole words (subword vocabularies are learnt in
+``bpe_trainer`` and ``unigram_trainer`` and applied in ``encode``).
 
 Vocabularies are tables ``(token, id[, score])``.  Counting is a partial
 aggregate; ranking a vocabulary uses ``with_position`` (no single-partition
@@ -127,77 +128,6 @@ def encode(tokens: DataFrame, vocab: DataFrame, unk_id: int, doc_col="doc_id",
         F.transform(F.array_sort(F.collect_list(F.struct("tok_pos", "id"))), lambda x: x["id"]).alias("ids"))
 
 
-def _merge_pairs(symbols: F.Column, pairs: list[tuple[str, str]]) -> F.Column:
-    """Replace neighbours that form one of ``pairs`` (no symbol occurs in two of them), left to right, by their joint."""
-    known = F.array(*[F.struct(F.lit(left).alias("l"), F.lit(right).alias("r")) for left, right in pairs])
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        hit = (F.size(acc) > 0) & F.array_contains(known, F.struct(F.coalesce(last, F.lit("")).alias("l"), x.alias("r")))
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, x)))) \
-                .otherwise(F.concat(acc, F.array(x)))
-
-    start = F.slice(symbols, 1, 1)
-    return F.aggregate(F.slice(symbols, F.lit(2), F.greatest(F.size(symbols) - 1, F.lit(0))), start, step)
-
-
-def independent_pairs(ranked: list[tuple[str, str, int]], wanted: int) -> list[tuple[str, str, int]]:
-    """The longest head of a ranked pair list whose merges, done at once, equal merging one by one.
-
-    ``ranked`` is ordered by (count descending, pair).  Merging (a, b) changes only
-    pairs that hold a or b, and a pair that arises from it is at most as frequent as
-    one that holds a or b now.  So pairs without a common symbol keep their turn
-    while they are more frequent than the first pair that shares a symbol with an
-    earlier one; equal counts would leave the order to the new pair's spelling.
-    """
-    chosen, symbols = [], set()
-    for left, right, count in ranked:
-        if len(chosen) == wanted:
-            return chosen
-        if {left, right} & symbols:
-            limit = count
-            break
-        chosen.append((left, right, count))
-        symbols |= {left, right}
-    else:
-        limit = ranked[-1][2] if ranked else 0
-    return chosen[:1] + [p for p in chosen[1:] if p[2] > limit]
-
-
-def bpe_merges(df: DataFrame, text_col: str, num_merges: int, head: int = 200) -> DataFrame:
-    """VOC-3 (bpe): learn ``num_merges`` merges over the distinct-word table.
-
-    Words are the lower-cased word tokens, split into characters.  Each round
-    is one aggregate over the distinct words (pair frequency = sum of word
-    frequency x occurrences of the pair); of its ``head`` best pairs (highest
-    count, then smallest pair) those are merged together whose joint effect equals
-    merging one by one (``independent_pairs``), and the word table is written
-    anew, the one before it deleted.  Only the head of pairs reaches the driver.
-    Result ``(rank, left, right, freq)``.
-    """
-    from ..session import materialize, release
-
-    wt = word_counts(df, text_col).select(F.col("n").alias("freq"), chars(F.col("token")).alias("sym"))
-    wt = materialize(wt.where(F.size("sym") > 1), "bpe")
-    merges: list[tuple[str, str, int]] = []
-    while len(merges) < num_merges:
-        pairs = wt.select("freq", F.explode(F.arrays_zip(F.slice("sym", 1, F.size("sym") - 1).alias("l"),
-                                                         F.slice("sym", 2, F.size("sym") - 1).alias("r")))
-                          .alias("p"))
-        counts = pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("c"))
-        ranked = [(r["l"], r["r"], int(r["c"])) for r in counts.orderBy(F.col("c").desc(), "l", "r").limit(head).collect()]
-        if not ranked:
-            break
-        batch = independent_pairs(ranked, num_merges - len(merges))
-        merges.extend(batch)
-        merged = wt.withColumn("sym", _merge_pairs(F.col("sym"), [p[:2] for p in batch])).where(F.size("sym") > 1)
-        before, wt = wt, materialize(merged, "bpe")
-        release(before)
-    release(wt)
-    return df.sparkSession.createDataFrame([(i, *m) for i, m in enumerate(merges)],
-                                           "rank int, left string, right string, freq long")
-
-
 def encode_texts(df: DataFrame, text_col: str, key_cols: list[str], vocab: DataFrame, unk_id: int,
                  vocab_rows: int | None = None) -> DataFrame:
     """VOC-6 from raw texts: rows are hash-partitioned by their key first, so the
@@ -213,101 +143,3 @@ def encode_texts(df: DataFrame, text_col: str, key_cols: list[str], vocab: DataF
     known = F.when(F.col("token").isNotNull(), F.struct("tok_pos", F.coalesce("_id", F.lit(unk_id)).alias("id")))
     return ided.groupBy(*key_cols).agg(
         F.transform(F.array_sort(F.collect_list(known)), lambda x: x["id"]).alias("ids"))
-
-
-def _viterbi(word: str, logp: dict, max_len: int):
-    """Best segmentation of ``word`` under piece log-probabilities (None if impossible)."""
-    n = len(word)
-    best = [float("-inf")] * (n + 1)
-    back = [0] * (n + 1)
-    best[0] = 0.0
-    for end in range(1, n + 1):
-        for start in range(max(0, end - max_len), end):
-            lp = logp.get(word[start:end])
-            if lp is not None and best[start] + lp > best[end]:
-                best[end] = best[start] + lp
-                back[end] = start
-    if best[n] == float("-inf"):
-        return None
-    pieces, end = [], n
-    while end > 0:
-        pieces.append(word[back[end]:end])
-        end = back[end]
-    return pieces[::-1]
-
-
-def seed_pieces(counts: DataFrame, max_piece_len: int = 16) -> DataFrame:
-    """(piece, n): every piece of up to ``max_piece_len`` characters with its count over all words ``(token, n)``."""
-    subs = counts.select("n", F.flatten(F.transform(
-        F.sequence(F.lit(0), F.length("token") - 1),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_piece_len), F.length("token") - i)),
-                              lambda ln: F.substring(F.col("token"), i + 1, ln)))).alias("subs"))
-    return explode_items(subs, ["n"], F.col("subs"), "piece").groupBy("piece").agg(F.sum("n").alias("n"))
-
-
-def unigram_vocab(df: DataFrame, text_col: str, vocab_size: int, seed_size: int = 1_000_000, max_piece_len: int = 16,
-                  em_rounds: int = 2, shrink: float = 0.75, character_coverage: float = 1.0) -> DataFrame:
-    """VOC-3 (unigram): Viterbi-EM over the distinct-word table with pruning.
-
-    The defaults (a million seed pieces of up to 16 characters, two rounds between
-    prunings to three quarters) are those of the trainer that the reference
-    calls.  Seeds are every character (within ``character_coverage``) and the
-    pieces with the largest count x length.  Each round ships the piece table,
-    bounded by ``seed_size`` plus the alphabet, to the tasks, segments every
-    distinct word inside ``mapInPandas``, and sums piece counts x word frequency
-    with a partial aggregate; pruning keeps the most used pieces in Spark (a
-    bounded top-k), characters always.  The word table is written once.
-
-    Result ``(piece, score, id)`` by descending score.  Raises when the alphabet
-    alone is larger than ``vocab_size``: characters are never pruned.  A Spark
-    re-expression of the EM idea, not a byte-identical model file.
-    """
-    import math
-
-    import pandas as pd
-
-    from ..session import materialize, release
-
-    words_table = materialize(word_counts(df, text_col), "words")
-    alphabet = char_vocab(df.select(F.lower(F.col(text_col)).alias("t")), "t", character_coverage).select("token")
-    seeds = seed_pieces(words_table, max_piece_len)
-    singles = seeds.where(F.length("piece") == 1).join(alphabet, F.col("piece") == F.col("token"), "left_semi")
-    single = dict(singles.collect())    # bounded by the Unicode code space
-    if len(single) > vocab_size:
-        raise ValueError(f"{len(single)} characters do not fit a vocabulary of {vocab_size}; lower character_coverage")
-    top = (seeds.where(F.length("piece") > 1).orderBy((F.col("n") * F.length("piece")).desc(), F.col("piece"))
-           .limit(max(seed_size - len(single), 0)))
-    counts = {**single, **dict(top.collect())}
-    spark = df.sparkSession
-    rounds_left = em_rounds
-    while True:
-        total = float(sum(counts.values()))
-        shared = spark.sparkContext.broadcast({p: math.log(max(v, 1) / total) for p, v in counts.items()})
-
-        def segment(batches, shared=shared):
-            table = shared.value
-            for b in batches:
-                pieces, n = [], []
-                for word, count in zip(b["token"], b["n"]):
-                    got = _viterbi(word, table, max_piece_len) or ()
-                    pieces.extend(got)
-                    n.extend([count] * len(got))
-                yield pd.DataFrame({"piece": pieces, "n": pd.Series(n, dtype="int64")})
-
-        used = words_table.mapInPandas(segment, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-        rounds_left -= 1
-        long = used.where(F.length("piece") > 1).orderBy(F.col("n").desc(), "piece")
-        if rounds_left <= 0:    # prune, but not below the size asked for
-            rounds_left = em_rounds
-            long = long.limit(max(vocab_size, int(len(counts) * shrink)) - len(single))
-        used_single = dict(used.where(F.length("piece") == 1).collect())
-        kept = dict(long.collect())     # no more pieces than were shipped
-        shared.unpersist()
-        shrunk = len(kept) + len(single) <= vocab_size and rounds_left == em_rounds
-        counts = {**{c: used_single.get(c, 0) for c in single}, **kept}
-        if shrunk:
-            break
-    release(words_table)
-    total = float(sum(max(v, 1) for v in counts.values()))
-    rows = sorted(((p, round(math.log(max(v, 1) / total), 6)) for p, v in counts.items()), key=lambda x: (-x[1], x[0]))
-    return spark.createDataFrame([(p, s, i) for i, (p, s) in enumerate(rows)], "piece string, score double, id long")

@@ -6,8 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import subword
 from ..operators import vocab as V
+from ..operators import unigram_trainer as UT
 from ..session import checkpoint_dir
+from ..sources import jsonarray as JA
+from ..sources import lazy as LZ
 from ..sources import readers as RD
 from ..sources import writers as WR
 from ..sources.tables import table
@@ -30,13 +34,13 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/io-{name}-{uuid.uuid4().hex}"
 
 
-@register("io_json_array", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@register("io_json_array", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, text, lang, source, n_chars FROM documents")
 def io_json_array(spark, d):
-    """SRC-1: one array of objects in one file (the 25 nations)."""
-    path = _folder(spark, "array")
-    rows = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.text(path)
-    return RD.read_json_array(spark, path, rows.schema)
+    """SRC-1 / SNK-1: all documents as one array in one file, written in order and read by many tasks."""
+    path = f"{_folder(spark, 'array')}.json"
+    docs = table(spark, d, "documents")
+    JA.write_array(docs, path, ["doc_id"])
+    return RD.read_json_array(spark, path, docs.schema, "pos").select("pos", "doc_id", "text", "lang", "source", "n_chars")
 
 
 @register("io_jsonl", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -110,13 +114,14 @@ def io_metrics(spark, d):
     return RD.read_jsonl(spark, path, m.schema)
 
 
-@register("io_token_list", "SELECT n_nationkey AS pos, n_name AS token FROM nation")
+@register("io_token_list", f"WITH t AS (SELECT DISTINCT unnest({S.words('text')}) AS token FROM documents) "
+          "SELECT row_number() OVER (ORDER BY token) - 1 AS pos, token FROM t")
 def io_token_list(spark, d):
-    """SRC-11: a JSON array of strings, in order."""
-    path = _folder(spark, "tokens")
-    rows = table(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("a"))
-    rows.select(F.to_json(F.col("a.n_name")).alias("value")).coalesce(1).write.text(path)
-    return RD.read_token_list(spark, f"{path}/*.txt").select(F.col("pos").cast("int").alias("pos"), "token")
+    """SRC-11: all distinct words as one JSON array of strings, in order."""
+    path = f"{_folder(spark, 'tokens')}.json"
+    tokens = V.word_counts(table(spark, d, "documents"), "text").select("token")
+    JA.write_array(tokens, path, ["token"], strings=True)
+    return RD.read_token_list(spark, path)
 
 
 @register("io_word_list", "SELECT DISTINCT source AS word FROM documents")
@@ -129,12 +134,27 @@ def io_word_list(spark, d):
     return RD.read_word_list(spark, path)
 
 
-@register("seed_pieces",
-          f"WITH wc AS (SELECT token, count(*) AS n FROM (SELECT unnest({S.words('text')}) AS token FROM documents) GROUP BY 1),\n"
-          "p AS (SELECT n, token, unnest(range(1, len(token) + 1)) AS i FROM wc),\n"
-          "q AS (SELECT n, substr(token, i, l) AS piece FROM p, range(1, 9) t(l) WHERE i + l - 1 <= len(token))\n"
-          "SELECT piece, CAST(sum(n) AS BIGINT) AS n FROM q GROUP BY 1 ORDER BY sum(n) * len(piece) DESC, piece LIMIT 1000")
+_MARKED = ("CASE WHEN length(text) > 0 THEN '▁' || translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), "
+           "'▁▁▁▁▁▁') ELSE '' END")
+
+
+@register("seed_pieces", f"""
+WITH u AS (SELECT token, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all({_MARKED}, '\\p{{Nd}}|▁*[^▁\\p{{Nd}}]+|▁+')) AS token FROM documents) GROUP BY 1),
+p AS (SELECT n, token, unnest(range(1, len(token))) AS i FROM u),
+q AS (SELECT n, substr(token, i, l) AS piece, substr(token, i + l, 1) AS follows FROM p, range(2, 17) t(l) WHERE i + l - 1 <= len(token)),
+f AS (SELECT piece, follows, sum(n) AS n FROM q GROUP BY 1, 2),
+g AS (SELECT piece, CAST(sum(n) AS BIGINT) AS n, coalesce(max(n) FILTER (WHERE follows <> ''), 0) AS heaviest FROM f GROUP BY 1)
+SELECT piece, n FROM g WHERE n >= 2 AND (len(piece) = 2 OR len(piece) = 16 OR n > heaviest)""")
 def seed_pieces_q(spark, d):
-    """VOC-3 (unigram): the 1000 seed pieces of up to eight characters with the largest count x length."""
-    seeds = V.seed_pieces(V.word_counts(table(spark, d, "documents"), "text"), 8)
-    return seeds.orderBy((F.col("n") * F.length("piece")).desc(), "piece").limit(1000)
+    """VOC-3 (unigram): every candidate piece of up to 16 characters that occurs twice or more, with its count."""
+    return UT.seed_pieces(subword.unit_counts(table(spark, d, "documents"), "text"))
+
+
+@register("lazy_read", "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars > 500 ORDER BY doc_id LIMIT 40")
+def lazy_read(spark, d):
+    """SRC-10: the first 40 long English documents of a dataset of 24 files, read in steps until they are found."""
+    path = _folder(spark, "files")
+    table(spark, d, "documents").repartitionByRange(24, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    keep = (F.col("lang") == "en") & (F.col("n_chars") > 500)
+    return LZ.first_rows(spark, path, 40, keep).rows.select("doc_id", "lang", "n_chars")

@@ -17,7 +17,8 @@ from ..operators.splits import split_dataset
 from ..operators.trainset import build_texts, text_column
 from ..sources.tables import table
 from . import sqltext as S
-from .cleanse import cleanse, cleanse_columns, keep_any_field, normalize_fields
+from ..session import materialize, release
+from .cleanse import RowAccount, cleanse, cleanse_columns, keep_any_field, normalize_fields
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -223,6 +224,21 @@ def cleanse_full(spark, d):
                    do_deduplicate=True, do_rm_duplicated_by_minhash=True)
 
 
+@register("cleanse_account", _CLEANSE_FULL_SQL.replace("SELECT * FROM d3 WHERE text IS NOT NULL", """
+SELECT 0 AS stage_no, 'read' AS stage, count(*) AS n_rows FROM d0 UNION ALL
+SELECT 1, 'records', count(*) FROM d1 UNION ALL
+SELECT 2, 'duplicates of text', count(*) FROM d2 UNION ALL
+SELECT 3, 'rules', count(text) FROM d3 UNION ALL
+SELECT 4, 'saved', count(text) FROM d3"""))
+def cleanse_account(spark, d):
+    """AGG-22: the rows that leave each stage of the job, observed while it runs and writes its result."""
+    account = RowAccount()
+    saved = cleanse(table(spark, d, "documents"), "doc_id", text_fields=["text"], do_deduplicate=True,
+                    do_rm_duplicated_by_minhash=True, account=account)
+    release(materialize(saved, "cleansed"))
+    return spark.createDataFrame(account.rows(), "stage_no int, stage string, n_rows long")
+
+
 @register("cleanse_all_fields",
           "SELECT arg_min(event_id, event_id) AS event_id, ts, user_id, event_type, value, props "
           "FROM events GROUP BY ts, user_id, event_type, value, props")

@@ -11,11 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.position import with_position
+from .jsonarray import array_items
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """SRC-1: a JSON file holding one array of objects (heterogeneous objects merge)."""
-    r = spark.read.option("multiLine", True)
-    return (r.schema(schema) if schema else r).json(path)
+
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+                    pos_col: str | None = None) -> DataFrame:
+    """SRC-1: JSON files that each hold one array of objects of any size (heterogeneous objects merge).
+
+    A file is read by many tasks (``jsonarray``).  Without a schema one more pass
+    infers it.  ``pos_col`` numbers the records in file order.
+    """
+    records = array_items(spark, path)
+    if schema is None:
+        schema = spark.read.json(records.rdd.map(lambda r: r["item"])).schema
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if pos_col:
+        records = with_position(records, ["file", "block", "number"], pos_col=pos_col)
+    parsed = records.withColumn("_record", F.from_json("item", fields))
+    return parsed.select(*([pos_col] if pos_col else []), *[F.col("_record")[n].alias(n) for n in fields.fieldNames()])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -64,10 +78,10 @@ def select_subsets(df: DataFrame, subsets: list[str] | str | None, subset_col: s
 
 
 def read_token_list(spark: SparkSession, path: str, col: str = "token") -> DataFrame:
-    """SRC-11: a JSON array of strings -> (pos, token) rows, file order kept."""
-    raw = spark.read.text(path, wholetext=True)
-    arr = F.from_json(F.col("value"), T.ArrayType(T.StringType()))
-    return raw.select(F.posexplode(arr).alias("pos", col))
+    """SRC-11: JSON arrays of strings -> (pos, token) rows; ``pos`` counts on from file to file."""
+    items = with_position(array_items(spark, path), ["file", "block", "number"], pos_col="pos")
+    value = F.from_json(F.concat(F.lit("["), "item", F.lit("]")), T.ArrayType(T.StringType()))
+    return items.select("pos", F.element_at(value, 1).alias(col))
 
 
 def read_word_list(spark: SparkSession, path: str, col: str = "word") -> DataFrame:

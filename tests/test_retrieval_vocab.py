@@ -115,85 +115,3 @@ def test_index_save_load(spark, tmp_path):
     back = R.load_index(spark, str(tmp_path / "idx"))
     assert back.n_docs == idx.n_docs and back.avgdl == idx.avgdl
     assert sorted(back.terms.collect()) == sorted(idx.terms.collect())
-
-
-def _brute_bpe(words, n):
-    import collections
-    vocab = collections.Counter(tuple(w) for w in words)
-    out = []
-    for _ in range(n):
-        pc = collections.Counter()
-        for sym, f in vocab.items():
-            for a, b in zip(sym, sym[1:]):
-                pc[(a, b)] += f
-        if not pc:
-            break
-        (a, b), c = min(pc.items(), key=lambda kv: (-kv[1], kv[0]))
-        out.append((a, b, c))
-        nv = collections.Counter()
-        for sym, f in vocab.items():
-            res = []
-            for x in sym:
-                if res and res[-1] == a and x == b:
-                    res[-1] = a + b
-                else:
-                    res.append(x)
-            if len(res) > 1:
-                nv[tuple(res)] += f
-        vocab = nv
-    return out
-
-
-def test_bpe_matches_brute_force(spark):
-    import re
-    texts = ["low lower lowest newer newest wider", "the lll lllll llama low low", "wide wider widest newest"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = [(r.left, r.right, r.freq) for r in V.bpe_merges(df, "text", 12).orderBy("rank").collect()]
-    words = [w for t in texts for w in re.findall(r"\w+", t.lower())]
-    assert got == _brute_bpe(words, 12)
-    for head in (1, 3):     # however few pairs a round looks at
-        assert [(r.left, r.right, r.freq) for r in V.bpe_merges(df, "text", 9, head).collect()] == got[:9]
-
-
-def test_merging_several_pairs_at_once_equals_one_by_one(spark):
-    import random
-    rnd = random.Random(2)
-    texts = [" ".join("".join(rnd.choice("abcdefgh"[:rnd.choice([3, 8])]) for _ in range(rnd.randrange(1, 9)))
-                      for _ in range(120)) for _ in range(3)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = [(r.left, r.right, r.freq) for r in V.bpe_merges(df, "text", 25).orderBy("rank").collect()]
-    assert got == _brute_bpe([w for t in texts for w in t.split()], 25)
-    assert V.independent_pairs([("a", "b", 9), ("c", "d", 8), ("b", "e", 7), ("f", "g", 7)], 9) == [("a", "b", 9), ("c", "d", 8)]
-    assert V.independent_pairs([("a", "b", 9), ("c", "d", 8), ("a", "e", 8)], 9) == [("a", "b", 9)]
-
-
-def test_unigram_vocab(spark):
-    texts = ["lower lowest newer newest wider widest", "low low lower new newer", "the the the then there"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    out = V.unigram_vocab(df, "text", 30, seed_size=90).collect()
-    pieces = [r.piece for r in out]
-    assert len(pieces) <= 30 and len(set(pieces)) == len(pieces)
-    assert set("lowerndisth") <= set(pieces)                      # every character is kept
-    assert [r.id for r in out] == list(range(len(out)))
-    assert all(out[i].score >= out[i + 1].score for i in range(len(out) - 1))
-    lp = {r.piece: r.score for r in out}
-    assert V._viterbi("newest", lp, 8) is not None                 # every word stays segmentable
-    assert V._viterbi("abc", {"a": -1.0, "bc": -1.0, "b": -2.0, "c": -2.0}, 8) == ["a", "bc"]
-
-
-def test_unigram_trainer_ends_when_the_alphabet_is_too_large(spark):
-    import pytest
-    df = spark.createDataFrame([("abcdefgh abcdefgh",), ("aaaa",)], "text string")
-    with pytest.raises(ValueError):
-        V.unigram_vocab(df, "text", 5)
-    got = [r.piece for r in V.unigram_vocab(df, "text", 5, character_coverage=0.5).collect()]
-    assert "a" in got and len(got) <= 5
-
-
-def test_registered_unigram_takes_large_alphabets(spark, tmp_path):
-    from corpusmill.plans.q_build import unigram_vocab_q
-    signs = [chr(0x4e00 + i) for i in range(400)]
-    df = spark.createDataFrame([(i, c + signs[i - 1]) for i, c in enumerate(signs)], "doc_id long, text string")
-    df.write.parquet(str(tmp_path / "documents.parquet"))
-    pieces = {r.piece for r in unigram_vocab_q(spark, str(tmp_path)).collect()}
-    assert set(signs) <= pieces and len(pieces) > 400

@@ -61,9 +61,9 @@ SHUFFLED = "take_no long, doc_id long, text string"
 
 def test_shuffle_and_take_over_many_micro_batches(spark, tmp_path):
     rows = [(i, f"t{i}") for i in range(200)]
-    for n, size in ((50, 30), (None, 30), (500, 64), (190, 30), (20, 1000)):
+    for n, size in ((50, 30), (190, 1000)):
         base = tmp_path / f"{n}-{size}"
-        start = files(spark, tmp_path / f"src{n}{size}", rows, "doc_id long, text string", 5)
+        start = files(spark, tmp_path / f"src{n}{size}", rows, "doc_id long, text string", 4)
         SF.shuffle_take_stream(start(), n, ["doc_id"], f"{base}/out", f"{base}/ck", 7, size)
         got = sorted(tuple(r) for r in SF.read_sink(spark, f"{base}/out", SHUFFLED).collect())
         want = buffered(200, n if n else 200, 7, size)
@@ -75,7 +75,7 @@ def test_a_shuffle_goes_on_after_a_restart_and_more_files(spark, tmp_path):
     rows = [(i, f"t{i}") for i in range(160)]
     src, out, ck = tmp_path / "src", f"{tmp_path}/out", f"{tmp_path}/ck"
     for part in (rows[:90], rows[90:]):
-        SF.shuffle_take_stream(files(spark, src, part, "doc_id long, text string", 3)(), 120, ["doc_id"], out, ck, 3, 20)
+        SF.shuffle_take_stream(files(spark, src, part, "doc_id long, text string", 2)(), 120, ["doc_id"], out, ck, 3, 20)
         seen = part[-1][0] + 1
         got = sorted(tuple(r) for r in SF.read_sink(spark, out, SHUFFLED).collect())
         assert [r[1] for r in got] == buffered(seen, 120, 3, 20)
@@ -108,7 +108,7 @@ def test_packing_does_not_depend_on_file_borders(spark, tmp_path):
     schema = "doc_id long, ids array<long>"
     want = sorted((r.batch, r.block, list(r.input_ids))
                   for r in pack_blocks(spark.createDataFrame(rows, schema), 4, "doc_id", "ids", 8).collect())
-    for parts in (1, 4, 7, 50):
+    for parts in (1, 5):
         start = files(spark, tmp_path / f"src{parts}", rows, schema, parts)
         SF.pack_stream(start(), "ids", "doc_id", 4, f"{tmp_path}/o{parts}", f"{tmp_path}/c{parts}", 8)
         got = SF.read_sink(spark, f"{tmp_path}/o{parts}", "batch long, block long, input_ids array<long>")
@@ -116,7 +116,7 @@ def test_packing_does_not_depend_on_file_borders(spark, tmp_path):
 
 
 def test_interleaved_streams_take_turns(spark, tmp_path):
-    sizes = {"a": (23, 2), "b": (9, 4), "c": (15, 1)}
+    sizes = {"a": (23, 2), "b": (9, 3), "c": (15, 1)}
     starts = {k: files(spark, tmp_path / k, [(i, k) for i in range(n)], "doc_id long, text string", p) for k, (n, p) in sizes.items()}
     SF.interleave_streams([s() for s in starts.values()], ["doc_id"], f"{tmp_path}/o", f"{tmp_path}/c")
     got = sorted(tuple(r) for r in SF.read_sink(spark, f"{tmp_path}/o", "pos long, doc_id long, text string").collect())
