@@ -41,7 +41,7 @@ from .common import read
 #: Most entries a rank file may have: what is broadcast stays below about 100 MB.
 MAX_VOCAB = 2_000_000
 #: Remembered chunks per generation, and the longest one (in characters) that is remembered.
-MEMO, MEMO_CHARS = 250_000, 48
+MEMO, MEMO_CHARS = 90_000, 48
 #: Characters encoded together, and the longest piece (in bytes) whose tree stands in an array beside others.
 BATCH_CHARS, LANES = 4_000_000, 64
 
