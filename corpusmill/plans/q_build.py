@@ -1,6 +1,6 @@
 """Registered queries: vocabularies, encoding, packing, masking, pair and example building.
 
-Shared vocabulary: the 1000 most frequent words of ``documents`` with ids from 5;
+Shared vocabulary: the 30000 most frequent words of ``documents`` with ids from 5;
 ids 0..4 are <pad>, <unk>, <s>/[CLS], </s>/[SEP], <mask>.
 """
 
@@ -24,7 +24,7 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 PAD, UNK, BOS, EOS, MASK, FIRST = 0, 1, 2, 3, 4, 5
-VOCAB_WORDS = 1000
+VOCAB_WORDS = 30_000
 VOCAB_SIZE = FIRST + VOCAB_WORDS
 
 
@@ -233,19 +233,31 @@ def contrastive_pairs(spark, d):
     return pairs.select("conv_id", "turn", "anchor", "positive", F.lit(0).alias("label"))
 
 
-@register("role_pairs",
-          "WITH " + _turn_pairs_sql() + ",\nn AS (SELECT pr.*, lead(anchor) OVER (ORDER BY conv_id, turn) AS other FROM pr),\n"
+_ROLE_SQL = ("WITH " + _turn_pairs_sql() + ",\nn AS (SELECT pr.*, lead(anchor) OVER (ORDER BY conv_id, turn) AS other FROM pr),\n"
           "k AS (SELECT *, md5('7:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS k FROM n "
           "WHERE other IS NOT NULL)\n"
           "SELECT conv_id, turn, anchor, positive, other AS negative, CAST(conv_id % 3 AS BIGINT) AS label "
-          "FROM k ORDER BY k, conv_id, turn LIMIT 60")
-def role_pairs_q(spark, d):
-    """TRN-9 / PRJ-3: anchor, positive, negative and label columns mapped by name, seeded cap of 60."""
+          "FROM k ORDER BY k, conv_id, turn")
+
+
+def _role_pairs(spark, d, cap: int | None):
     pairs = with_position(TS.next_turn_pairs(table(spark, d, "conversations")), ["conv_id", "turn"], pos_col="p")
     other = pairs.select((F.col("p") - 1).alias("p"), F.col("anchor").alias("other"))
     rows = pairs.join(other, "p").withColumn("kind", F.col("conv_id") % 3)
     return TS.role_pairs(rows, {"anchor": "anchor", "positive": "positive", "negative": "other", "label": "kind"},
-                         60, ["conv_id", "turn"], 7)
+                         cap, ["conv_id", "turn"], 7)
+
+
+@register("role_pairs_all", _ROLE_SQL)
+def role_pairs_all(spark, d):
+    """TRN-9 / PRJ-3: anchor, positive, negative and label columns of every pair."""
+    return _role_pairs(spark, d, None)
+
+
+@register("role_pairs", _ROLE_SQL + " LIMIT 60")
+def role_pairs_q(spark, d):
+    """TRN-9 / PRJ-3: anchor, positive, negative and label columns mapped by name, seeded cap of 60."""
+    return _role_pairs(spark, d, 60)
 
 
 def _enc_sql(col: str, name: str) -> str:
