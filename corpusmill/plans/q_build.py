@@ -333,7 +333,7 @@ def batch_by_label(spark, d):
 
 
 #: Merges that the registered queries learn.  README.md has the figures behind the number; the operator has no limit.
-BPE_MERGES = 30_000
+BPE_MERGES = 2_000
 
 
 @register("bpe_merges")
@@ -374,4 +374,4 @@ def encode_bpe_q(spark, d):
 
 
 #: Pieces of the BPE vocabulary of ``encode_bpe``, which learns it anew.
-ENCODED_BPE = 2_000
+ENCODED_BPE = 1_000
