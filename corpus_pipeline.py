@@ -3,6 +3,14 @@
 Every stage is a function (spark, docs, sf_dir) -> DataFrame; its result is
 written as Parquet and read again as the next stage's docs.  All but the last
 return the columns of ``documents``.
+
+Defined cases, on the way through all stages: a null or empty text is scored as an
+empty one and goes or stays by that score; line dedup and decontamination leave null
+and empty texts as they are; near dedup treats all texts without words as copies of
+each other and keeps one; null texts encode to no ids.  Rows that repeat in id and
+text are cut alike, and near dedup keeps one of them.  Texts are processed whole,
+however long.  Ties go to the smaller id (a null id first in line dedup, last in near dedup).  Columns beyond those of
+``documents`` pass through; an empty table gives an empty result with all columns.
 """
 
 from __future__ import annotations
