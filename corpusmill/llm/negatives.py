@@ -22,8 +22,8 @@ whatever the table's size or the commonness of a label or vector.  Nothing is
 broadcast and nothing passes through the driver but two row counts.  A block
 returns at most k rows an anchor (or window), and a window function per anchor
 picks the final ones.  With many dimensions and vectors that spread evenly the
-threshold falls late and most of a block is scored: results are exact either way,
-``share_scored`` in the tests and README says how much it was.
+threshold falls late and most or all of a block is scored: results are exact either
+way, and README.md says how much it was.
 
 Defined cases: rows with a null id, null label, null vector or a null or
 non-finite component take no part; rows that share an id are one row (the smallest
