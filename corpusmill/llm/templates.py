@@ -11,14 +11,19 @@ tokens occur together.  Steps:
    page of the host.  Tokens with equal vectors form a class.  Vectors are compared
    by the number of pages, the number of occurrences and two keyed sums over the
    pages, which add up in partial aggregates; no task ever holds a host's pages.
-3. **Template.**  Frequent classes (on ``SUPPORT`` of the host's pages, two at least)
-   are template; their tokens are ordered by their mean place.  Classes nest as
-   their tokens' paths do.  Texts belong to the template only where they occur as
-   the host's root class does: on every one of ``TEXT_PAGES`` pages or more.  A
-   nested class of links inside a list whose texts are all links is a *menu*.
-4. **Slots.**  On every page the template's tokens are matched in order.  A class
-   that is out of order on a page, or has not all of its tokens there, is not valid
-   there and its texts stay.  What stands between template tokens is a slot; a slot
+3. **Template.**  Large and frequent classes (of ``LEAST`` tokens, on ``SUPPORT`` of the
+   host's pages, two at least; the root class, that of the page itself, in any size) are
+   template; the tokens of a class are ordered by their mean place.  Texts belong to the
+   template only where they occur as the host's root class does: on every one of
+   ``TEXT_PAGES`` pages or more.  An element of a class whose texts are all links is a
+   *menu*.
+4. **Nesting.**  On every page the occurrences of the classes are matched as brackets:
+   an occurrence begins with the first token of its class, goes on in their order and
+   lies as a whole between two tokens of the class around it.  A class that is out of
+   order on a page, or that crosses another one on more pages (as many: one that began
+   earlier), is not valid there and its texts stay.
+5. **Slots.**  What stands between two tokens of an occurrence is a slot, named by the
+   classes open there from the outermost in and how many tokens of each have gone by; a slot
    lies in the elements that are open around it.  Slots in menus, headers, footers,
    sidebars, notices, adverts, forms, scripts, styles and comments (by element, role,
    or words of class and id) and template texts go; if the page has an article or
@@ -56,9 +61,9 @@ from pyspark.sql import functions as F
 from ..session import release
 from .common import cut, read
 
-#: Share of a host's pages that a template token is on; pages from which on constant texts are template;
-#: share of a menu's words that are links; (host, token) sums held in a task before they are passed on.
-SUPPORT, TEXT_PAGES, LINKS, HELD = 0.5, 10, 0.95, 50_000
+#: Share of a host's pages that a template class is on; tokens that it has at least; pages from which on constant
+#: texts are template; share of a menu's words that are links; (host, token) sums held in a task before they are passed on.
+SUPPORT, LEAST, TEXT_PAGES, LINKS, HELD = 0.5, 3, 10, 0.95, 50_000
 
 # Elements without content, elements inside a line, and elements that hold no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -271,9 +276,10 @@ def token_sums(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def templates(sums: DataFrame) -> DataFrame:
-    """(host, tokens): the template of every host, in the order of its tokens' mean places.
+    """(host, tokens): the tokens of every host's large and frequent classes, by their mean places.
 
-    A token has its class (a number of the host), whether it is a text, and whether it opens a menu.
+    A token has its class (a number of the host), on how many pages that is, whether it is the root class, whether
+    the token is a text, and whether it opens a menu.
     """
     vector = ["pages", "times", "sum1", "sum2"]
     root = (sums.where((F.col("token") == ROOT) & ~F.col("is_text"))
@@ -286,42 +292,76 @@ def templates(sums: DataFrame) -> DataFrame:
             .where(F.when(F.col("is_text"), F.col("as_root") & (F.col("pages") >= TEXT_PAGES))
                    .otherwise(F.col("pages") >= F.col("root_pages") * SUPPORT)))
     token = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "is_text",
-                     F.xxhash64(*vector).alias("kind"), "as_root",
+                     F.xxhash64(*vector).alias("kind"), "pages", "as_root",
                      ((F.col("words") > 0) & (F.col("linked") >= F.col("words") * LINKS)
                       & (F.col("times") == F.col("pages"))).alias("menu"))
-    return kept.groupBy("host").agg(F.sort_array(F.collect_list(token)).alias("tokens")).withColumnRenamed("host", "of_host")
+    classes = kept.groupBy("host", "as_root", *vector).agg(F.collect_list(token).alias("tokens"))
+    classes = classes.where(F.col("as_root") | (F.size("tokens") >= LEAST))
+    return classes.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("tokens")) \
+        .withColumnRenamed("host", "of_host")
 
 
 class Template:
     """A host's template, ready to be matched against its pages."""
 
     def __init__(self, tokens):
-        self.order: dict[int, list[int]] = {}
-        self.kind: dict[int, int] = {}
+        self.size: dict[int, int] = {}
+        self.pages: dict[int, int] = {}
+        self.step: dict[int, tuple[int, int]] = {}      # token -> its class and its place in there
         self.texts = {t["token"] for t in tokens if t["is_text"]}
         self.menus = {t["token"] for t in tokens if t["menu"] and not t["is_text"]}
         for t in tokens:
-            self.kind[t["token"]] = t["kind"]
-            if t["as_root"]:
-                self.order.setdefault(t["kind"], []).append(t["token"])
-
-    def valid(self, page: list[Piece]) -> set[int]:
-        """The classes (of those that stand on every page alike) that are whole and in order on this page."""
-        good = set()
-        for kind, order in self.order.items():
-            inside = set(order)
-            if [p.key for p in page if p.key in inside] == order:
-                good.add(kind)
-        return good
+            at = self.size.setdefault(t["kind"], 0)
+            self.step[t["token"]] = t["kind"], at
+            self.size[t["kind"]] = at + 1
+            self.pages[t["kind"]] = t["pages"]
+
+    def nest(self, page: list[Piece]) -> tuple[set[int], list[tuple]]:
+        """(the classes that are in order and nested on this page, the slot that every piece stands in or ends).
+
+        One pass with a stack of the open occurrences [class, tokens gone by].
+        """
+        met: set[int] = set()
+        bad: set[int] = set()
+        stack: list[list[int]] = []
+        slot: tuple = ()
+        places = []
+        for p in page:
+            places.append(slot)
+            kind, at = self.step.get(p.key, (None, 0))
+            if kind is None or kind in bad:
+                continue
+            met.add(kind)
+            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == kind), -1)
+            inner = stack[depth + 1:] if depth >= 0 else []
+            if (stack[depth][1] if depth >= 0 else 0) != at or any(self.pages[k] > self.pages[kind] for k, _ in inner):
+                bad.add(kind)       # out of order, or it would cut a class of more pages
+                stack = [s for s in stack if s[0] != kind]
+            else:
+                if depth < 0:
+                    stack.append([kind, 0])
+                else:
+                    bad.update(k for k, _ in inner)
+                    del stack[depth + 1:]
+                stack[-1][1] += 1
+                if stack[-1][1] == self.size[kind]:
+                    stack.pop()
+            slot = tuple([(k, n) for k, n in stack])
+        bad.update(k for k, _ in stack)
+        if bad:
+            places = [tuple([s for s in x if s[0] not in bad]) for x in places]
+        return met - bad, places
 
 
 NOTHING = Template([])
 
 
-def slots(html: str, template: Template = NOTHING) -> list[tuple[int, int, str]]:
-    """(slot, block, text) of the page's main text; a slot is named by the template token before it."""
+def slots(html: str, template: Template = NOTHING) -> list[tuple[tuple, int, str]]:
+    """(slot, block, text) of the page's main text; a slot is ((class, tokens of it gone by), ...) from the outermost class in."""
     page = pieces(html)
-    good = template.valid(page)
+    good, places = template.nest(page)
+    texts = {k for k in template.texts if template.step[k][0] in good}
+    menus = {k for k in template.menus if template.step[k][0] in good}
     holders = [o for p in page if p.text is not None and p.key for o in p.around if o.name in ("article", "main")]
 
     def away(around: tuple, hints: bool) -> bool:
@@ -331,17 +371,15 @@ def slots(html: str, template: Template = NOTHING) -> list[tuple[int, int, str]]
     tops = [p.around for p in page if p.key and p.text is not None and any(o.name in ("article", "main") for o in p.around)]
     hints = not tops or any(not away(a, True) for a in tops)
     inside = any(not away(a, hints) for a in tops) if holders else False
-    out, slot = [], 0
-    for p in page:
+    out = []
+    for p, slot in zip(page, places):
         if p.text is None:
-            if p.key in template.kind:
-                slot = p.key
             continue
         if away(p.around, hints) or inside and not any(o.name in ("article", "main") for o in p.around):
             continue
-        if p.key in template.texts and template.kind[p.key] in good:
+        if p.key in texts:
             continue
-        if not inside and any(o.key in template.menus for o in p.around if o.name not in ("html", "body")):
+        if not inside and any(o.key in menus for o in p.around if o.name not in ("html", "body")):
             continue
         out.append((slot, p.block, p.text))
     return out
@@ -380,7 +418,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         known.clear()
                     known[name] = Template(tokens.as_py()) if tokens.is_valid else NOTHING
                 texts.append(main_text(html.as_py(), known[name]))
-                sizes.append(len(known[name].kind))
+                sizes.append(len(known[name].step))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(texts, pa.string()),
                                               pa.array(sizes, pa.int32())], ["id", "url", "host", "text", "n_template"])
 

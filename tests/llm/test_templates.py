@@ -57,6 +57,40 @@ def test_classes_are_tokens_of_equal_vectors(spark):
     assert [t["place"] for t in found] == sorted(t["place"] for t in found)
 
 
+def test_classes_have_a_least_size(spark):
+    """A pair of tags on half of the pages is no class; one of three tokens is."""
+    rows = [(i, "http://h.org", "<body><h1>t</h1>" + "<em>x</em>" * (i % 2) + "<div><u>x</u></div>" * (i % 3 > 0) + "</body>")
+            for i in range(12)]
+    found = T.templates(T.token_sums(pages(spark, rows))).collect()[0]["tokens"]
+    kinds = [t["kind"] for t in found]
+    assert sorted(kinds.count(k) for k in set(kinds)) == [4, 5]
+
+
+def _template(*classes):
+    """Classes (pages, tags in order) of tags that stand in nothing."""
+    key = {name: T._key(0, T.mark(name, "").label) for _, names in classes for name in names}
+    return T.Template([{"kind": no, "pages": n, "token": key[name], "is_text": False, "menu": False}
+                       for no, (n, names) in enumerate(classes) for name in names])
+
+
+def test_nested_classes_and_their_slots():
+    # elements without content, so that every tag has the empty path
+    whole = _template((20, ["hr", "img", "wbr"]), (15, ["area", "col", "embed"]))
+    good, places = whole.nest(T.pieces("<hr><area><col>one<embed><area><col><embed>two<img><wbr>three"))
+    assert good == {0, 1}
+    assert [places[i] for i in (3, 8, 11)] == [((0, 1), (1, 2)), ((0, 1),), ()]
+    assert [x[0] for x in T.slots("<hr><area><col>one<embed>two<img><wbr>", whole)] == [((0, 1), (1, 2)), ((0, 1),)]
+
+
+def test_a_class_out_of_order_or_across_another_is_not_valid():
+    whole = _template((20, ["hr", "img", "wbr"]), (15, ["area", "col", "embed"]))
+    assert whole.nest(T.pieces("<hr><col><area><embed><img><wbr>"))[0] == {0}
+    assert whole.nest(T.pieces("<hr><area><img><col><embed><wbr>"))[0] == {0}
+    assert whole.nest(T.pieces("<area><hr><col><img><wbr><embed>"))[0] == {0}
+    assert whole.nest(T.pieces("<hr><img><area><col><embed>x"))[0] == {1}
+    assert whole.nest(T.pieces("<hr><img>x"))[1][-1] == ()
+
+
 def test_copies_on_one_host_keep_their_text(spark):
     rows = [(i, "http://h.org/a", page(f"<article><p>The same {i % 2}.</p></article>", i)) for i in range(30)]
     rows += [(99, "http://h.org/a", rows[0][2])] * 2
