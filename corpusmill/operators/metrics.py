@@ -74,8 +74,8 @@ def token_accuracy(df: DataFrame, preds: str, labels: str, shift: bool = False,
     z = F.arrays_zip(p.alias("p"), y.alias("y"))
     if ignore_masked:
         z = F.filter(z, lambda e: e["y"] != IGNORE)
-    hits = F.aggregate(z, F.lit(0).cast("bigint"), lambda s, e: s + (e["p"] == e["y"]).cast("bigint"))
-    per_row = df.select(hits.alias("_h"), F.size(z).cast("bigint").alias("_n"))
+    hits = F.aggregate("_z", F.lit(0).cast("bigint"), lambda s, e: s + (e["p"] == e["y"]).cast("bigint"))
+    per_row = df.select(z.alias("_z")).select(hits.alias("_h"), F.size("_z").cast("bigint").alias("_n"))
     return per_row.agg(F.round(F.sum("_h") / F.sum("_n"), digits).alias("accuracy"))
 
 

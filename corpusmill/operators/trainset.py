@@ -8,18 +8,16 @@ so a rerun after executor loss produces the same masks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .position import shuffle_key, with_position
-
+from ..session import materialize, release
+from .position import input_bytes, shuffle_key, with_position
 
-def _digest(seed: int, *parts) -> F.Column:
-    """md5('seed:p1:p2...'), from which ``_draw`` takes up to four numbers."""
-    pieces = [F.lit(str(seed))]
-    for p in parts:
-        pieces += [F.lit(":"), p.cast("string")]
-    return F.md5(F.concat(*pieces))
+#: Written bytes of encoded rows that a packing task is meant to hold.
+PACK_BYTES = 32 << 20
 
 
 def _draw(digest: F.Column, no: int = 0) -> F.Column:
@@ -27,6 +25,14 @@ def _draw(digest: F.Column, no: int = 0) -> F.Column:
     return F.conv(F.substring(digest, 8 * no + 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def _below(digest: F.Column, limit: float, no: int = 0) -> F.Column:
+    """``_draw(digest, no) < limit``, by the order of the hex digits."""
+    least = math.ceil(limit * 2 ** 32)
+    if least <= 0 or least >= 2 ** 32:
+        return digest.isNotNull() & F.lit(least > 0)
+    return (F.substring(digest, 8 * no + 1, 8) if no else digest) < F.lit(f"{least:08x}")
+
+
 def effective_block_size(requested: int | None, model_max: int, default_cap: int = 1024) -> int:
     """TRN-1: min(requested, model max); without a request min(model max, 1024)."""
     if requested is None:
@@ -48,8 +54,13 @@ def pack_blocks(encoded: DataFrame, block_size: int, order_col: str = "doc_id",
     is ever made.
     """
     cols = [ids_col, *other_cols]
-    pos = with_position(encoded.select(order_col, *cols), [order_col], pos_col="_pos")
-    pos = pos.withColumn("batch", F.floor(F.col("_pos") / batch_rows)).withColumn(
+    # written first: the range partitioning samples its input, which would be computed twice
+    encoded = materialize(encoded.select(order_col, *cols), "encoded")
+    pos = with_position(encoded, [order_col], pos_col="_pos")
+    spark = encoded.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(encoded) // PACK_BYTES)
+    release(encoded)
+    pos = pos.withColumn("batch", F.floor(F.col("_pos") / batch_rows)).repartition(n, "batch").withColumn(
         "_len", F.greatest(F.size(ids_col), F.lit(0)).cast("bigint"))
     # running offset inside a batch: a window over at most batch_rows rows
     w = Window.partitionBy("batch").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,24 +113,23 @@ def mask_tokens(df: DataFrame, row_col: str, mask_id: int, vocab_size: int, prob
     if mode not in ("default", "all_mask"):
         raise ValueError("mode must be 'default' or 'all_mask'")
     sp = F.col(special_col) if special_col else F.array_repeat(F.lit(0), F.size(ids_col))
-    row = F.col(row_col)
-    drawn = F.transform(F.arrays_zip(F.col(ids_col).alias("id"), sp.alias("sp")),
-                        lambda e, i: F.struct(e["id"].alias("id"), e["sp"].alias("sp"),
-                                              _digest(seed, row, i).alias("d")))
-    picked = F.transform("_cm_drawn", lambda e: F.struct(
-        e["id"].alias("id"), ((e["sp"] == 0) & (_draw(e["d"]) < F.lit(probability))).alias("on"), e["d"].alias("d")))
-
-    def replaced(e):
+
+    def digest(i):
+        return F.md5(F.concat("_cm_row", i.cast("string")))
+
+    def replaced(e, i):
         if mode == "all_mask":
             return F.when(e["on"], F.lit(mask_id)).otherwise(e["id"])
-        kind = _draw(e["d"], 1)
-        return (F.when(~e["on"], e["id"]).when(kind < 0.8, F.lit(mask_id))
-                .when(kind < 0.9, F.floor(_draw(e["d"], 2) * vocab_size).cast("int")).otherwise(e["id"]))
+        # few positions are chosen: their digests are made again rather than kept
+        return (F.when(~e["on"], e["id"]).when(_below(digest(i), 0.8, 1), F.lit(mask_id))
+                .when(_below(digest(i), 0.9, 1), F.floor(_draw(digest(i), 2) * vocab_size).cast("int")).otherwise(e["id"]))
 
-    done = df.withColumn("_cm_drawn", drawn).withColumn("_cm_picked", picked)
+    picked = F.transform(sp, lambda s, i: (s == 0) & _below(digest(i), probability))
+    done = df.withColumn("_cm_row", F.concat(F.lit(f"{seed}:"), F.col(row_col).cast("string"), F.lit(":")))
+    done = done.withColumn("_cm_picked", F.arrays_zip(F.col(ids_col).alias("id"), picked.alias("on")))
     labels = F.transform("_cm_picked", lambda e: F.when(e["on"], e["id"]).otherwise(F.lit(-100)))
     return done.withColumn("labels", labels).withColumn(ids_col, F.transform("_cm_picked", replaced)).drop(
-        "_cm_drawn", "_cm_picked")
+        "_cm_row", "_cm_picked")
 
 
 def pair_encode(pairs: DataFrame, ids1: str, ids2: str, max_len: int, cls_id: int, sep_id: int, pad_id: int,

@@ -10,10 +10,17 @@ space.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chars, explode_items, newline_to_space, words
+from ..session import ship_package
 from .position import with_position
 
 # Control tokens of the vocabulary trainer, and the unknown token.
@@ -130,16 +137,52 @@ def encode(tokens: DataFrame, vocab: DataFrame, unk_id: int, doc_col="doc_id",
 
 def encode_texts(df: DataFrame, text_col: str, key_cols: list[str], vocab: DataFrame, unk_id: int,
                  vocab_rows: int | None = None) -> DataFrame:
-    """VOC-6 from raw texts: rows are hash-partitioned by their key first, so the
-    per-row regrouping of token ids after the (broadcast) vocabulary join needs
-    no exchange of token rows.  Result ``(key..., ids)``, one row per key; rows
-    without tokens (null texts too) have an empty array."""
-    v = vocab.select("token", F.col("id").alias("_id"))
-    if vocab_rows is not None and vocab_rows <= VOCAB_BROADCAST_ROWS:
-        v = F.broadcast(v)
-    base = df.repartition(*[F.col(k) for k in key_cols]).select(*key_cols, words(F.col(text_col)).alias("_cm_arr"))
-    toks = base.select(*key_cols, F.posexplode_outer("_cm_arr").alias("tok_pos", "token"))
-    ided = toks.join(v, "token", "left")
-    known = F.when(F.col("token").isNotNull(), F.struct("tok_pos", F.coalesce("_id", F.lit(unk_id)).alias("id")))
-    return ided.groupBy(*key_cols).agg(
-        F.transform(F.array_sort(F.collect_list(known)), lambda x: x["id"]).alias("ids"))
+    """VOC-6 from raw texts.  Result ``(key..., ids)``, one row per key; rows without
+    tokens (null texts too) have an empty array.
+
+    A vocabulary of at most ``VOCAB_BROADCAST_ROWS`` is looked up where the text is
+    read, a batch of token arrays at a time: no row per token and no exchange.  Rows
+    that share a key (found by their keys alone) are merged by token position.  A larger
+    vocabulary is joined, with rows hash-partitioned by their key first.
+    """
+    if vocab_rows is None or vocab_rows > VOCAB_BROADCAST_ROWS:
+        base = df.repartition(*[F.col(k) for k in key_cols]).select(*key_cols, words(F.col(text_col)).alias("_cm_arr"))
+        toks = base.select(*key_cols, F.posexplode_outer("_cm_arr").alias("tok_pos", "token"))
+        ided = toks.join(vocab.select("token", F.col("id").alias("_id")), "token", "left")
+        known = F.when(F.col("token").isNotNull(), F.struct("tok_pos", F.coalesce("_id", F.lit(unk_id)).alias("id")))
+        return ided.groupBy(*key_cols).agg(
+            F.transform(F.array_sort(F.collect_list(known)), lambda x: x["id"]).alias("ids"))
+    rows = _looked_up(df, text_col, key_cols, vocab, unk_id)
+    shared = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_cm_n")).where("_cm_n > 1").drop("_cm_n")
+    if shared.isEmpty():
+        return rows
+    same = reduce(and_, [rows[k].eqNullSafe(shared[k]) for k in key_cols])
+    each = rows.join(shared, same, "left_semi").select(*key_cols, F.posexplode_outer("ids").alias("tok_pos", "id"))
+    known = F.when(F.col("tok_pos").isNotNull(), F.struct("tok_pos", "id"))
+    merged = each.groupBy(*key_cols).agg(F.transform(F.array_sort(F.collect_list(known)), lambda x: x["id"]).alias("ids"))
+    return rows.join(shared, same, "left_anti").unionByName(merged)
+
+
+def _looked_up(df: DataFrame, text_col: str, key_cols: list[str], vocab: DataFrame, unk_id: int) -> DataFrame:
+    """(key..., ids) per row, by a broadcast vocabulary."""
+    kind = dict(vocab.dtypes)["id"]
+    rows = vocab.where(F.col("token").isNotNull()).select("token", F.coalesce("id", F.lit(unk_id)).cast("long").alias("id")).toArrow()
+    ship_package(df.sparkSession)
+    # a token that the vocabulary lacks has the last number
+    numbers = np.append(rows.column("id").to_numpy(), unk_id)
+    shared = df.sparkSession.sparkContext.broadcast((rows.column("token").to_pylist(), numbers))
+    src = df.select(*key_cols, words(F.col(text_col)).alias("_cm_arr"))
+    fields = ", ".join(f"`{k}` {t}" for k, t in src.dtypes[:-1])
+
+    def work(batches):
+        tokens, numbers = shared.value
+        known = pa.array(tokens, pa.string())
+        for b in batches:
+            arrays = b.column(b.num_columns - 1)
+            found = pc.index_in(arrays.flatten().cast(pa.string()), value_set=known)
+            ids = numbers[found.fill_null(len(tokens)).to_numpy(zero_copy_only=False)]
+            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*key_cols, "ids"])
+
+    return src.mapInArrow(work, f"{fields}, ids array<long>").withColumn("ids", F.col("ids").cast(f"array<{kind}>"))

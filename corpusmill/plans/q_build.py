@@ -148,10 +148,14 @@ packed AS (SELECT batch, block, input_ids, input_ids AS labels, sp AS special_to
 
 
 def _packed(spark, d):
-    ids = F.concat(F.array(F.lit(BOS)), "ids", F.array(F.lit(EOS)))
-    mask = F.concat(F.array(F.lit(1)), F.transform("ids", lambda x: F.lit(0)), F.array(F.lit(1)))
+    ids = F.concat(F.array(F.lit(BOS)), F.col("ids").cast("array<int>"), F.array(F.lit(EOS)))
+    one = F.array(F.lit(1).cast("tinyint"))
+    mask = F.concat(one, F.array_repeat(F.lit(0).cast("tinyint"), F.size("ids")), one)
+    # narrow arrays while they are shuffled
     enc = _encoded_docs(spark, d).select("doc_id", ids.alias("ids"), mask.alias("special_tokens_mask"))
-    return TS.pack_blocks(enc, 128, "doc_id", "ids", 1000, ("special_tokens_mask",))
+    packed = TS.pack_blocks(enc, 128, "doc_id", "ids", 1000, ("special_tokens_mask",))
+    return packed.select("batch", "block", *[F.col(c).cast("array<bigint>").alias(c) for c in ("input_ids", "labels")],
+                         F.col("special_tokens_mask").cast("array<int>").alias("special_tokens_mask"))
 
 
 @register("pack_blocks", f"WITH {_PACK_SQL} SELECT * FROM packed")

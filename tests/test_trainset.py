@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import trainset as TS
 from corpusmill.operators.vocab import encode_texts
@@ -48,6 +49,27 @@ def test_encoding_keeps_rows_without_words(spark):
     assert out == {0: [], 1: [5, 6], 2: [], 3: [], 4: [6, 1, 5]}
 
 
+def test_encoding_by_a_bounded_vocabulary_is_narrow_and_merges_equal_keys(spark):
+    vocab = spark.createDataFrame([("a", 5), ("b", 6), ("c", None), (None, 9)], "token string, id long")
+    rows = [(0, "x", "a b"), (0, "y", "b"), (0, "y", "a zz c"), (None, "x", "b"), (None, "x", "a"), (None, None, None), (1, "x", "!")]
+    df = spark.createDataFrame(rows, "doc_id long, part string, text string")
+    got, want = ({(r.doc_id, r.part): list(r.ids) for r in encode_texts(df, "text", ["doc_id", "part"], vocab, 1, n).collect()}
+                 for n in (4, None))
+    assert got == want and got[0, "y"] == [5, 6, 1, 1] and got[None, "x"] == [5, 6] and got[None, None] == []
+    once = encode_texts(df.where("part = 'x' AND doc_id = 0"), "text", ["doc_id"], vocab, 1, 4)
+    assert once.schema["ids"].dataType.simpleString() == "array<bigint>"
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [-0.5, 0.0, 0.15, 0.5, 0.8, 1 / 3, 1.0, 2.0])
+def test_draws_compare_by_their_digits(spark, limit):
+    edge = [f"{max(0, min(int(limit * 2 ** 32) + i, 2 ** 32 - 1)):08x}" for i in (-1, 0, 1)]
+    df = spark.createDataFrame([(a + b + "0" * 16,) for a in edge for b in edge] + [(None,)], "d string")
+    for no in (0, 1):
+        got = df.select(TS._below(F.col("d"), limit, no).alias("x"), (TS._draw(F.col("d"), no) < limit).alias("y")).collect()
+        assert all(bool(r.x) == bool(r.y) for r in got)
+
+
 def test_long_pairs_lose_their_longer_side(spark):
     a, b = list(range(10, 30)), list(range(50, 54))
     df = spark.createDataFrame([(0, a, b), (1, b, a), (2, a, a), (3, b, b)], "k int, a array<int>, b array<int>")
