@@ -141,3 +141,11 @@ def test_best_by_blocks_equals_scoring_everything(spark, monkeypatch):
     want = R.top_k(R.bm25_scores(idx, terms), 3).select("query_id", "rank", "doc_id", "score")
     got = R.top_k(best, 3).select("query_id", "rank", "doc_id", "score")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_index_with_norms_keeps_its_number_of_partitions(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(R, "TASK_BYTES", 100)
+    spark.createDataFrame([(i, f"w{i} w{i % 7} a") for i in range(400)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    index = R.build_index(docs, "text", "doc_id", norms=True)
+    assert len(index.docs.inputFiles()) > 20 and index.docs.where("dn IS NULL").count() == 0
