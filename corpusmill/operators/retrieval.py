@@ -345,10 +345,18 @@ def verbatim_qrels(queries: DataFrame, corpus: DataFrame, index: LexicalIndex,
         pieces = index.terms.select("token", F.explode(_pieces("token", sorted(row["lengths"]), row["kind"])).alias("piece"))
         mine = short.where(F.col("kind") == row["kind"]).select("query_id", "piece")
         rare = rare.union(pieces.join(_bc(mine, small), "piece").select("query_id", "token"))
-    cand = (index.postings.select("doc_id", "token").join(_bc(rare, small and not short.take(1)), "token")
-            .select("query_id", "doc_id").distinct())
     docs = corpus.select(F.col(d_id).alias("doc_id"), F.col(d_text).alias("d_text"))
-    pairs = cand.join(docs, "doc_id").join(_bc(qt, small), "query_id")
+    # as many partitions as the tables need: what a task sorts does not grow with them
+    spark = corpus.sparkSession
+    postings = index.postings.select("doc_id", "token")
+    if small and not short.take(1):
+        hits = postings.join(F.broadcast(rare), "token")
+    else:
+        n = _tasks(spark, input_bytes(index.docs), TASK_BYTES)
+        hits = postings.repartition(n, "token").join(rare.repartition(n, "token"), "token")
+    cand = hits.select("query_id", "doc_id").distinct()
+    n = _tasks(spark, input_bytes(docs), TASK_BYTES)
+    pairs = cand.repartition(n, "doc_id").join(docs.repartition(n, "doc_id"), "doc_id").join(_bc(qt, small), "query_id")
     found = pairs.where(F.instr(F.col("d_text"), F.col("q_text")) > 0).select("query_id", "doc_id")
     bare = qa.where("n = 0").select("query_id", "q_text")
     if bare.take(1):
