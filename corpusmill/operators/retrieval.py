@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import explode_items, words
 from ..session import materialize
-from .position import input_bytes, with_position
+from .position import with_position
 
 BROADCAST_ROWS = 5_000_000
-#: Input bytes of one indexing task, and (query, document) sums of one scoring task: more input makes more tasks.
+#: Bytes of text of one indexing task, and (query, document) sums of one scoring task: more input makes more tasks.
 TASK_BYTES, TASK_PAIRS = 4 << 20, 500_000
 
 
@@ -38,6 +38,12 @@ def _tasks(spark, amount: int, each: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-amount // each))
 
 
+def _rows_and_bytes(df: DataFrame, text_col: str) -> tuple[int, int]:
+    """Rows, and bytes of their texts as they are in memory: files of repeated texts are much smaller."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("b")).first()
+    return row["n"], row["b"] or 0
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Size check for an explicit broadcast.  Call it only on cheap inputs (the
     query set, a stopword file): joins of derived tables are left to AQE, which
@@ -104,11 +110,12 @@ def build_index(corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id
     (document, token) and the document rows need no second exchange: each text
     crosses the network once instead of every token row.  Both tables are
     written once under the checkpoint folder.  The number of partitions grows with the
-    input, so a task's counts do not.  ``norms`` adds the TF-IDF norm of
+    bytes of text, so a task's counts do not.  ``norms`` adds the TF-IDF norm of
     every document, which needs the finished term table and so a second pass.
     A document without tokens has no row in ``docs`` but counts in ``n_docs``.
     """
-    n = _tasks(corpus.sparkSession, input_bytes(corpus), TASK_BYTES)
+    n_docs, size = _rows_and_bytes(corpus, text_col)
+    n = _tasks(corpus.sparkSession, size, TASK_BYTES)
     toks = tokenize(corpus.repartition(n, F.col(id_col)), text_col, id_col, "doc_id", stopwords)
     tf = toks.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
     docs = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.lit(None).cast("double").alias("dn"),
@@ -116,7 +123,6 @@ def build_index(corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id
     docs = materialize(docs, "postings")
     terms = materialize(_exploded(docs).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")),
                         "terms")
-    n_docs = corpus.count()
     total = terms.agg(F.sum("cf").alias("s")).first()["s"] or 0
     if norms:
         weights = _exploded(docs).repartition(n, "token").join(_tfidf_idf(terms, n_docs), "token")
@@ -270,10 +276,14 @@ def hard_negatives(scores: DataFrame, positives: DataFrame, num_negatives: int =
     Only documents that share a term with a query are scored.  With ``queries``
     (query_id) and ``corpus`` (doc_id) the whole corpus is ranked: documents of
     score zero, by id, fill up what a query lacks (ties go to the smaller id).
+    A document's positive queries are joined as one row by ``doc_id`` alone: scores that lie by
+    document stay where they are, and all (query, document) pairs need no exchange.
     """
-    pos = positives.select("query_id", "doc_id").distinct()
-    ranked = top_k(scores.join(pos, ["query_id", "doc_id"], "left_anti"), num_negatives, digits).select(
-        "query_id", "rank", "doc_id", "score")
+    pos = materialize(positives.select("query_id", "doc_id").distinct(), "positives")
+    of_doc = pos.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("query_id").alias("_queries"))
+    open_pairs = scores.join(of_doc, (F.col("doc_id") == F.col("_doc")) & F.array_contains("_queries", F.col("query_id")),
+                             "left_anti")
+    ranked = top_k(open_pairs, num_negatives, digits).select("query_id", "rank", "doc_id", "score")
     if queries is None or corpus is None:
         return ranked
     ranked = materialize(ranked, "negatives")
@@ -347,15 +357,15 @@ def verbatim_qrels(queries: DataFrame, corpus: DataFrame, index: LexicalIndex,
         rare = rare.union(pieces.join(_bc(mine, small), "piece").select("query_id", "token"))
     docs = corpus.select(F.col(d_id).alias("doc_id"), F.col(d_text).alias("d_text"))
     # as many partitions as the tables need: what a task sorts does not grow with them
-    spark = corpus.sparkSession
+    spark, size = corpus.sparkSession, _rows_and_bytes(docs, "d_text")[1]
     postings = index.postings.select("doc_id", "token")
     if small and not short.take(1):
         hits = postings.join(F.broadcast(rare), "token")
     else:
-        n = _tasks(spark, input_bytes(index.docs), TASK_BYTES)
+        n = _tasks(spark, size, TASK_BYTES)
         hits = postings.repartition(n, "token").join(rare.repartition(n, "token"), "token")
     cand = hits.select("query_id", "doc_id").distinct()
-    n = _tasks(spark, input_bytes(docs), TASK_BYTES)
+    n = _tasks(spark, size, TASK_BYTES)
     pairs = cand.repartition(n, "doc_id").join(docs.repartition(n, "doc_id"), "doc_id").join(_bc(qt, small), "query_id")
     found = pairs.where(F.instr(F.col("d_text"), F.col("q_text")) > 0).select("query_id", "doc_id")
     bare = qa.where("n = 0").select("query_id", "q_text")
