@@ -31,6 +31,8 @@ from .position import with_position
 BROADCAST_ROWS = 5_000_000
 #: Bytes of text of one indexing task, and (query, document) sums of one scoring task: more input makes more tasks.
 TASK_BYTES, TASK_PAIRS = 4 << 20, 500_000
+#: Postings of one token that may meet in one task; those of a more frequent token are dealt over several.
+TOKEN_ROWS = 100_000
 
 
 def _tasks(spark, amount: int, each: int) -> int:
@@ -125,7 +127,13 @@ def build_index(corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id
                         "terms")
     total = terms.agg(F.sum("cf").alias("s")).first()["s"] or 0
     if norms:
-        weights = _exploded(docs).repartition(n, "token").join(_tfidf_idf(terms, n_docs), "token")
+        # the postings of a frequent token are dealt over as many parts as they need, its idf is copied to each
+        parts = terms.where(F.col("df") > TOKEN_ROWS).select("token", F.ceil(F.col("df") / TOKEN_ROWS).alias("_n"))
+        postings = _exploded(docs).join(F.broadcast(parts), "token", "left").withColumn(
+            "_part", F.coalesce(F.pmod(F.xxhash64("doc_id"), "_n"), F.lit(0).cast("long")))
+        idf = _tfidf_idf(terms, n_docs).join(F.broadcast(parts), "token", "left").select(
+            "token", "idf", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_n", F.lit(1)) - 1)).alias("_part"))
+        weights = postings.repartition(n, "token", "_part").join(idf, ["token", "_part"])
         dn = weights.groupBy("doc_id").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) * (F.col("tf") * F.col("idf"))))
                                            .alias("dn"))
         docs = materialize(docs.drop("dn").repartition(n, "doc_id").join(dn.repartition(n, "doc_id"), "doc_id", "left").select("doc_id", "dl", "dn", "items"), "postings")
