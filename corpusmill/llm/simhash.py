@@ -168,7 +168,8 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     replicas = distinct.select("fp").mapInPandas(spread, "anchor long, y long")
     homes = distinct.select("fp").mapInPandas(home, "home long, x long")
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits
-    return (homes.join(replicas, (F.col("home") == F.col("anchor")) & (F.col("x") < F.col("y")) & near)
+    # Spark sizes the replicas like their input, 61 times too low, and would send them to the driver for a broadcast
+    return (homes.hint("merge").join(replicas.hint("merge"), (F.col("home") == F.col("anchor")) & (F.col("x") < F.col("y")) & near)
             .select(F.col("x").alias("u"), F.col("y").alias("v")))
 
 
