@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import explode_items, words
 from ..session import materialize
-from .position import with_position
+from .position import input_bytes, with_position
 
 BROADCAST_ROWS = 5_000_000
 #: Bytes of text of one indexing task, and (query, document) sums of one scoring task: more input makes more tasks.
@@ -370,7 +370,7 @@ def verbatim_qrels(queries: DataFrame, corpus: DataFrame, index: LexicalIndex,
     if small and not short.take(1):
         hits = postings.join(F.broadcast(rare), "token")
     else:
-        n = _tasks(spark, size, TASK_BYTES)
+        n = _tasks(spark, max(size, input_bytes(index.docs)), TASK_BYTES)
         hits = postings.repartition(n, "token").join(rare.repartition(n, "token"), "token")
     cand = hits.select("query_id", "doc_id").distinct()
     n = _tasks(spark, size, TASK_BYTES)
